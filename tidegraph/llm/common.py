@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import json
 import tempfile
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -116,3 +117,21 @@ class Rolling:
 
     def of(self, prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return mixed((prefix[end] - prefix[start]) * self.down[start])
+
+
+def with_start(df: DataFrame, value: str, order: list[str], name: str = "start", rows_per_bucket: int = 20_000) -> DataFrame:
+    """Adds the sum of value over all rows before, in ascending order of the columns `order` (the first one numeric).
+
+    Sums of at most 10,000 ranges meet in the driver; the rest is a window inside each range. df is read more
+    than once, so it should be a written table.
+    """
+    splits = range_splits(df, order[0], rows_per_bucket)
+    keyed = df.withColumn("_b", bucket_of(F.col(order[0]), splits))
+    sums = {r["_b"]: r["s"] for r in keyed.groupBy("_b").agg(F.sum(value).alias("s")).collect()}
+    before, total = [], 0
+    for b in range(len(splits) + 1):
+        before.append(total)
+        total += int(sums.get(b) or 0)
+    inside = Window.partitionBy("_b").orderBy(*[F.col(c).asc_nulls_first() for c in order]).rowsBetween(Window.unboundedPreceding, -1)
+    base = F.element_at(F.from_json(F.lit(json.dumps(before)), "array<bigint>"), F.col("_b") + 1)
+    return keyed.withColumn(name, (base + F.coalesce(F.sum(value).over(inside), F.lit(0))).cast("long")).drop("_b")
