@@ -47,6 +47,10 @@ def _digits(s: str) -> str:
     return "".join(c for c in s if "0" <= c <= "9")
 
 
+def _octet(digits: str) -> bool:
+    return len(digits) < 4 and int(digits or 0) <= 255
+
+
 def base_spans(text: str) -> list[Span]:
     """Spans of the four base patterns: by kind, leftmost and without overlap; a match that fails its test is dropped."""
     out: list[Span] = []
@@ -60,7 +64,7 @@ def base_spans(text: str) -> list[Span]:
         else:
             pos = at + 1
         at = text.find("@", pos)
-    out += [("ip", m.start(), m.end()) for m in _IP.finditer(text) if all(len(p := p.lstrip("0")) < 4 and int(p or 0) <= 255 for p in m[0].split("."))]
+    out += [("ip", m.start(), m.end()) for m in _IP.finditer(text) if all(_octet(p.lstrip("0")) for p in m[0].split("."))]
     out += [("card", m.start(), m.end()) for m in _CARD.finditer(text) if 13 <= len(d := _digits(m[0])) <= 19 and luhn(d)]
     out += [("phone", m.start(), m.end()) for m in _PHONE.finditer(text) if 9 <= len(_digits(m[0])) <= 15]
     return out
