@@ -155,7 +155,7 @@ class Bpe:
         points = np.frombuffer(data.decode().encode("utf-32-le"), np.uint32)
         starts = lead[token_starts(points, np.searchsorted(lead, off))] if len(points) else lead
         ends = np.append(starts[1:], len(buf))
-        ids, size = self.words.look_up([data[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)])
+        ids, size = self.words.look_up(buf, starts, ends)
         return ids, np.concatenate([[0], np.cumsum(size)])[np.searchsorted(starts, off)]
 
     def decode(self, ids: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -47,47 +47,104 @@ def safe_cuts(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
     return np.flatnonzero(cut[: n + 1])
 
 
+class _Grown:
+    """An array that takes values at its end."""
+
+    def __init__(self, dtype):
+        self.all, self.n = np.zeros(1024, dtype), 0
+
+    def add(self, values: np.ndarray) -> None:
+        if self.n + len(values) > len(self.all):
+            self.all = np.concatenate([self.all[: self.n], np.zeros(self.n + len(values), self.all.dtype)])
+        self.all[self.n : self.n + len(values)] = values
+        self.n += len(values)
+
+
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+_SLOT_BITS = 20
+_ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93], np.uint64)
+
+
 class Words:
-    """Ids of words, by a function from a list of new words to all their ids in order and how many each has."""
+    """Ids of words, by a function from a list of new words to all their ids in order and how many each has.
+
+    Words of up to 16 bytes are first sought, all at once, in a table of slots that holds their bytes as two
+    numbers; what is not there goes through a dictionary.
+    """
 
     def __init__(self, encode):
         self.encode = encode
+        self._empty()
+
+    def _empty(self) -> None:
         self.index: dict[bytes, int] = {}
-        self.start = self.size = np.zeros(0, np.int64)
-        self.ids = np.zeros(0, np.uint32)
-        self.again = np.zeros(0, bool)
+        self.start, self.size, self.ids, self.again = _Grown(np.int64), _Grown(np.int64), _Grown(np.uint32), _Grown(bool)
+        self._clear_slots()
+
+    def _clear_slots(self) -> None:
+        self.low, self.high, self.at = np.zeros(1 << _SLOT_BITS, np.uint64), np.zeros(1 << _SLOT_BITS, np.uint64), np.zeros(1 << _SLOT_BITS, np.int32)
 
     def _add(self, words: list[bytes]) -> None:
         ids, size = self.encode(words)
         k = len(self.index)
         self.index.update(zip(words, range(k, k + len(words)), strict=True))
-        self.start = np.concatenate([self.start, len(self.ids) + np.cumsum(size) - size])
-        self.size = np.concatenate([self.size, size])
-        self.ids = np.concatenate([self.ids, ids.astype(np.uint32)])
-        self.again = np.concatenate([self.again, np.zeros(len(words), bool)])
+        self.start.add(self.ids.n + np.cumsum(size) - size)
+        self.size.add(size)
+        self.ids.add(ids)
+        self.again.add(np.zeros(len(words), bool))
 
     def _shrink(self) -> None:
-        keep = np.flatnonzero(self.again)
+        keep = np.flatnonzero(self.again.all[: self.again.n])
         if len(keep) > MOST_WORDS // 2:
             keep = keep[:0]
         names = list(self.index)  # in the order of their numbers
+        size, ids = self.size.all[keep], _gather(self.ids.all, self.start.all[keep], self.size.all[keep])
+        self._empty()
         self.index = {names[i]: n for n, i in enumerate(keep.tolist())}
-        self.ids, self.size = _gather(self.ids, self.start[keep], self.size[keep]), self.size[keep]
-        self.start, self.again = np.cumsum(self.size) - self.size, np.zeros(len(keep), bool)
+        self.start.add(np.cumsum(size) - size)
+        self.size.add(size)
+        self.ids.add(ids)
+        self.again.add(np.zeros(len(keep), bool))
 
-    def look_up(self, parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids in order, and how many each part has."""
-        if len(self.index) > MOST_WORDS:
-            self._shrink()
+    def _numbers(self, parts: list[bytes]) -> np.ndarray:
         k = np.fromiter(map(self.index.get, parts, repeat(-1)), np.int64, len(parts))
         new = k < 0
-        self.again[k[~new]] = True
+        self.again.all[k[~new]] = True
         if new.any():
             missing = [parts[i] for i in np.flatnonzero(new)]
             self._add(list(dict.fromkeys(missing)))
             k[new] = np.fromiter(map(self.index.__getitem__, missing), np.int64, len(missing))
-        size = self.size[k]
-        return _gather(self.ids, self.start[k], size), size
+        return k
+
+    def look_up(self, buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the slices of buf, in order, and how many each slice has."""
+        if len(self.index) > MOST_WORDS:
+            self._shrink()
+        if not len(start):
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        n = end - start
+        padded = np.concatenate([buf, np.zeros(24, np.uint8)])
+        eight = np.ndarray((len(buf) + 16,), "<u8", padded.data, strides=(1,))
+        low, high = eight[start] & _MASK[np.minimum(n, 8)], eight[start + np.minimum(n, 8)] & _MASK[np.clip(n - 8, 0, 8)]
+        slot = (((low * _ODD[0]) ^ (high * _ODD[1])) * _ODD[2] >> np.uint64(64 - _SLOT_BITS)).astype(np.int64)
+        short = n <= 16
+        if (buf == 0).any():  # then the numbers don't tell a word's length
+            short[:] = False
+        hit = short & (self.low[slot] == low) & (self.high[slot] == high)
+        k = self.at[slot].astype(np.int64)
+        self.again.all[k[hit]] = True
+        rest = np.flatnonzero(~hit)
+        if len(rest):
+            data = buf.tobytes()
+            k[rest] = self._numbers([data[a:b] for a, b in zip(start[rest].tolist(), end[rest].tolist(), strict=True)])
+            rest = rest[short[rest]]
+            where = slot[rest]
+            self.at[where] = k[rest]
+            # of words that share a slot, the same one in all three arrays
+            last = self.at[where] == k[rest]
+            self.low[where[last]], self.high[where[last]] = low[rest][last], high[rest][last]
+        size = self.size.all[k]
+        return _gather(self.ids.all, self.start.all[k], size), size
 
 
 def _gather(values: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -152,8 +209,7 @@ def _ids_of(tokenizer, spaced: np.ndarray, words: list[bytes]) -> tuple[np.ndarr
 def encode(path: str, buf: np.ndarray, off: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
     """Ids of some texts (as by as_bytes), each with end_id after it, and the offsets of the texts in them."""
     cuts = safe_cuts(buf, off)
-    data = buf.tobytes()
-    ids, size = encoder(path).look_up([data[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)])
+    ids, size = encoder(path).look_up(buf, cuts[:-1], cuts[1:])
     before = np.concatenate([[0], np.cumsum(size)])[np.searchsorted(cuts, off)]
     out = np.full(len(ids) + len(off) - 1, end_id, np.uint32)
     keep = np.ones(len(out), bool)
