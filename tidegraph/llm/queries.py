@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from tidegraph.llm import bpe, merkle, packing, pii, quality, repetition, sharding, store
+from tidegraph.llm import bpe, jaccard, merkle, packing, pii, quality, repetition, sharding, store
 
 QUERIES = {"op1_sharding": sharding.op1_sharding, "op2_repetition_coverage": repetition.op2_repetition_coverage, "op4_merkle_fingerprints": merkle.op4_merkle_fingerprints,
     "op5_content_store": store.op5_content_store,
+    "op6_jaccard_join": jaccard.op6_jaccard_join,
     "op7_pii_boosting": pii.op7_pii_boosting,
     "op8_retrieval_packing": packing.op8_retrieval_packing,
     "op9_bpe_round_trip": bpe.op9_bpe_round_trip,
