@@ -15,7 +15,8 @@ def components(edges: DataFrame) -> DataFrame:
     path. Only narrow rows move, sums per node are made before they are exchanged, and each round is written, so
     a lost executor costs one round at most. Loops and repeated edges do no harm; no edges give no rows.
     """
-    loops = edges.select(F.col("u").alias("node")).union(edges.select("v")).distinct() if edges is not None else None
+    edges = written(edges.select("u", "v"), "links")
+    loops = edges.select(F.col("u").alias("node")).union(edges.select("v")).distinct()
     e = written(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "edges")
     before = None
     while True:
