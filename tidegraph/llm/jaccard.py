@@ -330,6 +330,19 @@ def jaccard_groups(docs: DataFrame, percent: int = 75, words: int = WORDS) -> Da
     return linked.unionByName(signed.where("n = 0").select("doc_id", "rk", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
+def one_of_each(docs: DataFrame, percent: int = 75) -> DataFrame:
+    """The document of least doc_id of each group of near duplicates; all columns stay.
+
+    Of repeated rows one stays. Documents without doc_id stay if none of their group has one. Documents without
+    words are linked with nothing and stay.
+    """
+    groups = jaccard_groups(docs, percent)
+    keep = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("rk").alias("_k1"), F.coalesce("doc_id", F.lit(-1)).alias("_k2"))
+    keep = written(keep.distinct(), "kept")
+    keyed = docs.withColumn("_k1", row_key()).withColumn("_k2", F.coalesce("doc_id", F.lit(-1)))
+    return keyed.join(keep, ["_k1", "_k2"]).dropDuplicates(["_k1", "_k2"]).select(*docs.columns)
+
+
 def op6_jaccard_join(spark, sf_dir: str) -> DataFrame:
     """Components of all documents at a similarity of 0.75."""
     return jaccard_groups(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")

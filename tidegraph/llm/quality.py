@@ -185,29 +185,29 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Addi
     return fit(x, got["quality"].to_numpy(float))
 
 
-def score(docs: DataFrame, model: AdditiveModel, keep: list[str]) -> DataFrame:
-    """The columns `keep`, score and predicted (1 if score >= THRESHOLD).
+def score(docs: DataFrame, model: AdditiveModel, keep: list[str], name: str = "score", verdict: str = "predicted") -> DataFrame:
+    """The columns `keep`, and the score and verdict (1 if score >= THRESHOLD) under the names given, which must be new.
 
     Null texts count as empty; empty texts get a score like any other; repeated rows give a row each; an empty
     table gives none. Only text enters a score.
     """
-    schema = docs.select(*keep).schema
+    from pyspark.sql.types import DoubleType, IntegerType
+
+    read = list(keep) if "text" in keep else [*keep, "text"]
+    at = read.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            buf, off = as_bytes(b.column("_text"))
+            buf, off = as_bytes(b.column(at))
             for i, j in slices(off):
                 s = model.score(features(buf[off[i] : off[j]], off[i : j + 1] - off[i]))
-                yield pa.RecordBatch.from_arrays([*[b.column(c).slice(i, j - i) for c in keep], pa.array(s), pa.array((s >= THRESHOLD).astype(np.int32))], names=[*keep, "_score", "_predicted"])
-
-    from pyspark.sql.types import DoubleType, IntegerType
+                yield pa.RecordBatch.from_arrays([*[b.column(c).slice(i, j - i) for c in range(len(keep))], pa.array(s), pa.array((s >= THRESHOLD).astype(np.int32))], names=[*keep, name, verdict])
 
-    out = docs.select(*keep, F.col("text").alias("_text")).mapInArrow(run, schema.add("_score", DoubleType()).add("_predicted", IntegerType()))
-    return out
+    return docs.select(*read).mapInArrow(run, docs.select(*keep).schema.add(name, DoubleType()).add(verdict, IntegerType()))
 
 
 def op10_quality_additive(spark, sf_dir: str) -> DataFrame:
     """Scores of all documents."""
     docs = documents(spark, sf_dir)
     model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return score(docs, model, ["doc_id"]).select("doc_id", in_fold(F.col("doc_id")).alias("held_out"), F.col("_score").alias("score"), F.col("_predicted").alias("predicted"))
+    return score(docs, model, ["doc_id"]).select("doc_id", in_fold(F.col("doc_id")).alias("held_out"), "score", "predicted")

@@ -88,9 +88,9 @@ def spans(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
     return text, p0, p1, a, grams[a], whole
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """doc_id and text with a key of 128 bits: rows that agree in it agree in doc_id and text."""
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumns({"k1": F.xxhash64("doc_id", "text"), "k2": F.xxhash64("text", "doc_id")})
+def _keyed(docs: DataFrame, also: list | None = None) -> DataFrame:
+    """doc_id, text and the columns `also` with a key of 128 bits: rows that agree in it agree in doc_id and text."""
+    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *(also or [])).withColumns({"k1": F.xxhash64("doc_id", "text"), "k2": F.xxhash64("text", "doc_id")})
 
 
 def span_table(keyed: DataFrame) -> DataFrame:
@@ -249,7 +249,7 @@ def _blocks(rows: Iterator[tuple]) -> Iterator[list[tuple]]:
 
 
 def repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The keyed documents, and k1, k2, s, e: bytes s to e of their texts lie in repeated windows."""
+    """The documents with their keys, and k1, k2, s, e: bytes s to e of their texts lie in repeated windows."""
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     keyed = _keyed(docs)
@@ -343,19 +343,43 @@ def _union(parts: list[dict]) -> list[tuple[int, int]]:
     return out
 
 
-def removed(docs: DataFrame) -> DataFrame:
-    """doc_id, k1, k2, text (bytes) and cuts (ascending maximal runs of bytes to remove) per document.
+def _with_parts(docs: DataFrame, also: list | None = None) -> DataFrame:
+    """doc_id, text, the columns `also`, and parts: the repeated windows (s, e) in no order, which may overlap."""
+    _, found = repeats(docs)
+    of_doc = found.groupBy("k1", "k2").agg(F.collect_set(F.struct("s", "e")).alias("parts"))
+    return _keyed(docs, also).join(of_doc, ["k1", "k2"], "left").drop("k1", "k2")
 
-    Null texts count as empty; equal rows have equal results; null doc_ids stay; an empty table gives no rows;
-    other columns are not read. Matches are of bytes and may begin inside a character.
+
+def strip(docs: DataFrame) -> DataFrame:
+    """docs with repeated passages cut out of the texts; all columns and rows stay.
+
+    Null texts become empty. Half characters that a cut leaves go as well. Columns may have any names.
     """
-    keyed, found = repeats(docs)
-    of_doc = found.groupBy("k1", "k2").agg(F.collect_set(F.struct("s", "e")).alias("parts"))
-    return keyed.join(of_doc, ["k1", "k2"], "left")
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    rows = _with_parts(docs, [docs[c].alias(f"_c{i}") for i, c in enumerate(others)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = []
+            for text, parts in zip(b.column("text"), b.column("parts").to_pylist(), strict=True):
+                whole, at, left = text.as_buffer().to_pybytes(), 0, []
+                for s, e in _union(parts or []):
+                    left.append(whole[at:s])
+                    at = e
+                texts.append(b"".join([*left, whole[at:]]).decode(errors="ignore"))
+            yield pa.RecordBatch.from_arrays([pa.array(texts, b.schema.field("text").type) if c == "text" else b.column(c) for c in b.schema.names if c != "parts"], names=[c for c in b.schema.names if c != "parts"])
+
+    out = rows.mapInArrow(run, rows.drop("parts").schema)
+    named = {"doc_id": "doc_id", "text": "text", **{c: f"_c{i}" for i, c in enumerate(others)}}
+    return out.select(*[F.col(named[c]).alias(c) for c in docs.columns])
 
 
 def dedup(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 per document; cases as in removed()."""
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 per document.
+
+    Null texts count as empty; equal rows have equal results; null doc_ids stay; an empty table gives no rows;
+    other columns are not read. Matches are of bytes and may begin inside a character.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -373,7 +397,7 @@ def dedup(docs: DataFrame) -> DataFrame:
                 sha.append(h.hexdigest())
             yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), *[pa.array(x, pa.int64()) for x in (n_bytes, n_removed, n_spans)], pa.array(sha, pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return removed(docs).select("doc_id", "text", "parts").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return _with_parts(docs).mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def op3_suffix_dedup(spark, sf_dir: str) -> DataFrame:
