@@ -70,9 +70,11 @@ def changed_paragraphs(a: Column, b: Column) -> Column:
     return F.when(F.substring(a, 1, 32) == F.substring(b, 1, 32), F.array().cast("array<int>")).otherwise(at)
 
 
-def with_next(docs: DataFrame, columns: list[str], rows_per_bucket: int = 1000) -> DataFrame:
+def with_next(docs: DataFrame, columns: list[str], prepare=lambda rows: rows, rows_per_bucket: int = 1000) -> DataFrame:
     """Adds next_<column> of the next row in ascending (doc_id, text hash) order; after the last comes the first.
 
+    prepare: adds columns that depend on their row alone, once the rows are gathered.
+
     Rows are dealt to ranges of doc_id, and each range also gets a copy of the first row of the next one, so no
     task orders more than a range and nothing is sorted as a whole. At most 10,000 ranges: their first ids are
     the only thing that the driver holds.
@@ -89,7 +91,7 @@ def with_next(docs: DataFrame, columns: list[str], rows_per_bucket: int = 1000)
     extra = keyed.join(F.broadcast(to), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_k") == F.col("_key"))).dropDuplicates(["_to"])
     extra = extra.select(*[c for c in keyed.columns if c != "_b"], F.col("_to").alias("_b"), F.lit(1).alias("_copy"))
     order = Window.partitionBy("_b").orderBy("_copy", F.col("doc_id").asc_nulls_first(), "_k")
-    both = keyed.withColumn("_copy", F.lit(0)).unionByName(extra)
+    both = prepare(keyed.withColumn("_copy", F.lit(0)).unionByName(extra))
     return both.withColumns({f"next_{c}": F.lead(c).over(order) for c in columns}).where("_copy = 0").drop("_b", "_k", "_copy")
 
 
@@ -100,8 +102,8 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     doc_id follow each other by text hash; null doc_ids come first. An empty table gives no rows; other columns
     are not read.
     """
-    base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("fingerprint", fingerprint(F.col("text")))
-    rows = with_next(base, ["text", "fingerprint"]).withColumn("n_chars", F.char_length("text").cast("long"))
+    base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    rows = with_next(base, ["text", "fingerprint"], lambda rows: rows.withColumn("fingerprint", fingerprint(F.col("text")))).withColumn("n_chars", F.char_length("text").cast("long"))
     cut = F.floor(F.col("n_chars") / 4)
     edited = F.concat(F.expr("substring(text, 1, cast(n_chars - floor(n_chars / 4) as int))"), F.substring("next_text", F.lit(1), cut.cast("int")))
     rows = rows.withColumn("_edited", edited).withColumn("edited_fingerprint", fingerprint(F.col("_edited")))
