@@ -76,7 +76,7 @@ def as_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray
     return buf[off[0] : off[-1]], off - off[0]
 
 
-def slices(offsets: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
+def slices(offsets: np.ndarray, most: int = 1 << 18) -> Iterator[tuple[int, int]]:
     """Ranges of texts of at most `most` bytes together, or of one longer text."""
     i, n = 0, len(offsets) - 1
     while i < n:

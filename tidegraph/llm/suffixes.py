@@ -33,7 +33,7 @@ from tidegraph.llm.common import Rolling, as_bytes, documents, mixed, slices, wr
 
 LENGTH, SEED = 400, 64
 MOST_SPANS = 50_000
-_BLOCK = 1 << 20
+_BLOCK = 1 << 18
 _PLACE = np.uint64(_BLOCK - 1)
 _SPANS = LENGTH - SEED + 1
 _roll, _other = Rolling(seed=17), Rolling(base=0xC2B2AE3D27D4EB4F, seed=23)
@@ -55,7 +55,7 @@ def pieces(off: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
 def spans(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
     """text, first and last window, anchor (places in buf), seed hash and hash of the bytes, for each span.
 
-    off: where the texts begin in buf, and the end; at most 2^20 bytes.
+    off: where the texts begin in buf, and the end; at most _BLOCK bytes.
     """
     n = len(buf)
     none = tuple(np.zeros(0, np.int64) for _ in range(4)) + tuple(np.zeros(0, np.uint64) for _ in range(2))
@@ -359,7 +359,7 @@ def strip(docs: DataFrame) -> DataFrame:
     rows = _with_parts(docs, [docs[c].alias(f"_c{i}") for i, c in enumerate(others)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (whole.slice(i, 500) for whole in batches for i in range(0, whole.num_rows, 500)):
             texts = []
             for text, parts in zip(b.column("text"), b.column("parts").to_pylist(), strict=True):
                 whole, at, left = text.as_buffer().to_pybytes(), 0, []
@@ -382,7 +382,7 @@ def dedup(docs: DataFrame) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (whole.slice(i, 500) for whole in batches for i in range(0, whole.num_rows, 500)):
             n_bytes, n_removed, n_spans, sha = [], [], [], []
             for text, parts in zip(b.column("text"), b.column("parts").to_pylist(), strict=True):
                 data, cuts, h, at = text.as_buffer(), _union(parts or []), hashlib.sha256(), 0
