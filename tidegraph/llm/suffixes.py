@@ -94,7 +94,7 @@ def _keyed(docs: DataFrame, also: list | None = None) -> DataFrame:
 
 
 def span_table(keyed: DataFrame) -> DataFrame:
-    """k1, k2, p0, p1, a (places in the text), seed, whole per span."""
+    """k1, k2, place, seed, whole per span; place holds p0, p1 - p0 and a - p0 (see unpacked)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -103,10 +103,16 @@ def span_table(keyed: DataFrame) -> DataFrame:
             for i, j, s, e in pieces(off):
                 text, p0, p1, a, seed, whole = spans(buf[s:e], np.clip(off[i : j + 1] - s, 0, e - s))
                 shift = s - off[i + text]
-                cols = [k1[i + text], k2[i + text], p0 + shift, p1 + shift, a + shift, seed.view(np.int64), whole.view(np.int64)]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["k1", "k2", "p0", "p1", "a", "seed", "whole"])
+                cols = [k1[i + text], k2[i + text], ((p0 + shift) << 20) | ((p1 - p0) << 10) | (a - p0), seed.view(np.int64), whole.view(np.int64)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["k1", "k2", "place", "seed", "whole"])
 
-    return keyed.select("k1", "k2", "text").mapInArrow(run, "k1 long, k2 long, p0 long, p1 long, a long, seed long, whole long")
+    return keyed.select("k1", "k2", "text").mapInArrow(run, "k1 long, k2 long, place long, seed long, whole long")
+
+
+def unpacked(rows: DataFrame) -> DataFrame:
+    """rows with p0, p1 and a, the places of the first and the last window and of the anchor, for place."""
+    p0 = F.shiftright("place", 20)
+    return rows.withColumns({"p0": p0, "p1": p0 + F.shiftright("place", 10).bitwiseAND(F.lit(1023)), "a": p0 + F.col("place").bitwiseAND(F.lit(1023))}).drop("place")
 
 
 def front_coded(rows: list[tuple]) -> bytes:
@@ -254,15 +260,16 @@ def repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     keyed = _keyed(docs)
     table = written(span_table(keyed), "spans")
-    counted = table.groupBy("seed", "whole").agg(F.count("*").alias("c"), F.min(F.struct("k1", "k2", "p0", "p1", "a")).alias("span"))
+    counted = table.groupBy("seed", "whole").agg(F.count("*").alias("c"), F.min(F.struct("k1", "k2", "place")).alias("span"))
     counted = written(counted, "spans-counted")
-    settled = counted.where("c > 1").select("seed", "whole")
-    plain = table.join(settled, ["seed", "whole"], "left_semi").select("k1", "k2", F.col("p0").alias("s"), (F.col("p1") + LENGTH).alias("e"))
+    # every span gets its count; where it is one, no bytes go
+    each = unpacked(table.join(counted.select("seed", "whole", "c"), ["seed", "whole"], "left"))
+    plain = each.select("k1", "k2", F.col("p0").alias("s"), F.when(F.col("c") > 1, F.col("p1") + LENGTH).alias("e")).where("e > s")
     open_ = counted.groupBy("seed").agg(F.count("*").alias("kinds"), F.min("c").alias("least")).where("kinds > 1 and least = 1").select("seed", "kinds")
-    wanted = written(counted.join(open_, "seed").select("seed", "kinds", F.col("c") == 1, "span.*").toDF("seed", "kinds", "single", "k1", "k2", "p0", "p1", "a"), "spans-open")
+    wanted = written(counted.join(open_, "seed").select("seed", "kinds", (F.col("c") == 1).alias("single"), "span.*"), "spans-open")
 
     def with_text(rows: DataFrame) -> DataFrame:
-        of_doc = rows.groupBy("k1", "k2").agg(F.collect_list(F.struct("seed", "single", "p0", "p1", "a")).alias("spans"))
+        of_doc = unpacked(rows).groupBy("k1", "k2").agg(F.collect_list(F.struct("seed", "single", "p0", "p1", "a")).alias("spans"))
         return keyed.select("k1", "k2", "text").join(of_doc, ["k1", "k2"])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
