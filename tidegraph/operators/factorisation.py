@@ -111,7 +111,7 @@ def sgd(ratings: DataFrame, dims: int = 20, rounds: int = 6, rate: float = 1e-3,
             stratum = ratings.where(F.col("bi") == (F.col("bu") + s) % blocks)
             rows = stratum.join(u.toDF("u", "fu"), "u").join(v.toDF("i", "fv"), "i")
 
-            def descend(table, step=step):
+            def descend(table):  # sent before step changes: each stratum is written at once
                 import pyarrow as pa
 
                 t = table.take(pa.array(np.lexsort((table["i"].to_numpy(), table["u"].to_numpy()))))

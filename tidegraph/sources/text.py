@@ -31,7 +31,7 @@ def multi_value_edge_list(spark: SparkSession, path: str) -> DataFrame:
 def adjacency_list(spark: SparkSession, path: str) -> DataFrame:
     """src, dst from lines `src n d1 .. dn`; a wrong n is ignored."""
     t = _tokens()
-    return _lines(spark, path).select(t[0].cast("long").alias("src"), F.explode(F.slice(t, 3, 1 << 30)).cast("long").alias("dst")).where("src <> dst")
+    return _lines(spark, path).select(t[0].cast("long").alias("src"), F.explode(F.transform(F.slice(t, 3, 1 << 30), lambda x: x.cast("long"))).alias("dst")).where("src <> dst")
 
 
 def metis(spark: SparkSession, path: str, shift: int = 0) -> DataFrame:
