@@ -113,7 +113,7 @@ def pack(docs: DataFrame, length: int = LENGTH, vocabulary: str | None = None, e
         file = vocabulary or tokens.vocabulary()
         for b in batches:
             buf, off = as_bytes(b.column("text"))
-            for i, j in slices(off):
+            for i, j in slices(off, 1 << 19):
                 ids, at = tokens.encode(file, buf[off[i] : off[j]], off[i : j + 1] - off[i], end_id)
                 small = ids.astype("<u2") if not len(ids) or ids.max() < 1 << 16 else ids.astype("<u4")
                 payload = pa.Array.from_buffers(pa.large_binary(), j - i, [None, pa.py_buffer((at * small.itemsize).astype(np.int64)), pa.py_buffer(small)])

@@ -82,14 +82,16 @@ def write_store(docs: DataFrame, path: str, vocabulary: str | None = None, end_i
         schema = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("n_tokens", pa.int64()), ("chunks", pa.list_(pa.binary())), ("sizes", pa.list_(pa.int32())), ("root", pa.binary()), ("fresh", pa.list_(pa.struct([("chunk_id", pa.binary()), ("n_ids", pa.int32()), ("payload", pa.binary())])))])
         for b in batches:
             buf, off = as_bytes(b.column("text"))
-            for i, j in slices(off):
+            for i, j in slices(off, 1 << 19):
                 ids, at = tokens.encode(file, buf[off[i] : off[j]], off[i : j + 1] - off[i], end_id)
                 if len(ids) and int(ids.max()) > np.iinfo(dtype).max:
                     raise ValueError(f"ids need more than {width} bytes")
                 data = ids.astype(dtype).tobytes()
-                cols: dict[str, list] = {k: [] for k in ("chunks", "sizes", "root", "fresh")}
+                cols: dict[str, list] = {k: [] for k in ("chunks", "sizes", "root")}
+                new: tuple[list[bytes], list[int], list[bytes]] = ([], [], [])
+                new_at = [0]
                 for start, ends in zip(at[:-1].tolist(), chunk_ends(ids, at), strict=True):
-                    names, sizes, fresh = [], [], []
+                    names, sizes = [], []
                     for end in ends:
                         part = data[start * width : end * width]
                         name = digest(part)
@@ -99,11 +101,16 @@ def write_store(docs: DataFrame, path: str, vocabulary: str | None = None, end_i
                             if len(seen) >= REMEMBERED:
                                 seen.clear()
                             seen.add(name)
-                            fresh.append({"chunk_id": name, "n_ids": end - start, "payload": part})
+                            for column, value in zip(new, (name, end - start, part), strict=True):
+                                column.append(value)
                         start = end
-                    for k, v in (("chunks", names), ("sizes", sizes), ("root", merkle_root(names)), ("fresh", fresh)):
+                    for k, v in (("chunks", names), ("sizes", sizes), ("root", merkle_root(names))):
                         cols[k].append(v)
-                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(i, j - i).cast(pa.int64()), b.column("row").slice(i, j - i), pa.array(np.diff(at)), *[pa.array(cols[k], schema.field(k).type) for k in cols]], schema=schema)
+                    new_at.append(len(new[0]))
+                kind = schema.field("fresh").type
+                fresh = pa.StructArray.from_arrays([pa.array(v, f.type) for v, f in zip(new, kind.value_type, strict=True)], fields=list(kind.value_type))
+                rest = [pa.array(cols[k], schema.field(k).type) for k in cols] + [pa.ListArray.from_arrays(pa.array(new_at, pa.int32()), fresh, type=kind)]
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(i, j - i).cast(pa.int64()), b.column("row").slice(i, j - i), pa.array(np.diff(at)), *rest], schema=schema)
 
     spark = docs.sparkSession
     staged = written(docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row")).mapInArrow(run, _STAGED), "ids-staged")
