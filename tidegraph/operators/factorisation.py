@@ -1,7 +1,7 @@
 """Matrix factorisation and related models over ratings (u, i, r[, weight or time]).
 
-Half-steps of alternating models gather a row's neighbours' factors with a join and solve its system in one
-grouped Arrow batch; gradient models run in blocks whose rows and columns don't meet (strata), so that each block
+Half-steps of alternating models gather a row's neighbours' factors with a join, sum its normal equations by parts
+of bounded size and solve them; gradient models run in blocks whose rows and columns don't meet (strata), so that each block
 is one task and steps inside it are sequential.
 """
 
@@ -22,52 +22,105 @@ def initial(ids: DataFrame, dims: int, seed: int) -> DataFrame:
     return ids.select("id", f.alias("f"))
 
 
-def _half(ratings: DataFrame, fixed: DataFrame, key: str, other: str, reg: float, by_degree: bool, weighted: bool, keep: int | None) -> DataFrame:
-    """Solves each row of `key` from the other side's factors. A row's normal equations are summed batch by batch.
+#: Ratings of one id that one task sums; ids with more are split over several.
+ROWS_A_TASK = 200_000
 
-    keep: if given, only so many entries of a solution stay (the largest, solved again on their own).
+
+def _spread(ratings: DataFrame, *keys: str) -> DataFrame:
+    """ratings with a part number per key, so that an id with very many ratings is summed by several tasks.
+
+    Rows with a null key go. Write the result before use: part numbers are random.
     """
-    rows = ratings.join(fixed, F.col(other) == F.col("id")).select(F.col(key).alias("id"), "f", "r", *(["w"] if weighted else []))
+    for k in keys:
+        n = ratings.groupBy(k).agg(F.ceil(F.count("*") / ROWS_A_TASK).alias("_n"))
+        ratings = ratings.join(n, k).withColumn(f"_part_{k}", F.floor(F.rand(1) * F.col("_n"))).drop("_n")
+    return ratings
 
-    def solve(table):
-        import pyarrow as pa
 
-        q = np.array(table["f"].to_pylist(), float)
-        r = table["r"].to_numpy()
-        w = table["w"].to_numpy() if weighted else np.ones(len(r))
-        lam = reg * (len(r) if by_degree else 1)
-        a, b = (q * w[:, None]).T @ q + lam * np.eye(q.shape[1]), (q * w[:, None]).T @ r
+def _solver(reg: float, by_degree: bool = False, keep: int | None = None):
+    """Least squares; keep: only so many entries of a solution stay (the largest, solved again on their own)."""
+
+    def solve(id_, a, b, n, old):
+        a = a + reg * (n if by_degree else 1) * np.eye(len(b))
         x = np.linalg.solve(a, b)
         if keep is not None and keep < len(x):
             best = np.sort(np.argsort(-np.abs(x))[:keep])
             x = np.zeros_like(x)
             x[best] = np.linalg.solve(a[np.ix_(best, best)], b[best])
-        return pa.table({"id": [table["id"][0].as_py()], "f": [x.tolist()]}, schema=pa.schema([("id", pa.int64()), ("f", pa.list_(pa.float64()))]))
+        return x
 
-    return rows.groupBy("id").applyInArrow(solve, FACTORS)
+    return solve
 
 
-def als(ratings: DataFrame, dims: int = 20, rounds: int = 6, reg: float = 0.065, by_degree: bool = False, weighted: bool = False, keep: int | None = None, seed: int = 1) -> tuple[DataFrame, DataFrame]:
-    """Factors of users and items (id, f) by alternating least squares; weighted: by column w; keep: sparse solutions."""
-    ratings = written(ratings, "ratings")
+def _coordinates(reg: float, by_degree: bool = False):
+    """One sweep over the coordinates of the old solution, each solved with the others fixed."""
+
+    def solve(id_, a, b, n, old):
+        x, lam = np.zeros(len(b)) if old is None else np.array(old, float), reg * (n if by_degree else 1)
+        for t in range(len(b)):
+            x[t] = (b[t] - a[t] @ x + a[t, t] * x[t]) / (lam + a[t, t]) if lam + a[t, t] > 0 else 0.0
+        return x
+
+    return solve
+
+
+def _half(ratings: DataFrame, fixed: DataFrame, key: str, other: str, solve, weighted: bool = False, own: DataFrame | None = None) -> DataFrame:
+    """id, f of the ids of `key` from the other side's factors: normal equations are summed by parts, then solved.
+
+    solve: (id, sum of qq', sum of rq, number of ratings, old solution if own is given) to the new solution.
+    """
+    rows = ratings.join(fixed, F.col(other) == F.col("id")).select(F.col(key).alias("id"), F.col(f"_part_{key}").alias("part"), "f", F.col("r").cast("double").alias("r"), *([F.col("w").cast("double").alias("w")] if weighted else []))
+
+    def sums(table):
+        import pyarrow as pa
+
+        q = np.asarray(table["f"].combine_chunks().flatten()).reshape(table.num_rows, -1)
+        r = table["r"].to_numpy()
+        wq = q * table["w"].to_numpy()[:, None] if weighted else q
+        return pa.table({"id": [table["id"][0].as_py()], "n": [len(r)], "g": [np.append((wq.T @ q).ravel(), wq.T @ r)]}, schema=pa.schema([("id", pa.int64()), ("n", pa.int64()), ("g", pa.list_(pa.float64()))]))
+
+    follows = own is not None
+    parts = rows.groupBy("id", "part").applyInArrow(sums, "id long, n long, g array<double>")
+    if follows:
+        parts = parts.join(own.toDF("id", "old"), "id", "left")
+
+    def solved(table):
+        import pyarrow as pa
+
+        g = np.asarray(table["g"].combine_chunks().flatten()).reshape(table.num_rows, -1).sum(0)
+        d = int((np.sqrt(1 + 4 * len(g)) - 1) / 2)
+        id_, old = table["id"][0].as_py(), table["old"][0].as_py() if follows else None
+        x = solve(id_, g[: d * d].reshape(d, d), g[d * d :], sum(table["n"].to_pylist()), old)
+        return pa.table({"id": [id_], "f": [np.asarray(x).tolist()]}, schema=pa.schema([("id", pa.int64()), ("f", pa.list_(pa.float64()))]))
+
+    return parts.groupBy("id").applyInArrow(solved, FACTORS)
+
+
+def als(ratings: DataFrame, dims: int = 20, rounds: int = 6, reg: float = 0.065, by_degree: bool = False, weighted: bool = False, keep: int | None = None, coordinate: bool = False, seed: int = 1) -> tuple[DataFrame, DataFrame]:
+    """Factors of users and items (id, f) by alternating least squares.
+
+    weighted: by column w; keep: sparse solutions; coordinate: one sweep over coordinates instead of a solution.
+    """
+    ratings = written(_spread(ratings, "u", "i"), "ratings")
+    solve = _coordinates(reg, by_degree) if coordinate else _solver(reg, by_degree, keep)
     v = written(initial(ratings.select(F.col("i").alias("id")).distinct(), dims, seed), "items")
-    u = None
+    u = written(initial(ratings.select(F.col("u").alias("id")).distinct(), dims, seed + 1), "users") if coordinate else None
     for _ in range(rounds):
-        u = written(_half(ratings, v, "u", "i", reg, by_degree, weighted, keep), "users")
-        v = written(_half(ratings, u, "i", "u", reg, by_degree, weighted, keep), "items")
+        u = written(_half(ratings, v, "u", "i", solve, weighted, u if coordinate else None), "users")
+        v = written(_half(ratings, u, "i", "u", solve, weighted, v if coordinate else None), "items")
     return u, v
 
 
 def tensor_als(ratings: DataFrame, dims: int = 20, rounds: int = 6, reg: float = 0.065, seed: int = 1) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Factors of users, items and times (u, i, t): each side is solved against the products of the other two."""
-    ratings = written(ratings, "ratings")
+    ratings = written(_spread(ratings, "u", "i", "t"), "ratings")
     side = {c: written(initial(ratings.select(F.col(c).alias("id")).distinct(), dims, seed + k), c) for k, c in enumerate("uit")}
     for _ in range(rounds):
         for c in "uit":
             x, y = (o for o in "uit" if o != c)
-            rows = ratings.join(side[x].toDF(x, "fx"), x).join(side[y].toDF(y, "fy"), y).select(c, "r", F.zip_with("fx", "fy", lambda p, q: p * q).alias("f"), F.monotonically_increasing_id().alias("k"))
+            rows = ratings.join(side[x].toDF(x, "fx"), x).join(side[y].toDF(y, "fy"), y).select(c, f"_part_{c}", "r", F.zip_with("fx", "fy", lambda p, q: p * q).alias("f"), F.monotonically_increasing_id().alias("k"))
             fixed = written(rows, "design")
-            side[c] = written(_half(fixed.select(F.col(c), F.col("k").alias("z"), "r"), fixed.select(F.col("k").alias("id"), "f"), c, "z", reg, False, False, None), c)
+            side[c] = written(_half(fixed.select(F.col(c), f"_part_{c}", F.col("k").alias("z"), "r"), fixed.select(F.col("k").alias("id"), "f"), c, "z", _solver(reg)), c)
     return side["u"], side["i"], side["t"]
 
 
@@ -92,57 +145,77 @@ def nmf(ratings: DataFrame, dims: int = 2, rounds: int = 2, seed: int = 1, floor
     return u, v
 
 
-def sgd(ratings: DataFrame, dims: int = 20, rounds: int = 6, rate: float = 1e-3, reg: float = 1e-3, decay: float = 0.9, bias: bool = False, implicit: bool = False, low: float | None = None, high: float | None = None, logistic: bool = False, blocks: int = 4, seed: int = 1) -> tuple[DataFrame, DataFrame, float]:
+#: Ratings that one block pair of gradient descent holds on average.
+ROWS_A_BLOCK = 1_000_000
+
+
+def implied(ratings: DataFrame, v: DataFrame, dims: int) -> DataFrame:
+    """u, n, z: number of a user's items, and the sum of their implicit factors over the root of n."""
+    rows = ratings.join(v.toDF("i", "fv"), "i")
+    got = rows.groupBy("u").agg(F.count("*").alias("n"), *[F.sum(F.col("fv")[dims + 1 + k]).alias(f"z{k}") for k in range(dims)])
+    return got.select("u", "n", F.array(*[F.col(f"z{k}") / F.sqrt("n") for k in range(dims)]).alias("z"))
+
+
+def sgd(ratings: DataFrame, dims: int = 20, rounds: int = 6, rate: float = 1e-3, reg: float = 1e-3, decay: float = 0.9, bias: bool = False, implicit: bool = False, low: float | None = None, high: float | None = None, logistic: bool = False, loss: str = "square", blocks: int | None = None, seed: int = 1) -> tuple[DataFrame, DataFrame, float]:
     """Stochastic gradient descent by strata: factors (id, f) of users and items, and the mean.
 
     Each round has `blocks` sub-rounds; in each, block b of users meets block (b + s) % blocks of items, one task a
-    pair, and goes through its ratings in order. f holds the factors, then the bias; with implicit also the item's
-    implicit factors, summed over a user's items (n^-1/2) into the user. logistic: predictions are squeezed into low..high.
+    pair, and goes through its ratings in order. blocks: None sets them by the number of ratings (ROWS_A_BLOCK).
+    f holds the factors, then the bias. implicit: an item's f has its implicit factors as well; their sum over all
+    items of a user (see `implied`) is taken at the start of a round and follows the block's own changes. logistic:
+    predictions are squeezed into low..high, the mean is that of the logits, loss is square, abs or logistic.
     """
+    if blocks is None:
+        blocks = max(1, int(np.ceil(np.sqrt(ratings.count() / ROWS_A_BLOCK))))
     ratings = written(ratings.select("u", "i", F.col("r").cast("double").alias("r"), F.pmod(F.xxhash64("u"), F.lit(blocks)).alias("bu"), F.pmod(F.xxhash64("i"), F.lit(blocks)).alias("bi")), "ratings")
     mean = float(ratings.agg(F.avg("r")).first()[0] or 0.0)
-    width = dims + 1 + (dims if implicit else 0)
+    if logistic:
+        share = min(max((mean - low) / (high - low), 1e-6), 1 - 1e-6)
+        mean = float(np.log(share / (1 - share)))
+    width = dims + 1
     u = written(initial(ratings.select(F.col("u").alias("id")).distinct(), width, seed), "users")
-    v = written(initial(ratings.select(F.col("i").alias("id")).distinct(), width, seed + 1), "items")
+    v = written(initial(ratings.select(F.col("i").alias("id")).distinct(), width + (dims if implicit else 0), seed + 1), "items")
 
     for k in range(rounds):
         step = rate * decay**k
+        around = written(implied(ratings, v, dims), "implied") if implicit else None
         for s in range(blocks):
-            stratum = ratings.where(F.col("bi") == (F.col("bu") + s) % blocks)
-            rows = stratum.join(u.toDF("u", "fu"), "u").join(v.toDF("i", "fv"), "i")
+            rows = ratings.where(F.col("bi") == (F.col("bu") + s) % blocks).join(u.toDF("u", "fu"), "u").join(v.toDF("i", "fv"), "i")
+            if implicit:
+                rows = rows.join(around, "u")
 
             def descend(table):  # sent before step changes: each stratum is written at once
                 import pyarrow as pa
 
                 t = table.take(pa.array(np.lexsort((table["i"].to_numpy(), table["u"].to_numpy()))))
-                us, vs = t["u"].to_pylist(), t["i"].to_pylist()
-                p = {x: np.array(f) for x, f in zip(us, t["fu"].to_pylist(), strict=True)}
-                q = {x: np.array(f) for x, f in zip(vs, t["fv"].to_pylist(), strict=True)}
-                own: dict[int, list[int]] = {}
-                for a, b in zip(us, vs, strict=True):
-                    own.setdefault(a, []).append(b)
-                for a, b, r in zip(us, vs, t["r"].to_pylist(), strict=True):
-                    x, y = p[a], q[b]
-                    user = x[:dims]
+                us, vs, rs = t["u"].to_numpy(), t["i"].to_numpy(), t["r"].to_numpy()
+                side = lambda ids, c: dict(zip(ids.tolist(), np.array(t[c].combine_chunks().flatten()).reshape(len(ids), -1), strict=True))
+                p, q = side(us, "fu"), side(vs, "fv")
+                cuts = np.flatnonzero(np.diff(us, prepend=us[0] - 1, append=us[-1] + 1))
+                for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                    x, own = p[int(us[lo])], [q[j] for j in vs[lo:hi].tolist()]
                     if implicit:
-                        norm = len(own[a]) ** -0.5
-                        user = user + norm * sum(q[c][dims + 1 :] for c in own[a])
-                    guess = user @ y[:dims] + ((mean + x[dims] + y[dims]) if bias else 0.0)
-                    slope = 1.0
-                    if logistic:
-                        g = 1 / (1 + np.exp(-guess))
-                        guess, slope = low + g * (high - low), g * (1 - g) * (high - low)
-                    elif low is not None:
-                        guess = min(max(guess, low), high)
-                    e = (r - guess) * slope
-                    y[:dims] += step * (e * user - reg * y[:dims])
-                    x[:dims] += step * (e * y[:dims] - reg * x[:dims])
-                    if bias:
-                        x[dims] += step * (e - reg * x[dims])
-                        y[dims] += step * (e - reg * y[dims])
+                        norm, around_user, pulled = float(t["n"][lo].as_py()) ** -0.5, np.array(t["z"][lo].as_py()), np.zeros(dims)
+                    for y, r in zip(own, rs[lo:hi].tolist(), strict=True):
+                        user = x[:dims] + around_user if implicit else x[:dims]
+                        guess = user @ y[:dims] + ((mean + x[dims] + y[dims]) if bias else 0.0)
+                        if logistic:
+                            g = 1 / (1 + np.exp(-guess))
+                            e, slope = r - (low + g * (high - low)), g * (1 - g) * (high - low)
+                            e = {"square": e * slope, "abs": np.sign(e) * slope, "logistic": e}[loss]
+                        else:
+                            e = r - (guess if low is None else min(max(guess, low), high))
+                            e = np.sign(e) if loss == "abs" else e
+                        if implicit:
+                            pulled += e * y[:dims]
+                        y[:dims] += step * (e * user - reg * y[:dims])
+                        x[:dims] += step * (e * y[:dims] - reg * x[:dims])
+                        if bias:
+                            x[dims] += step * (e - reg * x[dims])
+                            y[dims] += step * (e - reg * y[dims])
                     if implicit:
-                        for c in own[a]:
-                            q[c][dims + 1 :] += step * (e * norm * y[:dims] - reg * q[c][dims + 1 :])
+                        for y in own:
+                            y[dims + 1 :] += step * (norm * pulled - reg * y[dims + 1 :])
                 out = [(0, i, f.tolist()) for i, f in p.items()] + [(1, i, f.tolist()) for i, f in q.items()]
                 return pa.table({"side": [x[0] for x in out], "id": [x[1] for x in out], "f": [x[2] for x in out]}, schema=pa.schema([("side", pa.int32()), ("id", pa.int64()), ("f", pa.list_(pa.float64()))]))
 
@@ -152,14 +225,22 @@ def sgd(ratings: DataFrame, dims: int = 20, rounds: int = 6, rate: float = 1e-3,
     return u, v, mean
 
 
-def predictions(pairs: DataFrame, u: DataFrame, v: DataFrame, dims: int, mean: float | None = None, low: float | None = None, high: float | None = None) -> DataFrame:
-    """pairs (u, i, ..) with prediction; unseen ids get bias 0 and factors 1; mean: add it and the biases (after the factors)."""
+def predictions(pairs: DataFrame, u: DataFrame, v: DataFrame, dims: int, mean: float | None = None, low: float | None = None, high: float | None = None, logistic: bool = False, implicit_from: DataFrame | None = None) -> DataFrame:
+    """pairs (u, i, ..) with prediction; unseen ids get bias 0 and factors 1; mean: add it and the biases (after the factors).
+
+    low, high: bounds, or with logistic the link's ends; implicit_from: ratings whose items add implicit factors to users.
+    """
     ones = F.array(*[F.lit(1.0)] * dims, F.lit(0.0))
+    if implicit_from is not None:
+        near = implied(implicit_from, v, dims).select(F.col("u").alias("id"), "z")
+        u = u.join(near, "id", "left").select("id", F.array(*[F.col("f")[k] + F.coalesce(F.col("z")[k], F.lit(0.0)) for k in range(dims)], F.col("f")[dims]).alias("f"))
     rows = pairs.join(u.toDF("u", "fu"), "u", "left").join(v.toDF("i", "fv"), "i", "left").withColumns({"fu": F.coalesce("fu", ones), "fv": F.coalesce("fv", ones)})
     dot = F.aggregate(F.zip_with(F.slice("fu", 1, dims), F.slice("fv", 1, dims), lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
     if mean is not None:
         dot = dot + mean + F.element_at("fu", dims + 1) + F.element_at("fv", dims + 1)
-    if low is not None:
+    if logistic:
+        dot = low + (high - low) / (1 + F.exp(-dot))
+    elif low is not None:
         dot = F.least(F.greatest(dot, F.lit(float(low))), F.lit(float(high)))
     return rows.withColumn("prediction", dot).drop("fu", "fv")
 

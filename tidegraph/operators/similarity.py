@@ -85,8 +85,79 @@ def ratings_from_similarity(ratings: DataFrame, sims: DataFrame, k: int, power:
     return top_k(score.where("score <> 0").join(ratings.select("u", "i"), ["u", "i"], "left_anti"), "u", "i", "score", k)
 
 
-def recommend(users: DataFrame, items: DataFrame, known: DataFrame, k: int) -> DataFrame:
-    """u, i, score, rank: dot products of factors (u, f), (i, f) over unknown pairs; items in blocks against all users."""
-    dot = F.aggregate(F.zip_with("uf", "vf", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    all_ = users.select("u", F.col("f").alias("uf")).join(items.select("i", F.col("f").alias("vf")), F.lit(True)).select("u", "i", dot.alias("score"))
-    return top_k(all_.join(known.select("u", "i"), ["u", "i"], "left_anti"), "u", "i", "score", k)
+def chances(ratings: DataFrame) -> tuple[float, int, int]:
+    """The constant c = L / (M N - L) of the probabilistic similarity, the number of users M and of items N; L counts ratings."""
+    got = ratings.agg(F.count("*").alias("l"), F.countDistinct("u").alias("m"), F.countDistinct("i").alias("n")).first()
+    free = got["m"] * got["n"] - got["l"]
+    return (got["l"] / free if free else float("inf")), got["m"], got["n"]
+
+
+def _chance(c: float, users: int, items: int, user_degree, item_degree):
+    """Probability that a user with so many ratings rated an item with so many."""
+    return 1 / (1 + c * ((items - user_degree) / user_degree) * ((users - item_degree) / item_degree))
+
+
+def probabilistic(ratings: DataFrame, min_common: int = 1) -> DataFrame:
+    """a > b, probability: common users over the number to be expected, from the users of b, if choices were random.
+
+    The expectation depends on a's degree alone, so it is summed once per (b, degree of a) over b's users by degree.
+    """
+    c, users, items = chances(ratings)
+    per_item = ratings.groupBy("i").agg(F.count("*").alias("n"))
+    degree = ratings.groupBy("u").agg(F.count("*").alias("deg"))
+    p = pairs(ratings, min_common).select("a", "b", "n_ab").join(per_item.toDF("a", "n_a"), "a")
+    users_of = ratings.join(degree, "u").groupBy(F.col("i").alias("b"), "deg").agg(F.count("*").alias("many"))
+    expected = p.select("b", "n_a").distinct().join(users_of, "b").groupBy("b", "n_a").agg(F.sum(F.col("many") * _chance(c, users, items, F.col("deg"), F.col("n_a"))).alias("expected"))
+    return p.join(expected, ["b", "n_a"]).select("a", "b", (F.col("n_ab") / F.col("expected")).alias("probability"))
+
+
+def ratings_from_probability(ratings: DataFrame, sims: DataFrame, k: int) -> DataFrame:
+    """u, i, score, rank: chance * (1 + sum of (2 r - 1) (sim - 1)) over directed sims (a to b) above 1, for items not rated yet."""
+    c, users, items = chances(ratings)
+    pulled = ratings.join(sims.where("sim > 1"), F.col("i") == F.col("a")).groupBy("u", F.col("b").alias("i")).agg(F.sum((F.col("r") - 0.5) / 0.5 * (F.col("sim") - 1)).alias("pull"))
+    new = pulled.join(ratings.select("u", "i"), ["u", "i"], "left_anti")
+    new = new.join(ratings.groupBy("u").agg(F.count("*").alias("du")), "u").join(ratings.groupBy("i").agg(F.count("*").alias("di")), "i")
+    return top_k(new.select("u", "i", (_chance(c, users, items, F.col("du"), F.col("di")) * (1 + F.col("pull"))).alias("score")), "u", "i", "score", k)
+
+
+def recommend(users: DataFrame, items: DataFrame, known: DataFrame, k: int, share: float = 1.0, block: int = 4096, seed: int = 1) -> DataFrame:
+    """u, i, score, rank: best dot products of factors (u, f), (i, f) over unknown pairs, ties by item.
+
+    Blocks of users meet blocks of items as matrix products; only a block's k best of each user leave it.
+    share: only so large a part of the items, drawn by hash, is scored.
+    """
+    import numpy as np
+
+    if share < 1:
+        items = items.where(F.pmod(F.xxhash64("i", F.lit(seed)), F.lit(1_000_003)) < share * 1_000_003)
+    nu, ni = (max(1, -(-df.count() // block)) for df in (users, items))
+    bu, bi = F.pmod(F.xxhash64("u"), F.lit(nu)).cast("int"), F.pmod(F.xxhash64("i"), F.lit(ni)).cast("int")
+    left = users.select(F.lit(0).alias("side"), F.col("u").alias("x"), F.lit(None).cast("long").alias("y"), "f", bu.alias("bu"), F.explode(F.sequence(F.lit(0), F.lit(ni - 1))).alias("bi"))
+    right = items.select(F.lit(1).alias("side"), F.lit(None).cast("long").alias("x"), F.col("i").alias("y"), "f", F.explode(F.sequence(F.lit(0), F.lit(nu - 1))).alias("bu"), bi.alias("bi"))
+    seen = known.select("u", "i").distinct().select(F.lit(2).alias("side"), F.col("u").alias("x"), F.col("i").alias("y"), F.array().cast("array<double>").alias("f"), bu.alias("bu"), bi.alias("bi"))
+
+    def best(table):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        part = lambda s: table.filter(pc.equal(table["side"], s))
+        a, b, old = part(0), part(1).sort_by("y"), part(2)
+        out = {"u": [], "i": [], "score": []}
+        if a.num_rows and b.num_rows:
+            mat = lambda t: np.asarray(t["f"].combine_chunks().flatten()).reshape(t.num_rows, -1)
+            us, vs = a["x"].to_numpy(), b["y"].to_numpy()
+            score = mat(a) @ mat(b).T
+            order = np.argsort(us)
+            ou, ov = old["x"].to_numpy(), old["y"].to_numpy()
+            at, bt = np.minimum(np.searchsorted(us[order], ou), len(us) - 1), np.minimum(np.searchsorted(vs, ov), len(vs) - 1)
+            hit = (us[order][at] == ou) & (vs[bt] == ov)
+            score[order[at[hit]], bt[hit]] = -np.inf
+            for row, u in zip(score, us.tolist(), strict=True):
+                take = np.lexsort((vs, -row))[:k]
+                take = take[row[take] > -np.inf]
+                out["u"] += [u] * len(take)
+                out["i"] += vs[take].tolist()
+                out["score"] += row[take].tolist()
+        return pa.table(out, schema=pa.schema([("u", pa.int64()), ("i", pa.int64()), ("score", pa.float64())]))
+
+    return top_k(left.unionByName(right).unionByName(seen).groupBy("bu", "bi").applyInArrow(best, "u long, i long, score double"), "u", "i", "score", k)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidegraph.operators import etl, evaluation, factorisation, graph, similarity
+from tidegraph.operators import etl, evaluation, factorisation, graph, models, similarity
 from tidegraph.sources import generators
 from tidegraph.sources.derived import SQL, co_purchase, user_item, user_next, weighted
 from tidegraph.streaming import ingest
@@ -265,6 +265,22 @@ def _(spark, d):
     return similarity.log_likelihood(user_item(spark, d))
 
 
+_CHANCE = ", k AS (SELECT (count(*) / (count(DISTINCT u) * count(DISTINCT i) - count(*))::DOUBLE) c, count(DISTINCT u) m, count(DISTINCT i) n FROM ui), du AS (SELECT u, count(*) d FROM ui GROUP BY 1), di AS (SELECT i, count(*) d FROM ui GROUP BY 1)"
+
+
+@query("similarity_probabilistic", _CHANCE + ", p AS (SELECT x.i a, y.i b, count(*) n_ab FROM ui x JOIN ui y USING (u) WHERE x.i > y.i GROUP BY 1, 2), ex AS (SELECT p.a, p.b, sum(1 / (1 + k.c * ((k.n - du.d) / du.d) * ((k.m - di.d) / di.d))) e FROM p JOIN ui ON ui.i = p.b JOIN du ON du.u = ui.u JOIN di ON di.i = p.a, k GROUP BY 1, 2) SELECT a, b, round(n_ab / e, 6) AS probability FROM p JOIN ex USING (a, b)", ("ui",))
+def _(spark, d):
+    return rounded(similarity.probabilistic(user_item(spark, d)), "probability")
+
+
+@query("ratings_from_probability", _CHANCE + ", s AS (SELECT DISTINCT x.i a, y.i b, 1 + ((x.i * 31 + y.i * 17) % 100) / 100.0::DOUBLE sim FROM ui x JOIN ui y USING (u) WHERE x.i <> y.i AND (x.i + y.i) % 10 = 0), q AS (SELECT ui.u, s.b i, sum((ui.r - 0.5) / 0.5 * (s.sim - 1)) q FROM ui JOIN s ON s.a = ui.i WHERE s.sim > 1 GROUP BY 1, 2), sc AS (SELECT q.u, q.i, 1 / (1 + k.c * ((k.n - du.d) / du.d) * ((k.m - di.d) / di.d)) * (1 + q) score FROM q JOIN du ON du.u = q.u JOIN di ON di.i = q.i, k WHERE NOT EXISTS (SELECT 1 FROM ui WHERE ui.u = q.u AND ui.i = q.i)) SELECT u, i, round(score, 4) AS score, rn::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY u ORDER BY score DESC, i) rn FROM sc) WHERE rn <= 5", ("ui",))
+def _(spark, d):
+    r = user_item(spark, d)
+    s = similarity.pairs(r).select("a", "b")
+    s = s.union(s.select("b", "a")).where("(a + b) % 10 = 0").withColumn("sim", 1 + ((F.col("a") * 31 + F.col("b") * 17) % 100) / 100.0)
+    return rounded(similarity.ratings_from_probability(r, s, 5), "score", places=4)
+
+
 @query("similarity_weighted_jaccard", ", e AS (SELECT src, dst, ((src * 7919 + dst * 104729) % 1000) + 1 AS weight FROM co), t AS (SELECT v, sum(weight) t FROM (SELECT src v, weight FROM e UNION ALL SELECT dst, weight FROM e) GROUP BY 1) SELECT src, dst, round(weight / (x.t + y.t - weight), 6) AS score FROM e JOIN t x ON x.v = src JOIN t y ON y.v = dst", ("co",))
 def _(spark, d):
     e = co_purchase(spark, d).withColumn("weight", (F.col("src") * 7919 + F.col("dst") * 104729) % 1000 + 1)
@@ -334,6 +350,72 @@ def _(spark, d):
     return _fit(r, u, v, 4, m)
 
 
+@query("coordinate_als_fit")
+def _(spark, d):
+    r = user_item(spark, d)
+    u, v = factorisation.als(r, 4, 2, coordinate=True)
+    return _fit(r, u, v, 4)
+
+
+@query("implicit_sgd_fit")
+def _(spark, d):
+    r = user_item(spark, d)
+    u, v, m = factorisation.sgd(r, 4, 1, rate=0.002, bias=True, implicit=True)
+    return rounded(evaluation.errors(factorisation.predictions(r, u, v, 4, m, implicit_from=r)), "rmse", "mae", places=4)
+
+
+@query("logistic_sgd_fit")
+def _(spark, d):
+    r = user_item(spark, d)
+    low, high = (float(x) for x in r.agg(F.min("r"), F.max("r")).first())
+    u, v, m = factorisation.sgd(r, 4, 1, rate=0.002, bias=True, low=low, high=high, logistic=True)
+    return rounded(evaluation.errors(factorisation.predictions(r, u, v, 4, m, low, high, logistic=True)), "rmse", "mae", places=4)
+
+
+def _timed(spark, d):
+    return user_item(spark, d).withColumn("t", (F.col("u") + 3 * F.col("i")) % 7)
+
+
+@query("machine_fit")
+def _(spark, d):
+    r = models.with_last_item(_timed(spark, d)).withColumn("row", F.struct("u", "i"))
+    x = models.design(r, "row", ["u", "i", "t", "last"])
+    w, m = models.fm(x, r, 4, 2, rate=0.1)
+    return rounded(evaluation.errors(models.fm_predict(x, r, w, m, 4)), "rmse", "mae", places=4)
+
+
+@query("time_fit")
+def _(spark, d):
+    r = _timed(spark, d)
+    side, m = models.time_svd(r, 4, 2, rate=0.1)
+    return rounded(evaluation.errors(models.time_svd_predict(r, r, side, m, 4)), "rmse", "mae", places=4)
+
+
+@query("ranking_factors")
+def _(spark, d):
+    return rounded(models.climf(user_item(spark, d), 4, 2, cutoff=50.0)[0].select("id", F.posexplode("f").alias("k", "f")), "f")
+
+
+@query("boltzmann_fit")
+def _(spark, d):
+    r = user_item(spark, d)
+    top = float(r.agg(F.max("r")).first()[0])
+    items = models.boltzmann(r, 6, top / 5, 4, 2)
+    return rounded(evaluation.errors(models.boltzmann_predict(r, r, items, 6, 4, top / 5)), "rmse", "mae", places=4)
+
+
+@query("sampled_factors_fit")
+def _(spark, d):
+    r = user_item(spark, d)
+    return rounded(evaluation.errors(models.sampled_factors(r, r, 4, 3, 1)[2]), "rmse", "mae", places=4)
+
+
+@query("topic_words")
+def _(spark, d):
+    words = F.explode(F.split(F.lower("p_name"), r"[^a-z]+"))
+    return models.topic_words(models.topics(table(spark, d, "part").select(F.col("p_partkey").alias("d"), words.alias("w")).where("w <> ''"), 5, 2), 10)
+
+
 @query("top_n_recommendations")
 def _(spark, d):
     r = user_item(spark, d)
