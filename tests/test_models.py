@@ -39,7 +39,7 @@ def test_gradient_variants(spark):
     assert rmse(factorisation.predictions(r, u, v, 2, m, implicit_from=r)) < base * 0.9
     low, high = -4.0, 10.0
     for loss in ("square", "abs", "logistic"):
-        u, v, m = factorisation.sgd(r, 2, 3, rate=0.02, decay=1.0, bias=True, low=low, high=high, logistic=True, loss=loss)
+        u, v, m = factorisation.sgd(r, 2, 6, rate=0.02, decay=0.7, bias=True, low=low, high=high, logistic=True, loss=loss)
         got = factorisation.predictions(r, u, v, 2, m, low, high, logistic=True)
         assert rmse(got) < base and got.where((F.col("prediction") < low) | (F.col("prediction") > high)).count() == 0
 

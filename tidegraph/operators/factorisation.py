@@ -173,8 +173,8 @@ def sgd(ratings: DataFrame, dims: int = 20, rounds: int = 6, rate: float = 1e-3,
         share = min(max((mean - low) / (high - low), 1e-6), 1 - 1e-6)
         mean = float(np.log(share / (1 - share)))
     width = dims + 1
-    u = written(initial(ratings.select(F.col("u").alias("id")).distinct(), width, seed), "users")
-    v = written(initial(ratings.select(F.col("i").alias("id")).distinct(), width + (dims if implicit else 0), seed + 1), "items")
+    start = lambda c, w, n: written(initial(ratings.select(F.col(c).alias("id")).distinct(), w, n).select("id", F.transform("f", lambda x, k: F.when(k == dims, 0.0).otherwise(x)).alias("f")), c)  # noqa: E731, biases start at 0
+    u, v = start("u", width, seed), start("i", width + (dims if implicit else 0), seed + 1)
 
     for k in range(rounds):
         step = rate * decay**k

@@ -335,7 +335,7 @@ def topics(tokens: DataFrame, n_topics: int = 10, rounds: int = 10, alpha: float
     counts of all documents meet between rounds. A document is one task's group.
     """
     at = tokens.select("d", "w").dropna().withColumn("row", F.monotonically_increasing_id())
-    at = written(written(at, "tokens").select("d", "w", "row", F.pmod(F.xxhash64("row", F.lit(seed)), F.lit(n_topics)).cast("int").alias("z")), "topics")
+    at = written(written(at, "tokens").select("d", "w", "row", F.pmod(F.xxhash64("row", F.lit(seed)), F.lit(n_topics)).cast("long").alias("z")), "topics")
     words = at.select("w").distinct().count()
     for n in range(rounds):
         totals = [0] * n_topics
@@ -362,7 +362,7 @@ def topics(tokens: DataFrame, n_topics: int = 10, rounds: int = 10, alpha: float
                 c[new] += 1
                 all_[new] += 1
                 doc[new] += 1
-            return t.select(["d", "w", "row"]).append_column("z", pa.array(z, pa.int32()))
+            return pa.table([t["d"], t["w"], t["row"], pa.array(z, pa.int64())], names=["d", "w", "row", "z"])
 
         schema = ", ".join(f"{c} {at.schema[c].dataType.simpleString()}" for c in ("d", "w", "row", "z"))
         at = written(at.join(per_word, "w").select("d", "w", "row", "z", "counts").groupBy("d").applyInArrow(resample, schema), "topics")
@@ -390,5 +390,5 @@ def topic_likelihood(at: DataFrame, n_topics: int, beta: float = 0.1) -> float:
             z, n, many = (b[c].to_pylist() for c in ("z", "n", "many"))
             yield pa.RecordBatch.from_pydict({"z": z, "n": [x * m for x, m in zip(n, many, strict=True)], "v": [(lgamma(x + beta) - lgamma(beta)) * m for x, m in zip(n, many, strict=True)]})
 
-    got = counts.mapInArrow(part, "z int, n long, v double").groupBy("z").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).collect()  # n_topics rows
+    got = counts.mapInArrow(part, "z long, n long, v double").groupBy("z").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).collect()  # n_topics rows
     return sum(lgamma(words * beta) - lgamma(r["n"] + words * beta) + r["v"] for r in got)
