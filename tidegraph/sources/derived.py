@@ -19,11 +19,11 @@ def user_item(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.groupBy(F.col("user_id").alias("u"), F.get_json_object("props", "$.k").cast("long").alias("i")).agg(F.avg("value").alias("r"))
 
 
-def co_purchase(spark: SparkSession, sf_dir: str, thin: int = 100) -> DataFrame:
-    """src < dst: parts that share an order, thinned."""
+def co_purchase(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """src < dst: parts that share an order."""
     li = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_partkey").distinct()
     a, b = li.toDF("o", "src"), li.toDF("o", "dst")
-    return a.join(b, "o").where(f"src < dst and (src * 31 + dst * 17) % {thin} = 0").select("src", "dst").distinct()
+    return a.join(b, "o").where("src < dst").select("src", "dst").distinct()
 
 
 def weighted(edges: DataFrame) -> DataFrame:
