@@ -61,3 +61,35 @@ def test_spanning_forest_and_k_core(spark):
             for x in near.pop(v):
                 near.get(x, set()).discard(v)
     assert {r["id"]: r["core"] for r in registry.queries()["k_core"](spark, SF).collect()} == core
+
+
+def strong(edges):
+    """The least vertex that each vertex reaches and is reached from."""
+    out = {}
+    for a, b in edges:
+        out.setdefault(a, set()).add(b)
+        out.setdefault(b, set())
+
+    def reach(v):
+        seen, todo = {v}, [v]
+        while todo:
+            new = out[todo.pop()] - seen
+            seen |= new
+            todo += new
+        return seen
+
+    r = {v: reach(v) for v in out}
+    return {v: min(x for x in r[v] if v in r[x]) for v in out}
+
+
+def test_strong_components(spark):
+    edges = [tuple(r) for r in derived.user_next(spark, SF).collect()]
+    assert {r["id"]: r["label"] for r in registry.queries()["strong_components"](spark, SF).collect()} == strong(edges)
+
+
+def test_many_strong_components(spark):
+    from tidegraph.operators import graph
+
+    edges = [(7, 3), (3, 5), (5, 7), (5, 9), (9, 8), (8, 9), (8, 20), (20, 21), (21, 22), (22, 20), (30, 30), (31, 30), (40, 41), (41, 40), (41, 7)]
+    got = graph.strong_components(spark.createDataFrame(edges, "src long, dst long")).collect()
+    assert {r["id"]: r["label"] for r in got} == strong(edges)
