@@ -93,3 +93,13 @@ def test_many_strong_components(spark):
     edges = [(7, 3), (3, 5), (5, 7), (5, 9), (9, 8), (8, 9), (8, 20), (20, 21), (21, 22), (22, 20), (30, 30), (31, 30), (40, 41), (41, 40), (41, 7)]
     got = graph.strong_components(spark.createDataFrame(edges, "src long, dst long")).collect()
     assert {r["id"]: r["label"] for r in got} == strong(edges)
+
+
+@pytest.mark.parametrize("name, filter", [("ratings_from_similarity", " WHERE (a + b) % 10 = 0"), ("ratings_from_probability", " AND (x.i + y.i) % 10 = 0")])
+def test_ratings_from_all_pairs(spark, db, name, filter):  # noqa: F811
+    """Scores by user and rank: ties may fall either way."""
+    sql = registry.oracle_sql()[name]
+    assert filter in sql
+    got = {(r["u"], r["rank"]): r["score"] for r in registry.queries()[name](spark, SF).collect()}
+    want = {(u, n): s for u, _, s, n in db.execute(sql.replace(filter, "")).fetchall()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 2e-4 for k in want)

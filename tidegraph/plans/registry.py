@@ -277,7 +277,7 @@ def _(spark, d):
 def _(spark, d):
     r = user_item(spark, d)
     s = similarity.pairs(r).select("a", "b")
-    s = s.union(s.select("b", "a")).where("(a + b) % 10 = 0").withColumn("sim", 1 + ((F.col("a") * 31 + F.col("b") * 17) % 100) / 100.0)
+    s = s.union(s.select("b", "a")).withColumn("sim", 1 + ((F.col("a") * 31 + F.col("b") * 17) % 100) / 100.0)
     return rounded(similarity.ratings_from_probability(r, s, 5), "score", places=4)
 
 
@@ -290,7 +290,7 @@ def _(spark, d):
 @query("ratings_from_similarity", _PAIRS + ", s AS (SELECT a, b, n_ab / (na + nb - n_ab) AS sim FROM p WHERE (a + b) % 10 = 0), bs AS (SELECT a, b, sim FROM s UNION SELECT b, a, sim FROM s), sc AS (SELECT u, b AS i, sum(r * sim * sim * sim) AS score FROM ui JOIN bs ON bs.a = ui.i GROUP BY 1, 2) SELECT u, i, round(score, 4) AS score, n::INT AS rank FROM (SELECT sc.*, row_number() OVER (PARTITION BY sc.u ORDER BY score DESC, sc.i) n FROM sc WHERE score <> 0 AND NOT EXISTS (SELECT 1 FROM ui WHERE ui.u = sc.u AND ui.i = sc.i)) WHERE n <= 5", ("ui",))
 def _(spark, d):
     r = user_item(spark, d)
-    s = similarity.similarities(r).where("(a + b) % 10 = 0").select("a", "b", F.col("jaccard").alias("sim"))
+    s = similarity.similarities(r).select("a", "b", F.col("jaccard").alias("sim"))
     return rounded(similarity.ratings_from_similarity(r, s, 5), "score", places=4)
 
 
