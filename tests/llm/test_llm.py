@@ -301,6 +301,19 @@ def test_packing(docs, none):
     assert packing.pack(none).count() == 0
 
 
+def test_packing_asks_the_whole_table(spark):
+    """Families of copies, dealt over many shards and longer lists than one answer, end side by side."""
+    rng = random.Random(9)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(3000)]
+    families = [[rng.choice(words) for _ in range(12)] for _ in range(4)]
+    table = spark.createDataFrame([(i, " ".join(families[i % 4])) for i in range(480)], "doc_id long, text string")
+    windows = defaultdict(set)
+    for r in packing.pack(table, length=512, docs_per_shard=20).collect():
+        windows[r["sequence_id"]].add(r["doc_id"] % 4)
+    assert sum(len(v) == 1 for v in windows.values()) >= 0.8 * len(windows)
+    assert len({k >> 32 for k in windows}) < 24
+
+
 def test_bpe(docs, none):
     tiktoken = pytest.importorskip("tiktoken")
     b = bpe.Bpe.load(P.path("byte_bpe_50k.tiktoken"))

@@ -1,9 +1,11 @@
 """Lexical retrieval packing: windows of one length filled with a seed document and its nearest unused neighbours.
 
-Documents are dealt to shards of about DOCS_PER_SHARD. A shard holds a BM25 inverted index over its documents'
-token ids. An unused document opens a window; the index returns its nearest unused neighbours, which fill the
-window in turn. A document that reaches over the end of a window is cut there and opens the next, so each shard
-pads one window at most.
+Nearness is BM25 with all terms of the seed and the statistics of the whole table. Documents are dealt to shards, each
+with the postings of its documents, and every seed asks every shard, so its neighbours come from the whole table. Many
+chains of windows grow at once. In a round each chain's seed gets its best unused documents; pairs of a chain and a
+document are settled by falling score until the chain's window is full; a chain whose list ends before asks again with
+the same seed. A document that reaches over the end of a window is cut there and is the seed of the next. The windows
+that chains leave open when no document is left are joined, so one window is padded at most.
 """
 
 from __future__ import annotations
@@ -17,97 +19,90 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidegraph.llm import tokens
-from tidegraph.llm.common import as_bytes, documents, slices
-
-LENGTH, DOCS_PER_SHARD = 2048, 2000
-#: BM25's constants, and how many of a seed's weightiest terms ask the index.
-K1, B, QUERY_TERMS = 1.2, 0.75, 12
-
-
-class Index:
-    """BM25 postings of some documents; ids: all their tokens, off: where each begins."""
-
-    def __init__(self, ids: np.ndarray, off: np.ndarray):
-        size = np.diff(off)
-        self.n = len(size)
-        doc = np.repeat(np.arange(self.n, dtype=np.int32), size)
-        order = np.argsort(ids, kind="stable")  # by term, then by document
-        term, doc = ids[order], doc[order]
-        first = np.flatnonzero(np.concatenate([[True], (term[1:] != term[:-1]) | (doc[1:] != doc[:-1])])) if len(term) else np.zeros(0, np.int64)
-        tf = np.diff(np.append(first, len(term))).astype(np.float32)
-        term, self.doc = term[first].astype(np.int64), doc[first]
-        n_terms = int(term.max()) + 1 if len(term) else 0
-        df = np.bincount(term, minlength=n_terms)
-        self.end = np.cumsum(df)
-        self.start = self.end - df
-        idf = np.log1p((self.n - df + 0.5) / (df + 0.5)).astype(np.float32)
-        mean = max(float(size.mean()), 1.0) if self.n else 1.0
-        self.weight = idf[term] * tf * (K1 + 1) / (tf + (K1 * (1 - B + B * size[self.doc] / mean)).astype(np.float32))
-        # each document's weightiest terms
-        by = np.lexsort((-self.weight, self.doc))
-        rank = np.arange(len(by)) - np.concatenate([[0], np.cumsum(np.bincount(self.doc, minlength=self.n))])[self.doc[by]]
-        top = by[rank < QUERY_TERMS]
-        self.query = term[top]
-        self.query_end = np.cumsum(np.bincount(self.doc[top], minlength=self.n))
-
-    def neighbours(self, seed: int, unused: np.ndarray) -> np.ndarray:
-        """Unused documents by falling score; those without a shared term follow in order."""
-        terms = self.query[self.query_end[seed - 1] if seed else 0 : self.query_end[seed]]
-        parts = [slice(a, b) for a, b in zip(self.start[terms].tolist(), self.end[terms].tolist(), strict=True)]
-        if not parts:
-            return np.flatnonzero(unused)[:64]
-        score = np.bincount(np.concatenate([self.doc[p] for p in parts]), np.concatenate([self.weight[p] for p in parts]), self.n)
-        score[~unused] = -1
-        few = min(64, self.n - 1)
-        best = np.argpartition(-score, few)[: few + 1]
-        best = best[np.lexsort((best, -score[best]))]
-        return best[score[best] >= 0]
-
-
-def fill(size: list[int], nearest, length: int = LENGTH) -> list[tuple[int, int, int, int, int]]:
-    """(document, start, length, window, offset) of each piece; nearest(seed, unused) as Index.neighbours."""
-    unused, out = np.ones(len(size), bool), []
-    window, used, seed_at = 0, 0, 0
-
-    def put(d: int) -> None:
-        nonlocal window, used
-        start = 0
-        while start < size[d]:
-            n = min(length - used, size[d] - start)
-            out.append((d, start, n, window, used))
-            start, used = start + n, used + n
-            if used == length:
-                window, used = window + 1, 0
-
-    seed = None  # the document, put already, whose neighbours come next
+from tidegraph.llm.common import as_bytes, documents, mixed, slices, written
+
+LENGTH, DOCS_PER_SHARD = 2048, 4000
+#: BM25's constants.
+K1, B = 1.2, 0.75
+#: Windows a chain fills, about; chains at most; a list holds so many times the tokens that its window lacks.
+WINDOWS_PER_CHAIN, MOST_CHAINS, SLACK = 16, 20_000, 4
+#: Seeds that ask a shard together.
+BLOCK = 500
+
+
+def postings(each: list[np.ndarray]) -> np.ndarray:
+    """Rows term, document, frequency, by term and then document."""
+    size = [len(x) for x in each]
+    whole = np.concatenate(each).astype(np.int64) if each else np.zeros(0, np.int64)
+    key, tf = np.unique(whole * len(each) + np.repeat(np.arange(len(each)), size), return_counts=True)
+    return np.stack([key // max(len(each), 1), key % max(len(each), 1), tf]).astype("<u4")
+
+
+def weights(term: np.ndarray, tf: np.ndarray, size: np.ndarray, df: np.ndarray, n: int, mean: float) -> np.ndarray:
+    """BM25 weight of each posting; size: tokens of its document."""
+    idf = np.log1p((n - df[term] + 0.5) / (df[term] + 0.5))
+    return idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size / mean))
+
+
+def nearest(score: np.ndarray, size: np.ndarray, tie: np.ndarray, need: int) -> np.ndarray:
+    """Documents by falling score (then tie) until their sizes sum to need, or all."""
+    k = 64
     while True:
-        if seed is None:
-            while seed_at < len(size) and not unused[seed_at]:
-                seed_at += 1
-            if seed_at == len(size):
-                return out
-            seed = seed_at
-            unused[seed] = False
-            put(seed)
-        at, last = window, None
-        if used:
-            for d in nearest(seed, unused).tolist():
-                unused[d] = False
-                put(d)
-                last = d
-                if window != at:
-                    break
-        # the document that was cut opened the window that goes on; else another seed goes on in this one
-        seed = last if window != at and used else None
+        some = np.arange(len(score)) if k >= len(score) else np.flatnonzero(score >= np.partition(score, -k)[-k])
+        some = some[np.lexsort((tie[some], -score[some]))]
+        total = np.cumsum(size[some])
+        if k >= len(score) or total[-1] >= need:
+            return some[: int(np.searchsorted(total, need)) + 1]
+        k *= 4
+
+
+def settle(chain: np.ndarray, doc: np.ndarray, size: np.ndarray, need: dict[int, int], used: np.ndarray) -> dict[int, list[int]]:
+    """The documents each chain gets, of pairs by falling score; marks them used and lowers need."""
+    got: dict[int, list[int]] = {}
+    for c, d in zip(chain.tolist(), doc.tolist(), strict=True):
+        if need[c] > 0 and not used[d]:
+            used[d] = True
+            need[c] -= int(size[d])
+            got.setdefault(c, []).append(d)
+    return got
+
+
+def layout(chains: list[list[int]], size: np.ndarray, length: int) -> list[tuple[int, int, int, int, int]]:
+    """(document, start, length, sequence, offset) of each piece; open windows at chains' ends are joined."""
+    out, tails = [], []
+
+    def put(d: int, start: int, end: int, at: int, chain: int) -> int:
+        while start < end:
+            m = min(length - at % length, end - start)
+            out.append((d, start, m, (chain << 32) + at // length, at % length))
+            start, at = start + m, at + m
+        return at
+
+    for c, docs in enumerate(chains):
+        full = int(size[docs].sum()) // length * length
+        at = 0
+        for d in docs:
+            s = int(size[d])
+            inside = min(s, max(0, full - at))
+            put(d, 0, inside, at, c)
+            if inside < s:
+                tails.append((d, inside, s))
+            at += s
+    at = 0
+    for d, a, b in tails:
+        at = put(d, a, b, at, len(chains))
+    return out
 
 
 def pack(docs: DataFrame, length: int = LENGTH, vocabulary: str | None = None, end_id: int = 1, docs_per_shard: int = DOCS_PER_SHARD) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     Null and empty texts are their end id alone; repeated rows and null doc_ids are packed like any other; an
-    empty table gives no rows; other columns are not read. A sequence is a shard (upper 31 bits of sequence_id)
-    and a window in it. Shards depend on doc_id and text, not on the input's partitions.
+    empty table gives no rows; other columns are not read. A sequence is a chain (upper 31 bits of sequence_id)
+    and a window in it. Shards depend on doc_id and text, not on the input's partitions. The driver holds each
+    document's size and place.
     """
+    spark, schema = docs.sparkSession, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         file = vocabulary or tokens.vocabulary()
@@ -119,25 +114,122 @@ def pack(docs: DataFrame, length: int = LENGTH, vocabulary: str | None = None, e
                 payload = pa.Array.from_buffers(pa.large_binary(), j - i, [None, pa.py_buffer((at * small.itemsize).astype(np.int64)), pa.py_buffer(small)])
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(i, j - i).cast(pa.int64()), b.column("shard").slice(i, j - i), pa.array(np.full(j - i, small.itemsize, np.int8)), payload.cast(pa.binary())], names=["doc_id", "shard", "width", "ids"])
 
-    def windows(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("doc_id", "ascending")])
+    def index(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("doc_id", "ascending"), ("width", "ascending"), ("ids", "ascending")])
         each = [np.frombuffer(x.as_buffer(), f"<u{w.as_py()}") for x, w in zip(table["ids"], table["width"], strict=True)]
-        size = [len(x) for x in each]
-        whole = np.concatenate(each)
-        index = Index(whole, np.concatenate([[0], np.cumsum(size)]))
-        pieces = fill(size, index.neighbours, length)
-        shard, ids = table["shard"][0].as_py(), table["doc_id"].to_pylist()
-        crc = [zlib.crc32(each[d][s : s + n].astype("<u4").tobytes()) for d, s, n, _, _ in pieces]
-        cols = list(zip(*pieces, strict=True))
-        return pa.table({
-            "doc_id": pa.array([ids[d] for d in cols[0]], pa.int64()), "start": pa.array(cols[1], pa.int64()), "length": pa.array(cols[2], pa.int64()), "ids_crc32": pa.array(crc, pa.int64()),
-            "doc_tokens": pa.array([size[d] for d in cols[0]], pa.int64()), "sequence_id": pa.array([(shard << 32) + w for w in cols[3]], pa.int64()), "offset": pa.array(cols[4], pa.int64()),
-        })
+        n, shard = len(each), table["shard"][0].as_py()
+        sizes = np.array([len(x) for x in each], "<u4")
+        own = [("shard", pa.array([shard] * (n + 1), pa.int64())), ("pos", pa.array([*range(n), -1], pa.int64())), ("doc_id", pa.array([*table["doc_id"].to_pylist(), None], pa.int64())), ("width", pa.array([*table["width"].to_pylist(), 0], pa.int8()))]
+        ids = pa.array([*(x.tobytes() for x in each), None], pa.binary())
+        return pa.table(dict([*own, ("ids", ids), ("sizes", pa.array([None] * n + [sizes.tobytes()], pa.binary())), ("postings", pa.array([None] * n + [postings(each).tobytes()], pa.binary()))]))
+
+    def term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for p in b.column("postings"):
+                term, df = np.unique(np.frombuffer(p.as_buffer(), "<u4").reshape(3, -1)[0], return_counts=True)
+                yield pa.RecordBatch.from_pydict({"term": pa.array(term.astype(np.int64)), "df": pa.array(df.astype(np.int64))})
 
     n_shards = max(1, -(-docs.select("doc_id").count() // docs_per_shard))
     dealt = docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_shards)).alias("shard"))
     encoded = dealt.mapInArrow(encode, "doc_id long, shard long, width byte, ids binary")
-    return encoded.groupBy("shard").applyInArrow(windows, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    table = written(encoded.groupBy("shard").applyInArrow(index, "shard long, pos long, doc_id long, width byte, ids binary, sizes binary, postings binary"), "packing")
+    shards = table.where("pos = -1").select("shard", "sizes", "postings")
+    sizes = {r["shard"]: np.frombuffer(r["sizes"], "<u4").astype(np.int64) for r in shards.select("shard", "sizes").collect()}
+    if not sizes:
+        return spark.createDataFrame([], schema)
+    first, n = {}, 0  # a document's number: its shard's first number and its place there
+    for s in sorted(sizes):
+        first[s], n = n, n + len(sizes[s])
+    size = np.concatenate([sizes[s] for s in sorted(sizes)])
+    mean = max(float(size.mean()), 1.0)
+    counted = shards.select("postings").mapInArrow(term_counts, "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).collect()
+    df = np.zeros(max((r["term"] for r in counted), default=0) + 1)
+    for r in counted:
+        df[r["term"]] = r["df"]
+
+    def ask(seeds: dict[int, tuple[int, int]], used: np.ndarray) -> pa.Table:
+        """chain, doc by falling score; seeds: document and tokens to fill by chain."""
+        starts = np.array([first[s] for s in sorted(first)])
+        keys = np.array(sorted(first))
+        chain = np.array(list(seeds), np.int64)
+        doc, need = np.array(list(seeds.values()), np.int64).T
+        at = np.searchsorted(starts, doc, "right") - 1
+        wanted = spark.createDataFrame(pa.table({"shard": keys[at], "pos": doc - starts[at], "chain": chain, "need": need * SLACK}))
+        bits = np.packbits(used)
+
+        def block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for i in range(0, len(b), BLOCK):
+                    x = b.slice(i, BLOCK)
+                    terms = [np.unique(np.frombuffer(v.as_buffer(), f"<u{w.as_py()}")).astype("<u4") for v, w in zip(x.column("ids"), x.column("width"), strict=True)]
+                    cols = [x.column("chain").to_numpy(), x.column("need").to_numpy(), np.array([len(t) for t in terms], np.int64)]
+                    yield pa.RecordBatch.from_pydict({"seeds": pa.array([np.stack(cols).astype("<i8").tobytes()], pa.binary()), "terms": pa.array([np.concatenate(terms).tobytes()], pa.binary())})
+
+        def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            unused = np.unpackbits(bits, count=n) == 0
+            for b in batches:
+                for row in range(len(b)):
+                    shard = b.column("shard")[row].as_py()
+                    own = np.frombuffer(b.column("sizes")[row].as_buffer(), "<u4").astype(np.int64)
+                    free = unused[first[shard] : first[shard] + len(own)]
+                    left = np.flatnonzero(free)
+                    if not len(left):
+                        continue
+                    term, d, tf = np.frombuffer(b.column("postings")[row].as_buffer(), "<u4").reshape(3, -1)
+                    keep = free[d]
+                    term, d, tf = term[keep], (np.cumsum(free) - 1)[d[keep]], tf[keep]
+                    weight = weights(term, tf, own[left][d], df, n, mean)
+                    chains, needs, counts = np.frombuffer(b.column("seeds")[row].as_buffer(), "<i8").reshape(3, -1)
+                    terms = np.frombuffer(b.column("terms")[row].as_buffer(), "<u4")
+                    lo, hi, end = np.searchsorted(term, terms), np.searchsorted(term, terms, "right"), np.cumsum(counts)
+                    out = []
+                    for c, m, e, k in zip(chains.tolist(), needs.tolist(), end.tolist(), counts.tolist(), strict=True):
+                        parts = [slice(x, y) for x, y in zip(lo[e - k : e].tolist(), hi[e - k : e].tolist(), strict=True) if x < y]
+                        s = np.bincount(np.concatenate([d[p] for p in parts]), np.concatenate([weight[p] for p in parts]), len(left)) if parts else np.zeros(len(left))
+                        s = np.round(s, 9)
+                        tie = mixed((first[shard] + left).astype(np.uint64) ^ mixed(np.array([c + 1], np.uint64)))
+                        best = nearest(s, own[left], tie, m)
+                        out.append((np.full(len(best), c), first[shard] + left[best], s[best], own[left][best], np.full(len(best), m), tie[best].astype(np.int64)))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names=["chain", "doc", "score", "size", "need", "tie"])
+
+        asking = written(table.where("pos >= 0").join(F.broadcast(wanted), ["shard", "pos"]).select("chain", "need", "width", "ids").coalesce(8).mapInArrow(block, "seeds binary, terms binary"), "seeds")
+        found = shards.crossJoin(asking).mapInArrow(score, "chain long, doc long, score double, size long, need long, tie long")
+        before = F.expr("sum(size) over (partition by chain order by score desc, tie rows between unbounded preceding and current row) - size")
+        got = found.withColumn("before", before).where("before < need").select("chain", "doc", "score", "tie").toArrow()
+        return got.sort_by([("score", "descending"), ("tie", "ascending"), ("chain", "ascending")])
+
+    used = np.zeros(n, bool)
+    wanted = min(MOST_CHAINS, max(1, int(size.sum()) // (length * WINDOWS_PER_CHAIN)))
+    chains: list[list[int]] = []
+    seed: dict[int, int] = {}
+    need: dict[int, int] = {}
+    while not used.all():
+        if len(seed) < wanted // 2 + 1:  # a window that ends with its document leaves its chain without a seed
+            unused = np.flatnonzero(~used)
+            for d in unused[:: max(1, len(unused) // (wanted - len(seed)))][: wanted - len(seed)].tolist():
+                used[d], seed[len(chains)], need[len(chains)] = True, d, -int(size[d]) % length
+                chains.append([d])
+        seed = {c: d for c, d in seed.items() if need[c]}
+        if not seed or used.all():
+            continue
+        pairs = ask({c: (d, need[c]) for c, d in seed.items()}, used)
+        for c, more in settle(pairs["chain"].to_numpy(), pairs["doc"].to_numpy(), size, need, used).items():
+            chains[c] += more
+            if need[c] <= 0:
+                seed[c], need[c] = more[-1], need[c] % length
+    cols = [np.array(x, np.int64) for x in zip(*layout(chains, size, length), strict=True)]
+    starts, keys = np.array([first[s] for s in sorted(first)]), np.array(sorted(first))
+    at = np.searchsorted(starts, cols[0], "right") - 1
+    pieces = spark.createDataFrame(pa.table({"shard": keys[at], "pos": cols[0] - starts[at], "start": cols[1], "length": cols[2], "sequence_id": cols[3], "offset": cols[4]}))
+
+    def checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            each = [np.frombuffer(x.as_buffer(), f"<u{w.as_py()}") for x, w in zip(b.column("ids"), b.column("width"), strict=True)]
+            start, long = b.column("start").to_pylist(), b.column("length").to_pylist()
+            crc = [zlib.crc32(x[s : s + m].astype("<u4").tobytes()) for x, s, m in zip(each, start, long, strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("start"), b.column("length"), pa.array(crc, pa.int64()), pa.array([len(x) for x in each], pa.int64()), b.column("sequence_id"), b.column("offset")], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
+
+    return pieces.join(table.where("pos >= 0").select("shard", "pos", "doc_id", "width", "ids"), ["shard", "pos"]).mapInArrow(checked, schema)
 
 
 def op8_retrieval_packing(spark, sf_dir: str) -> DataFrame:
