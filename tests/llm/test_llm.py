@@ -314,6 +314,27 @@ def test_packing_asks_the_whole_table(spark):
     assert len({k >> 32 for k in windows}) < 24
 
 
+def test_packing_asks_on(spark):
+    """A window of short texts takes more than 65 neighbours of its seed before anything else."""
+    rng = random.Random(2)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(40)]
+    table = spark.createDataFrame([(i, " ".join(words[i % 4 * 10 : i % 4 * 10 + 6])) for i in range(800)], "doc_id long, text string")
+    first = [r["doc_id"] for r in packing.pack(table, docs_per_shard=1000).collect() if r["sequence_id"] == 0]
+    assert len(first) > 70 and {i % 4 for i in first} == {0}
+
+
+def test_packing_asks_with_all_terms(spark):
+    """A seed with many terms of its own still finds the texts with which it shares common ones."""
+    rng = random.Random(3)
+    say = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(n))
+    common = "garden window paper bridge"
+    texts = [say(30) + " " + common] + [" ".join(rng.choice("QXZJ") * 3 for _ in range(6)) for _ in range(30)] + [common] * 30
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = packing.pack(table, length=256, docs_per_shard=1000).collect()
+    mine = [r["doc_id"] for r in got if r["sequence_id"] == next(x["sequence_id"] for x in got if x["doc_id"] == 0)]
+    assert len(mine) > 5 and all(i == 0 or i > 30 for i in mine)
+
+
 def test_bpe(docs, none):
     tiktoken = pytest.importorskip("tiktoken")
     b = bpe.Bpe.load(P.path("byte_bpe_50k.tiktoken"))
