@@ -77,8 +77,8 @@ _GENERATORS: tuple[tuple[str, str, re.Pattern], ...] = (
     ("card", "digits", re.compile(r"(?<![\w])[0-9]{4}(?:[ -]?[0-9]{4}){2}[ -]?[0-9]{1,7}(?![\w])")),
     ("national_id", "digits", re.compile(r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])")),
     ("iban", "digits", re.compile(r"(?<![\w])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![\w])")),
-    ("secret", "said", re.compile(rf"(?i:{_SAID})[\"']?\s{{0,3}}[:=]\s{{0,3}}[\"']?([^\s\"',;]{{4,200}})")),
-    ("secret", "digits", re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{12,200}(?![A-Za-z0-9+/_-])")),
+    ("secret", "said", re.compile(rf"(?i:{_SAID})[\"']?\s{{0,3}}[:=]\s{{0,3}}[\"']?([^\s\"',;]{{4,}}+)")),
+    ("secret", "digits", re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{12,}+")),
 )
 _CONTEXT = (
     re.compile(r"(?i)mail|contact|write"), re.compile(r"(?i)phone|tel\b|call|mobile|fax"), re.compile(r"(?i)card|visa|credit|pay"), re.compile(rf"(?i){_SAID}|credential|login"),
@@ -138,6 +138,7 @@ def _example(rng: random.Random) -> tuple[str, set[Span]]:
         ("phone", lambda: f"({dig(3)}) 555-{dig(4)}"), ("phone", lambda: f"{dig(3)}-555-{dig(4)}"), ("phone", lambda: f"0{dig(2)} {dig(4)} {dig(4)}"), ("phone", lambda: f"{dig(3)}.{dig(3)}.{dig(4)}"),
         ("card", lambda: four(card(), sep)), ("card", card), ("national_id", lambda: f"{dig(3)}-{dig(2)}-{dig(4)}"), ("iban", lambda: rng.choice(["DE", "FR", "GB", "ES"]) + four(dig(2) + dig(18), rng.choice(["", " "]))),
         ("secret", lambda: "AKIA" + alnum(16).upper()), ("secret", lambda: hexa(rng.choice([18, 24, 32, 40]))), ("secret", lambda: alnum(rng.randint(10, 40))),
+        ("secret", lambda: alnum(rng.randint(200, 900))),
     ]
     lead = {"email": ["mail", "contact", "", ""], "phone": ["phone", "call", "tel", "", ""], "card": ["card", "visa", "", ""], "national_id": ["ssn", "", ""], "iban": ["iban", "account", ""], "secret": ["password=", "token = ", "secret: ", "api_key="]}
     false = [
