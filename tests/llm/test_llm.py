@@ -29,6 +29,8 @@ def made() -> list[tuple]:
             w[rng.randrange(len(w))] = rng.choice(words)
         texts.append(" ".join(w))
     texts += [say(rng.randint(5, 60)) + "\n" + passage + "\n\n" + say(rng.randint(5, 200)) for _ in range(8)]
+    short = " ".join(rng.choice("abcdefgh") * rng.randint(2, 6) for _ in range(55))  # 55 words in fewer than 400 bytes
+    texts += [say(rng.randint(5, 60)) + " " + short + " " + say(rng.randint(5, 60)) for _ in range(3)]
     texts += [(say(4) + "\n") * 40, "xy" * 900, say(3000), "a@b.co 1.2.3.4 +1 (555) 555-1234 4111 1111 1111 1111 password=hunter2x9", "it's  two　spaces 'll x\r\n<|endoftext|> \u0085"]
     texts += [say(rng.randint(1, 300)) for _ in range(20)]
     rows = [(i * 3, t) for i, t in enumerate(texts)] + [(None, base), (None, say(30)), (30, texts[10]), (30, texts[10])]
@@ -102,24 +104,37 @@ def test_repetition(docs, none):
     assert repetition.repetition(none).count() == 0
 
 
+def brute_runs(data: list[bytes], length: int) -> list[list[tuple[int, int]]]:
+    """The maximal runs of bytes that strings of `length` bytes which start elsewhere as well cover."""
+    met, out = Counter(x[k : k + length] for x in data for k in range(len(x) - length + 1)), []
+    for x in data:
+        gone = np.zeros(len(x) + 2, int)
+        for k in range(len(x) - length + 1):
+            if met[x[k : k + length]] > 1:
+                gone[k + 1] += 1
+                gone[k + length + 1] -= 1
+        edge = np.diff((np.cumsum(gone) > 0).astype(int))
+        out.append(list(zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist(), strict=True)))
+    return out
+
+
+def without(x: bytes, runs: list[tuple[int, int]]) -> bytes:
+    return b"".join(x[a:b] for a, b in zip([0, *(e for _, e in runs)], [*(s for s, _ in runs), len(x)], strict=True))
+
+
 def test_suffixes(docs, none):
     data = [(i, t.encode()) for i, t in plain(docs)]
-    met = Counter(x[k : k + 400] for _, x in data for k in range(len(x) - 399))
-    want = []
-    for i, x in data:
-        gone = np.zeros(len(x) + 1, int)
-        for k in range(len(x) - 399):
-            if met[x[k : k + 400]] > 1:
-                gone[k] += 1
-                gone[k + 400] -= 1
-        gone = np.cumsum(gone)[:-1] > 0
-        kept = bytes(np.frombuffer(x, np.uint8)[~gone])
-        want.append((i, len(x), int(gone.sum()), int((np.diff(np.concatenate([[0], gone.astype(int)])) == 1).sum()), hashlib.sha256(kept).hexdigest()))
+    long, short = (brute_runs([x for _, x in data], n) for n in (400, 200))
+    short = [[(s, e) for s, e in r if len(x[s:e].split()) >= 50] for (_, x), r in zip(data, short, strict=True)]
+    cut = lambda r: sum(e - s for s, e in r)
+    want = [(i, len(x), cut(a), len(a), hashlib.sha256(without(x, a)).hexdigest(), len(b), cut(b)) for (i, x), a, b in zip(data, long, short, strict=True)]
     same(suffixes.dedup(docs), want)
-    assert sum(w[2] for w in want) > 1000
+    assert sum(w[2] for w in want) > 1000 and any(w[6] and not w[2] for w in want)
     assert suffixes.dedup(none).count() == 0
     out = suffixes.strip(docs)
-    assert out.columns == docs.columns and out.count() == docs.count()
+    assert out.columns == docs.columns
+    same(out.select("doc_id", "text"), [(i, without(x, b).decode(errors="ignore")) for (i, x), b in zip(data, short, strict=True)])
+    assert suffixes.strip(none).count() == 0
 
 
 def test_hot_seeds_give_the_same(docs, monkeypatch):
@@ -225,10 +240,18 @@ def test_jaccard(docs, none, monkeypatch, cap):
         assert jaccard.jaccard_groups(none).count() == 0
 
 
-def test_one_of_each(docs):
+def test_one_of_each(spark, docs):
     groups = brute_components(plain(docs))
     left = [r["doc_id"] for r in jaccard.one_of_each(docs).collect()]
     assert sorted(i for i in left if i is not None) == sorted({i for i, _, c in groups if i is not None and i == c})
+    say = lambda k: " ".join(f"w{k}x{j}" for j in range(40))
+    rows = [(None, say(1), "a"), (None, say(1) + " end", "b"), (7, say(2), "c"), (7, say(2) + " end", "d"), (7, say(2), "c"), (None, say(3), "e"), (9, say(3), "f"), (None, "", "g"), (4, None, "h")]
+    odd = spark.createDataFrame([(i, t, x, x, x, x) for i, t, x in rows], "doc_id long, text string, _k1 string, _K2 string, _rk string, _c0 string")
+    got = jaccard.one_of_each(odd)
+    assert got.columns == odd.columns
+    out = sorted(map(tuple, got.collect()), key=lambda r: r[2])
+    assert all(len(set(r[2:])) == 1 for r in out) and len(out) == 5
+    assert [r[2] in "ab" for r in out][0] and [r[2] in "cd" for r in out][1] and [r[2] for r in out][2:] == ["f", "g", "h"]
 
 
 def test_components_of_a_chain(spark):

@@ -1,11 +1,12 @@
 """Exact repeated passages by a distributed merge sort of suffixes.
 
-A byte goes if a string of LENGTH bytes that covers it starts anywhere else. Each such string (window) is known by
-its anchor, the place in it where the hash of the next SEED bytes is least: equal windows have their anchors at
-equal places, so only suffixes that start at anchors need sorting, one in some 170 bytes.
+A byte goes if a string of `length` bytes that covers it starts anywhere else. Each such string (window) is known by
+its anchor, the place in it where the hash of the next bytes (the seed) is least: equal windows have their anchors
+at equal places, so only suffixes that start at anchors need sorting, one in some 170 bytes for windows of 400.
 
-1. Neighbouring windows with one anchor make a span. Spans of equal bytes (and equal places of the anchor) are
-   counted by hash: in spans met twice or more all windows repeat, and spans whose seed is met once have none.
+1. Neighbouring windows with one anchor make a span. Seeds are counted alone first, and only spans whose seed is met
+   twice or more are kept. Spans of equal bytes (and equal places of the anchor) are counted by hash: in spans met
+   twice or more all windows repeat.
 2. Of what is left, the spans' suffixes (from the anchor on) are sorted into runs by the tasks that read the
    texts, front-coded (the length of the prefix shared with the suffix before, then the rest) and exchanged by
    seed. A loser tree merges the runs: the lengths of prefixes shared with the last winner decide most matches,
@@ -29,54 +30,61 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegraph.llm.common import Rolling, as_bytes, documents, mixed, slices, written
+from tidegraph.llm.common import Rolling, as_bytes, discard, documents, mixed, slices, written
 
-LENGTH, SEED = 400, 64
+LENGTH = 400
+#: A passage is a run of repeated strings of so many bytes with so many words at least. 50 words have some 300 bytes.
+PASSAGE_LENGTH, PASSAGE_WORDS = 200, 50
 MOST_SPANS = 50_000
 _BLOCK = 1 << 18
 _PLACE = np.uint64(_BLOCK - 1)
-_SPANS = LENGTH - SEED + 1
 _roll, _other = Rolling(seed=17), Rolling(base=0xC2B2AE3D27D4EB4F, seed=23)
 _HEAD = struct.Struct("<HHHqqqB")
 
 
-def pieces(off: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+def seed_bytes(length: int) -> int:
+    """Bytes of the seeds of windows of `length` bytes (100 to 1,000)."""
+    return min(64, length // 4)
+
+
+def pieces(off: np.ndarray, length: int = LENGTH) -> Iterator[tuple[int, int, int, int]]:
     """(first text, last text, first byte, last byte): several texts, or part of a long one. Each window is in one piece."""
     for i, j in slices(off, _BLOCK - 1):
         a, b = int(off[i]), int(off[j])
         if b - a < _BLOCK:
             yield i, j, a, b
         else:
-            step = _BLOCK - LENGTH
-            for s in range(a, b - LENGTH + 1, step):
-                yield i, j, s, min(b, s + step + LENGTH - 1)
+            step = _BLOCK - length
+            for s in range(a, b - length + 1, step):
+                yield i, j, s, min(b, s + step + length - 1)
 
 
-def spans(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
+def spans(buf: np.ndarray, off: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, ...]:
     """text, first and last window, anchor (places in buf), seed hash and hash of the bytes, for each span.
 
     off: where the texts begin in buf, and the end; at most _BLOCK bytes.
     """
-    n = len(buf)
+    n, seed = len(buf), seed_bytes(length)
+    grams_each = length - seed + 1
     none = tuple(np.zeros(0, np.int64) for _ in range(4)) + tuple(np.zeros(0, np.uint64) for _ in range(2))
-    if n < LENGTH:
+    if n < length:
         return none
     prefix = _roll.prefix(buf)
-    at = np.arange(n - SEED + 1)
-    grams = _roll.of(prefix, at, at + SEED)
+    at = np.arange(n - seed + 1)
+    grams = _roll.of(prefix, at, at + seed)
     key = (grams & ~_PLACE) | at.astype(np.uint64)
     # least key of each window, by prefix and suffix minima of blocks as long as a window has grams
-    m = -(-len(key) // _SPANS) * _SPANS
+    m = -(-len(key) // grams_each) * grams_each
     rows = np.full(m, ~np.uint64(0))
     rows[: len(key)] = key
-    rows = rows.reshape(-1, _SPANS)
+    rows = rows.reshape(-1, grams_each)
     ahead = np.minimum.accumulate(rows, axis=1).ravel()
     back = np.minimum.accumulate(rows[:, ::-1], axis=1)[:, ::-1].ravel()
-    windows = n - LENGTH + 1
-    anchor = (np.minimum(back[:windows], ahead[_SPANS - 1 : _SPANS - 1 + windows]) & _PLACE).astype(np.int64)
+    windows = n - length + 1
+    anchor = (np.minimum(back[:windows], ahead[grams_each - 1 : grams_each - 1 + windows]) & _PLACE).astype(np.int64)
     start = np.arange(windows)
     text = np.searchsorted(off, start, "right") - 1
-    inside = start + LENGTH <= off[text + 1]
+    inside = start + length <= off[text + 1]
     start, text, anchor = start[inside], text[inside], anchor[inside]
     if not len(start):
         return none
@@ -84,7 +92,7 @@ def spans(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
     last = np.append(cut[1:], len(start)) - 1
     text, p0, p1, a = text[cut], start[cut], start[last], anchor[cut]
     other = _other.prefix(buf)
-    whole = mixed(_other.of(other, p0, p1 + LENGTH) + (a - p0).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + (p1 - p0).astype(np.uint64))
+    whole = mixed(_other.of(other, p0, p1 + length) + (a - p0).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + (p1 - p0).astype(np.uint64))
     return text, p0, p1, a, grams[a], whole
 
 
@@ -93,15 +101,15 @@ def _keyed(docs: DataFrame, also: list | None = None) -> DataFrame:
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *(also or [])).withColumns({"k1": F.xxhash64("doc_id", "text"), "k2": F.xxhash64("text", "doc_id")})
 
 
-def span_table(keyed: DataFrame) -> DataFrame:
+def span_table(keyed: DataFrame, length: int = LENGTH) -> DataFrame:
     """k1, k2, place, seed, whole per span; place holds p0, p1 - p0 and a - p0 (see unpacked)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             buf, off = as_bytes(b.column("text"))
             k1, k2 = b.column("k1").to_numpy(), b.column("k2").to_numpy()
-            for i, j, s, e in pieces(off):
-                text, p0, p1, a, seed, whole = spans(buf[s:e], np.clip(off[i : j + 1] - s, 0, e - s))
+            for i, j, s, e in pieces(off, length):
+                text, p0, p1, a, seed, whole = spans(buf[s:e], np.clip(off[i : j + 1] - s, 0, e - s), length)
                 shift = s - off[i + text]
                 cols = [k1[i + text], k2[i + text], ((p0 + shift) << 20) | ((p1 - p0) << 10) | (a - p0), seed.view(np.int64), whole.view(np.int64)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["k1", "k2", "place", "seed", "whole"])
@@ -109,6 +117,20 @@ def span_table(keyed: DataFrame) -> DataFrame:
     return keyed.select("k1", "k2", "text").mapInArrow(run, "k1 long, k2 long, place long, seed long, whole long")
 
 
+def often_seeds(keyed: DataFrame, length: int = LENGTH) -> DataFrame:
+    """The seeds of two spans or more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            buf, off = as_bytes(b.column("text"))
+            for i, j, s, e in pieces(off, length):
+                seed, n = np.unique(spans(buf[s:e], np.clip(off[i : j + 1] - s, 0, e - s), length)[4], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(seed.view(np.int64)), pa.array(n > 1)], names=["seed", "twice"])
+
+    each = keyed.select("text").mapInArrow(run, "seed long, twice boolean")
+    return each.groupBy("seed").agg((F.count("*") + F.max(F.col("twice").cast("int"))).alias("n")).where("n > 1").select("seed")
+
+
 def unpacked(rows: DataFrame) -> DataFrame:
     """rows with p0, p1 and a, the places of the first and the last window and of the anchor, for place."""
     p0 = F.shiftright("place", 20)
@@ -197,7 +219,7 @@ def merged(runs: list[Iterator[tuple]]) -> Iterator[tuple]:
             node //= 2
 
 
-def repeated_windows(lcp: np.ndarray, lefts: list[bytes], nearest: np.ndarray) -> Iterator[tuple[int, int, int]]:
+def repeated_windows(lcp: np.ndarray, lefts: list[bytes], nearest: np.ndarray, length: int = LENGTH) -> Iterator[tuple[int, int, int]]:
     """(row, d, e): windows that begin d to e bytes left of the row's anchor repeat in another row.
 
     Rows are sorted by what follows the anchor; lcp: the prefix shared with the row before; lefts: the bytes before
@@ -224,7 +246,7 @@ def repeated_windows(lcp: np.ndarray, lefts: list[bytes], nearest: np.ndarray) -
         more = _roll.table[table[:, d0 : d[-1]]] * _roll.up[d0 : d[-1]]
         left = np.concatenate([running[:, None], running[:, None] + np.cumsum(more, axis=1, dtype=np.uint64)], axis=1)
         running, done = left[:, -1], int(d[-1])
-        right = np.cumsum(lcp[:, None] < LENGTH - d[None, :], axis=0).astype(np.uint64)
+        right = np.cumsum(lcp[:, None] < length - d[None, :], axis=0).astype(np.uint64)
         valid = (d[None, :] >= nearest[:, None]) & (d[None, :] <= far[:, None])
         key = mixed(mixed(left) + right * np.uint64(0x9E3779B97F4A7C15) + d[None, :].astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
         row, col = np.nonzero(valid)
@@ -242,11 +264,11 @@ def repeated_windows(lcp: np.ndarray, lefts: list[bytes], nearest: np.ndarray) -
         yield r, b + first, e - 1 + first
 
 
-def _blocks(rows: Iterator[tuple]) -> Iterator[list[tuple]]:
+def _blocks(rows: Iterator[tuple], seed: int) -> Iterator[list[tuple]]:
     """Rows in blocks of some 2,000 that don't part suffixes with a seed in common."""
     block: list[tuple] = []
     for row in rows:
-        if len(block) >= 2000 and row[1] < SEED:
+        if len(block) >= 2000 and row[1] < seed:
             yield block
             block = []
         block.append(row)
@@ -254,17 +276,17 @@ def _blocks(rows: Iterator[tuple]) -> Iterator[list[tuple]]:
         yield block
 
 
-def repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The documents with their keys, and k1, k2, s, e: bytes s to e of their texts lie in repeated windows."""
-    spark = docs.sparkSession
+def repeats(keyed: DataFrame, length: int = LENGTH) -> DataFrame:
+    """k1, k2, s, e: bytes s to e of the texts lie in repeated windows; a written table. keyed: see _keyed."""
+    spark = keyed.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keyed = _keyed(docs)
-    table = written(span_table(keyed), "spans")
+    often = written(often_seeds(keyed, length), "seeds")
+    table = written(span_table(keyed, length).join(often, "seed", "left_semi"), "spans")
     counted = table.groupBy("seed", "whole").agg(F.count("*").alias("c"), F.min(F.struct("k1", "k2", "place")).alias("span"))
     counted = written(counted, "spans-counted")
     # every span gets its count; where it is one, no bytes go
     each = unpacked(table.join(counted.select("seed", "whole", "c"), ["seed", "whole"], "left"))
-    plain = each.select("k1", "k2", F.col("p0").alias("s"), F.when(F.col("c") > 1, F.col("p1") + LENGTH).alias("e")).where("e > s")
+    plain = each.select("k1", "k2", F.col("p0").alias("s"), F.when(F.col("c") > 1, F.col("p1") + length).alias("e")).where("e > s")
     open_ = counted.groupBy("seed").agg(F.count("*").alias("kinds"), F.min("c").alias("least")).where("kinds > 1 and least = 1").select("seed", "kinds")
     wanted = written(counted.join(open_, "seed").select("seed", "kinds", (F.col("c") == 1).alias("single"), "span.*"), "spans-open")
 
@@ -292,7 +314,7 @@ def repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
                 data = text.as_buffer().to_pybytes()
                 for x in own:
                     a = x["a"]
-                    row = (data[a : x["p1"] + LENGTH], data[x["p0"] : a], k1, k2, a, int(x["single"]))
+                    row = (data[a : x["p1"] + length], data[x["p0"] : a], k1, k2, a, int(x["single"]))
                     runs.setdefault((x["seed"] & 0x7FFFFFFFFFFFFFFF) % parts, []).append(row)
                     held += len(row[0]) + len(row[1]) + 200
             if held > 32 << 20:
@@ -307,19 +329,20 @@ def repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
             for k, blob in zip(b.column("part").to_pylist(), b.column("run").to_pylist(), strict=True):
                 runs.setdefault(k, []).append(blob)
         for blobs in runs.values():
-            for block in _blocks(merged([run_rows(x) for x in blobs])):
+            for block in _blocks(merged([run_rows(x) for x in blobs]), seed_bytes(length)):
                 if len(block) < 2:
                     continue
                 lcp = np.array([row[1] for row in block])
                 lcp[0] = 0
-                nearest = np.array([LENGTH - len(row[0]) for row in block])
-                out = [(block[r][3], block[r][4], block[r][5] - far, block[r][5] - near + LENGTH) for r, near, far in repeated_windows(lcp, [row[2] for row in block], nearest) if block[r][6]]
+                nearest = np.array([length - len(row[0]) for row in block])
+                out = [(block[r][3], block[r][4], block[r][5] - far, block[r][5] - near + length) for r, near, far in repeated_windows(lcp, [row[2] for row in block], nearest, length) if block[r][6]]
                 yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in range(4)], names=["k1", "k2", "s", "e"])
 
     found = with_text(wanted.where(F.col("kinds") <= MOST_SPANS)).mapInArrow(encode, "part int, run binary")
     found = found.repartition(parts, "part").mapInArrow(merge, "k1 long, k2 long, s long, e long")
     out = plain.union(found)
 
+    windowed = []
     hot = wanted.where(F.col("kinds") > MOST_SPANS)
     if not hot.isEmpty():
 
@@ -328,16 +351,19 @@ def repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
                 for k1, k2, text, own in zip(b.column("k1").to_pylist(), b.column("k2").to_pylist(), b.column("text"), b.column("spans").to_pylist(), strict=True):
                     buf = np.frombuffer(text.as_buffer(), np.uint8)
                     for x in own:
-                        part = buf[x["p0"] : x["p1"] + LENGTH]
+                        part = buf[x["p0"] : x["p1"] + length]
                         at = np.arange(x["p1"] - x["p0"] + 1)
-                        one, two = (r.of(r.prefix(part), at, at + LENGTH) for r in (_roll, _other))
+                        one, two = (r.of(r.prefix(part), at, at + length) for r in (_roll, _other))
                         n = len(at)
                         yield pa.RecordBatch.from_arrays([pa.array(np.full(n, k1)), pa.array(np.full(n, k2)), pa.array(at + x["p0"]), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(np.full(n, x["single"]))], names=["k1", "k2", "s", "one", "two", "single"])
 
         each = written(with_text(hot).mapInArrow(windows, "k1 long, k2 long, s long, one long, two long, single boolean"), "windows")
+        windowed.append(each)
         twice = each.select("k1", "k2", "s", "one", "two").distinct().groupBy("one", "two").count().where("count > 1")
-        out = out.union(each.where("single").join(twice, ["one", "two"], "left_semi").select("k1", "k2", "s", (F.col("s") + LENGTH).alias("e")))
-    return keyed, out
+        out = out.union(each.where("single").join(twice, ["one", "two"], "left_semi").select("k1", "k2", "s", (F.col("s") + length).alias("e")))
+    out = written(out, "repeats")
+    discard(often, table, counted, wanted, *windowed)
+    return out
 
 
 def _union(parts: list[dict]) -> list[tuple[int, int]]:
@@ -350,27 +376,28 @@ def _union(parts: list[dict]) -> list[tuple[int, int]]:
     return out
 
 
-def _with_parts(docs: DataFrame, also: list | None = None) -> DataFrame:
-    """doc_id, text, the columns `also`, and parts: the repeated windows (s, e) in no order, which may overlap."""
-    _, found = repeats(docs)
-    of_doc = found.groupBy("k1", "k2").agg(F.collect_set(F.struct("s", "e")).alias("parts"))
-    return _keyed(docs, also).join(of_doc, ["k1", "k2"], "left").drop("k1", "k2")
+def _parts(found: DataFrame, name: str) -> DataFrame:
+    """k1, k2 and the list `name` of a document's repeated windows (s, e), in no order; they may overlap."""
+    return found.groupBy("k1", "k2").agg(F.collect_set(F.struct("s", "e")).alias(name))
 
 
-def strip(docs: DataFrame) -> DataFrame:
+def strip(docs: DataFrame, length: int = PASSAGE_LENGTH, least_words: int = PASSAGE_WORDS) -> DataFrame:
     """docs with repeated passages cut out of the texts; all columns and rows stay.
 
-    Null texts become empty. Half characters that a cut leaves go as well. Columns may have any names.
+    A passage is a run of bytes that strings of `length` bytes which start elsewhere as well cover, with least_words
+    words or more (parts of words at its ends count as words). Null texts become empty. Half characters that a cut
+    leaves go as well. Equal rows are cut alike, an empty table gives no rows, columns may have any names.
     """
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
-    rows = _with_parts(docs, [docs[c].alias(f"_c{i}") for i, c in enumerate(others)])
+    keyed = _keyed(docs, [docs[c].alias(f"_c{i}") for i, c in enumerate(others)])
+    rows = keyed.join(_parts(repeats(keyed, length), "parts"), ["k1", "k2"], "left").drop("k1", "k2")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in (whole.slice(i, 500) for whole in batches for i in range(0, whole.num_rows, 500)):
             texts = []
             for text, parts in zip(b.column("text"), b.column("parts").to_pylist(), strict=True):
                 whole, at, left = text.as_buffer().to_pybytes(), 0, []
-                for s, e in _union(parts or []):
+                for s, e in passages(whole, parts, least_words):
                     left.append(whole[at:s])
                     at = e
                 texts.append(b"".join([*left, whole[at:]]).decode(errors="ignore"))
@@ -381,32 +408,43 @@ def strip(docs: DataFrame) -> DataFrame:
     return out.select(*[F.col(named[c]).alias(c) for c in docs.columns])
 
 
+def passages(text: bytes, parts: list[dict] | None, least_words: int) -> list[tuple[int, int]]:
+    """The runs of repeated windows with least_words words or more."""
+    return [(s, e) for s, e in _union(parts or []) if len(text[s:e].split()) >= least_words]
+
+
 def dedup(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 per document.
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_passages, n_passage_bytes per document.
 
-    Null texts count as empty; equal rows have equal results; null doc_ids stay; an empty table gives no rows;
-    other columns are not read. Matches are of bytes and may begin inside a character.
+    n_removed, n_spans and kept_sha256 are of windows of LENGTH bytes. n_passages and n_passage_bytes are the runs that
+    strip would cut: of PASSAGE_WORDS words or more, which may be shorter than LENGTH. Null texts count as empty; equal
+    rows have equal results; null doc_ids stay; an empty table gives no rows; other columns are not read. Matches are
+    of bytes and may begin inside a character.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in (whole.slice(i, 500) for whole in batches for i in range(0, whole.num_rows, 500)):
-            n_bytes, n_removed, n_spans, sha = [], [], [], []
-            for text, parts in zip(b.column("text"), b.column("parts").to_pylist(), strict=True):
+            counts, sha = [], []
+            for text, parts, short in zip(b.column("text"), b.column("parts").to_pylist(), b.column("short").to_pylist(), strict=True):
                 data, cuts, h, at = text.as_buffer(), _union(parts or []), hashlib.sha256(), 0
                 whole = memoryview(data)
                 for s, e in cuts:
                     h.update(whole[at:s])
                     at = e
                 h.update(whole[at:])
-                n_bytes.append(len(whole))
-                n_removed.append(sum(e - s for s, e in cuts))
-                n_spans.append(len(cuts))
+                found = passages(data.to_pybytes(), short, PASSAGE_WORDS) if short else []
+                counts.append((len(whole), sum(e - s for s, e in cuts), len(cuts), len(found), sum(e - s for s, e in found)))
                 sha.append(h.hexdigest())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), *[pa.array(x, pa.int64()) for x in (n_bytes, n_removed, n_spans)], pa.array(sha, pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+            n_bytes, n_removed, n_spans, n_found, found_bytes = (pa.array(x, pa.int64()) for x in zip(*counts, strict=True))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), n_bytes, n_removed, n_spans, pa.array(sha, pa.string()), n_found, found_bytes], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passages", "n_passage_bytes"])
 
-    return _with_parts(docs).mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    keyed = _keyed(docs)
+    parts, short = _parts(repeats(keyed), "parts"), _parts(repeats(keyed, PASSAGE_LENGTH), "short")
+    both = written(parts.join(short, ["k1", "k2"], "full"), "repeats-both")
+    rows = keyed.join(both, ["k1", "k2"], "left").drop("k1", "k2")
+    return rows.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passages long, n_passage_bytes long")
 
 
 def op3_suffix_dedup(spark, sf_dir: str) -> DataFrame:
-    """Repeated passages of 400 bytes in all documents."""
+    """Repeated passages of 400 bytes in all documents, and those of 50 words."""
     return dedup(documents(spark, sf_dir))
