@@ -277,9 +277,9 @@ def _families(nodes: DataFrame) -> DataFrame:
 
 
 def jaccard_groups(docs: DataFrame, percent: int = 75, words: int = WORDS) -> DataFrame:
-    """doc_id, rk (tells rows with equal doc_id apart), n_shingles and component_id per document.
+    """doc_id, rk (tells rows with equal doc_id apart), n_shingles, component_id and root per document.
 
-    component_id is the least doc_id of the component; null doc_ids count in a component's links but not for
+    root names the component (null without shingles); component_id is its least doc_id; null doc_ids count in a component's links but not for
     that, and a component of null doc_ids only has a null one. Null and empty texts have no shingles and are
     linked with nothing. Repeated rows give a row each. An empty table gives no rows. Other columns are not read.
     percent: the least similarity; 75 or more.
@@ -325,22 +325,26 @@ def jaccard_groups(docs: DataFrame, percent: int = 75, words: int = WORDS) -> Da
     known = nodes.select("node", F.col("first.doc_id").alias("least")).join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "least")
     known = written(known, "component-nodes")
     names = known.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_node = known.join(names, "root").select("node", "component_id")
-    linked = some.select("doc_id", "rk", "n", "node").join(of_node, "node").select("doc_id", "rk", F.col("n").alias("n_shingles"), "component_id")
-    return linked.unionByName(signed.where("n = 0").select("doc_id", "rk", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+    of_node = known.join(names, "root").select("node", "component_id", "root")
+    linked = some.select("doc_id", "rk", "n", "node").join(of_node, "node").select("doc_id", "rk", F.col("n").alias("n_shingles"), "component_id", "root")
+    return linked.unionByName(signed.where("n = 0").select("doc_id", "rk", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("root")))
 
 
 def one_of_each(docs: DataFrame, percent: int = 75) -> DataFrame:
-    """The document of least doc_id of each group of near duplicates; all columns stay.
+    """One document of each group of near duplicates; all columns stay, whatever their names.
 
-    Of repeated rows one stays. Documents without doc_id stay if none of their group has one. Documents without
-    words are linked with nothing and stay.
+    It is the one of least doc_id; documents without doc_id come after all others, and ties are settled by a hash of
+    the text. Of rows that agree in doc_id and text one stays. Documents without words are linked with nothing and stay.
+    An empty table gives no rows.
     """
-    groups = jaccard_groups(docs, percent)
-    keep = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("rk").alias("_k1"), F.coalesce("doc_id", F.lit(-1)).alias("_k2"))
-    keep = written(keep.distinct(), "kept")
-    keyed = docs.withColumn("_k1", row_key()).withColumn("_k2", F.coalesce("doc_id", F.lit(-1)))
-    return keyed.join(keep, ["_k1", "_k2"]).dropDuplicates(["_k1", "_k2"]).select(*docs.columns)
+    groups = written(jaccard_groups(docs, percent), "groups")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "rk")).alias("least")
+    keep = groups.where(F.col("root").isNotNull()).groupBy("root").agg(least).select("least.doc_id", "least.rk")
+    keep = written(keep.union(groups.where(F.col("root").isNull()).select("doc_id", "rk").distinct()), "kept")
+    names = [c if c in ("doc_id", "text") else f"_c{k}" for k, c in enumerate(docs.columns)]
+    keyed = docs.toDF(*names).withColumns({"_rk": row_key(), "_id": F.coalesce("doc_id", F.lit(0)), "_null": F.col("doc_id").isNull()})
+    rows = keep.select(F.col("rk").alias("_rk"), F.coalesce("doc_id", F.lit(0)).alias("_id"), F.col("doc_id").isNull().alias("_null"))
+    return keyed.join(rows, ["_rk", "_id", "_null"]).dropDuplicates(["_rk", "_id", "_null"]).select(*names).toDF(*docs.columns)
 
 
 def op6_jaccard_join(spark, sf_dir: str) -> DataFrame:
