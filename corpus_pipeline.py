@@ -1,7 +1,10 @@
 """Raw documents to packed training sequences: quality, near duplicates, repeated passages, personal data, packing.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that the stage before kept. All stages but the last
-return the columns of documents; n_chars follows the text where a stage changes it.
+return the columns of documents; n_chars follows the text where a stage changes it, and further columns of docs are left
+out. Null and empty texts, ties, null and repeated doc_ids and empty tables are treated as the operators say: repeated
+rows become one at near_duplicates, rows without words pass there and at repeats (as empty texts from then on), and an
+empty table stays empty.
 """
 
 from __future__ import annotations
@@ -31,7 +34,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages of 400 bytes or more that stand in several places are cut out; documents stay."""
+    """Passages of 50 words or more that stand in several places are cut out; documents stay."""
     return _counted(suffixes.strip(docs.select(*COLUMNS)))
 
 
