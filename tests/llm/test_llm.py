@@ -332,12 +332,13 @@ def test_packing(docs, none):
     for v in windows.values():
         v.sort()
         assert [a for a, _ in v] == (np.cumsum([n for _, n in v]) - [n for _, n in v]).tolist() and sum(n for _, n in v) <= 256
-    assert sum(sum(n for _, n in v) < 256 for v in windows.values()) <= len({k >> 32 for k in windows})
+    padded = sum(sum(n for _, n in v) < 256 for v in windows.values())
+    assert padded <= 2 * len({k >> 32 for k in windows})  # a shard has one at most; ranges of some 20 rows have one shard or two
     assert packing.pack(none).count() == 0
 
 
-def test_packing_asks_the_whole_table(spark):
-    """Families of copies, dealt over many shards and longer lists than one answer, end side by side."""
+def test_packing_deals_by_content(spark):
+    """Families of copies, dealt over many shards, end side by side; so do copies with a few words changed."""
     rng = random.Random(9)
     words = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(3000)]
     families = [[rng.choice(words) for _ in range(12)] for _ in range(4)]
@@ -346,7 +347,52 @@ def test_packing_asks_the_whole_table(spark):
     for r in packing.pack(table, length=512, docs_per_shard=20).collect():
         windows[r["sequence_id"]].add(r["doc_id"] % 4)
     assert sum(len(v) == 1 for v in windows.values()) >= 0.8 * len(windows)
-    assert len({k >> 32 for k in windows}) < 24
+
+    texts = []
+    for _ in range(200):
+        base = [rng.choice(words) for _ in range(60)]
+        texts += [" ".join(base), " ".join(rng.choice(words) if rng.random() < 0.04 else w for w in base)]
+    rng.shuffle(order := list(range(400)))
+    table = spark.createDataFrame([(i, texts[i]) for i in order], "doc_id long, text string")
+    at = defaultdict(set)
+    for r in packing.pack(table, length=512, docs_per_shard=40).collect():
+        at[r["doc_id"]].add(r["sequence_id"])
+    assert sum(bool(at[i] & at[i + 1]) for i in range(0, 400, 2)) >= 0.8 * 200
+
+
+def test_packing_against_a_plain_search():
+    """Seeds, neighbours and cuts are those of BM25 written out over all unused documents."""
+    rng = np.random.default_rng(11)
+    each = [rng.zipf(1.4, rng.integers(0, 60)) % 300 for _ in range(90)]
+    size = np.array([len(x) + 1 for x in each])
+    df = np.bincount(np.concatenate([np.unique(x) for x in each]), minlength=300).astype(float)
+    n, mean, length = 500, 40.0, 50
+    got = packing.windows([x.astype("<u2") for x in each], size, df, n, mean, length)
+
+    def score(seed, d):
+        tf = Counter(each[d].tolist())
+        return round(sum(np.log1p((n - df[t] + 0.5) / (df[t] + 0.5)) * tf[t] * 2.2 / (tf[t] + 1.2 * (0.25 + 0.75 * size[d] / mean)) for t in set(each[seed].tolist()) if t in tf), 7)
+
+    whole = [(d, s) for d in range(90) for s in range(0, size[d] // length * length, length)]
+    want, w = [(d, s, length, k, 0) for k, (d, s) in enumerate(whole)], len(whole)
+    start, left = size // length * length, size % length
+    unused = [d for d in range(90) if left[d]]
+    while unused:
+        now = unused.pop(0)
+        at = int(left[now])
+        want.append((now, int(start[now]), at, w, 0))
+        while at and unused:
+            best = max(unused, key=lambda d: (score(now, d), -d))
+            unused.remove(best)
+            m = min(int(left[best]), length - at)
+            want.append((best, int(start[best]), m, w, at))
+            at += m
+            if at == length:
+                w, at = w + 1, int(left[best]) - m
+                if at:
+                    want.append((best, int(start[best]) + m, at, w, 0))
+                    now = best
+    assert got == want
 
 
 def test_packing_asks_on(spark):
@@ -355,7 +401,7 @@ def test_packing_asks_on(spark):
     words = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(40)]
     table = spark.createDataFrame([(i, " ".join(words[i % 4 * 10 : i % 4 * 10 + 6])) for i in range(800)], "doc_id long, text string")
     first = [r["doc_id"] for r in packing.pack(table, docs_per_shard=1000).collect() if r["sequence_id"] == 0]
-    assert len(first) > 70 and {i % 4 for i in first} == {0}
+    assert len(first) > 70 and len({i % 4 for i in first}) == 1  # which family is first depends on the order of the terms
 
 
 def test_packing_asks_with_all_terms(spark):

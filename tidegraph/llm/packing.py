@@ -1,11 +1,12 @@
 """Lexical retrieval packing: windows of one length filled with a seed document and its nearest unused neighbours.
 
-Nearness is BM25 with all terms of the seed and the statistics of the whole table. Documents are dealt to shards, each
-with the postings of its documents, and every seed asks every shard, so its neighbours come from the whole table. Many
-chains of windows grow at once. In a round each chain's seed gets its best unused documents; pairs of a chain and a
-document are settled by falling score until the chain's window is full; a chain whose list ends before asks again with
-the same seed. A document that reaches over the end of a window is cut there and is the seed of the next. The windows
-that chains leave open when no document is left are joined, so one window is padded at most.
+Nearness is BM25 with all terms (token ids) of the seed and the statistics of the whole table. The index is sharded by
+content: a document's key is its terms in the order of an exponential race weighted by idf, so that two documents have
+the same first term with the probability of their weighted Jaccard similarity. Documents are sorted by the first three
+terms and cut into shards, ties by row, so that neighbours meet and no group of equal texts outgrows a shard. Each
+shard has the postings of its documents. A seed scores all that are unused there and takes the best, as many as its
+window needs; a document that reaches over the end of a window is cut there and is the seed of the next. Tables of up
+to DOCS_PER_SHARD documents are one shard, so there the search is of the whole table.
 """
 
 from __future__ import annotations
@@ -22,75 +23,121 @@ from tidegraph.llm import tokens
 from tidegraph.llm.common import as_bytes, documents, mixed, slices, written
 
 LENGTH, DOCS_PER_SHARD = 2048, 4000
+#: A shard ends before its token ids outgrow a task's memory, too (one document may be longer).
+TOKENS_PER_SHARD = 16_000_000
 #: BM25's constants.
 K1, B = 1.2, 0.75
-#: Windows a chain fills, about; chains at most; a list holds so many times the tokens that its window lacks.
-WINDOWS_PER_CHAIN, MOST_CHAINS, SLACK = 16, 20_000, 4
-#: Seeds that ask a shard together.
-BLOCK = 500
+#: Partitions at most; beyond, a partition holds several shards, one after the other.
+MOST_PARTITIONS = 10_000
 
 
-def postings(each: list[np.ndarray]) -> np.ndarray:
-    """Rows term, document, frequency, by term and then document."""
-    size = [len(x) for x in each]
-    whole = np.concatenate(each).astype(np.int64) if each else np.zeros(0, np.int64)
-    key, tf = np.unique(whole * len(each) + np.repeat(np.arange(len(each)), size), return_counts=True)
-    return np.stack([key // max(len(each), 1), key % max(len(each), 1), tf]).astype("<u4")
-
-
-def weights(term: np.ndarray, tf: np.ndarray, size: np.ndarray, df: np.ndarray, n: int, mean: float) -> np.ndarray:
-    """BM25 weight of each posting; size: tokens of its document."""
-    idf = np.log1p((n - df[term] + 0.5) / (df[term] + 0.5))
-    return idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size / mean))
+def idf(df: np.ndarray, n: int) -> np.ndarray:
+    return np.log1p((n - df + 0.5) / (df + 0.5))
 
 
-def nearest(score: np.ndarray, size: np.ndarray, tie: np.ndarray, need: int) -> np.ndarray:
-    """Documents by falling score (then tie) until their sizes sum to need, or all."""
-    k = 64
+def term_counts(each: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """document, term, frequency, by document and then term."""
+    size = [len(x) for x in each]
+    whole = np.concatenate(each).astype(np.int64) if each else np.zeros(0, np.int64)
+    key, tf = np.unique(np.repeat(np.arange(len(each)), size) << 32 | whole, return_counts=True)
+    return key >> 32, key & 0xFFFFFFFF, tf
+
+
+def race(doc: np.ndarray, term: np.ndarray, weight: np.ndarray, n: int, places: int = 3) -> np.ndarray:
+    """The first terms of each of n documents in an exponential race with weights by term; n rows, -1 where none is left."""
+    u = ((mixed(np.arange(1, len(weight) + 1, dtype=np.uint64)) >> np.uint64(12)).astype(float) + 0.5) / 2**52
+    order = np.lexsort((term, (-np.log(u) / weight)[term], doc))
+    first = np.searchsorted(doc, np.arange(n + 1))
+    at = first[:-1, None] + np.arange(places)
+    inside = at < first[1:, None]
+    return np.where(inside, term[order][np.where(inside, at, 0)] if len(term) else -1, -1)
+
+
+class Shard:
+    """An inverted index over documents (their ids without the end id) with the table's statistics."""
+
+    def __init__(self, each: list[np.ndarray], size: np.ndarray, df: np.ndarray, n: int, mean: float):
+        self.m = len(each)
+        doc, self.term, tf = term_counts(each)
+        self.first = np.searchsorted(doc, np.arange(self.m + 1))
+        weight = idf(df, n)[self.term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[doc] / max(mean, 1.0)))
+        order = np.argsort(self.term, kind="stable")
+        self._post(self.term[order], doc[order], weight[order])
+
+    def _post(self, term: np.ndarray, doc: np.ndarray, weight: np.ndarray) -> None:
+        self.t, self.d, self.w = term, doc, weight
+        self.names, at = np.unique(term, return_index=True)
+        self.at = np.append(at, len(term))
+        self.n_left = len(np.unique(doc))
+
+    def scores(self, seed: int) -> np.ndarray:
+        """BM25 of all documents for all terms of the seed."""
+        own = self.term[self.first[seed] : self.first[seed + 1]]
+        if not len(own) or not len(self.names):
+            return np.zeros(self.m)
+        k = np.minimum(np.searchsorted(self.names, own), len(self.names) - 1)
+        k = k[self.names[k] == own]
+        lists = [slice(a, b) for a, b in zip(self.at[k].tolist(), self.at[k + 1].tolist(), strict=True)]
+        if not lists:
+            return np.zeros(self.m)
+        return np.round(np.bincount(np.concatenate([self.d[x] for x in lists]), np.concatenate([self.w[x] for x in lists]), self.m), 9)
+
+    def forget(self, used: np.ndarray) -> None:
+        """Drops the postings of used documents once they are half of what is left."""
+        if 2 * (self.m - int(used.sum())) < self.n_left:
+            keep = ~used[self.d]
+            self._post(self.t[keep], self.d[keep], self.w[keep])
+
+
+def nearest(score: np.ndarray, size: np.ndarray, need: int) -> np.ndarray:
+    """Places by falling score (ties: the first) until their sizes sum to need, or all."""
+    k = 8
     while True:
         some = np.arange(len(score)) if k >= len(score) else np.flatnonzero(score >= np.partition(score, -k)[-k])
-        some = some[np.lexsort((tie[some], -score[some]))]
+        some = some[np.argsort(-score[some], kind="stable")]
         total = np.cumsum(size[some])
         if k >= len(score) or total[-1] >= need:
             return some[: int(np.searchsorted(total, need)) + 1]
-        k *= 4
-
-
-def settle(chain: np.ndarray, doc: np.ndarray, size: np.ndarray, need: dict[int, int], used: np.ndarray) -> dict[int, list[int]]:
-    """The documents each chain gets, of pairs by falling score; marks them used and lowers need."""
-    got: dict[int, list[int]] = {}
-    for c, d in zip(chain.tolist(), doc.tolist(), strict=True):
-        if need[c] > 0 and not used[d]:
-            used[d] = True
-            need[c] -= int(size[d])
-            got.setdefault(c, []).append(d)
-    return got
-
-
-def layout(chains: list[list[int]], size: np.ndarray, length: int) -> list[tuple[int, int, int, int, int]]:
-    """(document, start, length, sequence, offset) of each piece; open windows at chains' ends are joined."""
-    out, tails = [], []
-
-    def put(d: int, start: int, end: int, at: int, chain: int) -> int:
-        while start < end:
-            m = min(length - at % length, end - start)
-            out.append((d, start, m, (chain << 32) + at // length, at % length))
-            start, at = start + m, at + m
-        return at
-
-    for c, docs in enumerate(chains):
-        full = int(size[docs].sum()) // length * length
-        at = 0
-        for d in docs:
-            s = int(size[d])
-            inside = min(s, max(0, full - at))
-            put(d, 0, inside, at, c)
-            if inside < s:
-                tails.append((d, inside, s))
-            at += s
+        k *= 8
+
+
+def windows(each: list[np.ndarray], size: np.ndarray, df: np.ndarray, n: int, mean: float, length: int) -> list[tuple[int, int, int, int, int]]:
+    """(document, start, length, window, offset) of all pieces of a shard's documents; one window is padded at most.
+
+    each: the terms; size: the tokens to pack, end ids included. Whole windows of a long document come first, its rest
+    is what is packed with others.
+    """
+    out: list[tuple[int, int, int, int, int]] = []
+    w = 0
+    start, left = size // length * length, size % length
+    for d in np.flatnonzero(start).tolist():
+        for s in range(0, int(start[d]), length):
+            out.append((d, s, length, w, 0))
+            w += 1
+    used = left == 0
+    shard = Shard(each, size, df, n, mean)
     at = 0
-    for d, a, b in tails:
-        at = put(d, a, b, at, len(chains))
+    for seed in range(len(each)):
+        if used[seed]:
+            continue
+        used[seed] = True
+        out.append((seed, int(start[seed]), int(left[seed]), w, 0))
+        at, now = int(left[seed]), seed
+        while 0 < at < length:
+            shard.forget(used)
+            free = np.flatnonzero(~used)
+            if not len(free):
+                return out
+            for d in free[nearest(shard.scores(now)[free], left[free], length - at)].tolist():
+                used[d] = True
+                m = min(int(left[d]), length - at)
+                out.append((d, int(start[d]), m, w, at))
+                at += m
+                if at == length:
+                    w, at = w + 1, int(left[d]) - m
+                    if at:  # the rest is the next window's beginning, and its document the seed
+                        out.append((d, int(start[d]) + m, at, w, 0))
+                        now = d
     return out
 
 
@@ -98,138 +145,95 @@ def pack(docs: DataFrame, length: int = LENGTH, vocabulary: str | None = None, e
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     Null and empty texts are their end id alone; repeated rows and null doc_ids are packed like any other; an
-    empty table gives no rows; other columns are not read. A sequence is a chain (upper 31 bits of sequence_id)
-    and a window in it. Shards depend on doc_id and text, not on the input's partitions. The driver holds each
-    document's size and place.
+    empty table gives no rows; other columns are not read. sequence_id is the partition (upper bits) and a window in it.
+    The driver holds the terms' document frequencies, as many as the vocabulary has tokens.
     """
     spark, schema = docs.sparkSession, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        file = vocabulary or tokens.vocabulary()
+        from pyspark import TaskContext
+
+        file, row = vocabulary or tokens.vocabulary(), TaskContext.get().partitionId() << 33
+        counts, n_docs, n_tokens = np.zeros(0, np.int64), 0, 0
+        names = ["row", "doc_id", "width", "ids"]
         for b in batches:
             buf, off = as_bytes(b.column("text"))
             for i, j in slices(off, 1 << 19):
                 ids, at = tokens.encode(file, buf[off[i] : off[j]], off[i : j + 1] - off[i], end_id)
-                small = ids.astype("<u2") if not len(ids) or ids.max() < 1 << 16 else ids.astype("<u4")
+                n_docs, n_tokens = n_docs + j - i, n_tokens + len(ids)
+                _, term, _ = term_counts([ids[x : y - 1] for x, y in zip(at[:-1], at[1:], strict=True)])
+                df = np.bincount(term, minlength=len(counts))
+                df[: len(counts)] += counts
+                counts = df
+                small = ids.astype("<u2") if ids.max() < 1 << 16 else ids.astype("<u4")
                 payload = pa.Array.from_buffers(pa.large_binary(), j - i, [None, pa.py_buffer((at * small.itemsize).astype(np.int64)), pa.py_buffer(small)])
-                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(i, j - i).cast(pa.int64()), b.column("shard").slice(i, j - i), pa.array(np.full(j - i, small.itemsize, np.int8)), payload.cast(pa.binary())], names=["doc_id", "shard", "width", "ids"])
-
-    def index(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("doc_id", "ascending"), ("width", "ascending"), ("ids", "ascending")])
-        each = [np.frombuffer(x.as_buffer(), f"<u{w.as_py()}") for x, w in zip(table["ids"], table["width"], strict=True)]
-        n, shard = len(each), table["shard"][0].as_py()
-        sizes = np.array([len(x) for x in each], "<u4")
-        own = [("shard", pa.array([shard] * (n + 1), pa.int64())), ("pos", pa.array([*range(n), -1], pa.int64())), ("doc_id", pa.array([*table["doc_id"].to_pylist(), None], pa.int64())), ("width", pa.array([*table["width"].to_pylist(), 0], pa.int8()))]
-        ids = pa.array([*(x.tobytes() for x in each), None], pa.binary())
-        return pa.table(dict([*own, ("ids", ids), ("sizes", pa.array([None] * n + [sizes.tobytes()], pa.binary())), ("postings", pa.array([None] * n + [postings(each).tobytes()], pa.binary()))]))
-
-    def term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(row, row + j - i)), b.column("doc_id").slice(i, j - i).cast(pa.int64()), pa.array(np.full(j - i, small.itemsize, np.int8)), payload.cast(pa.binary())], names=names)
+                row += j - i
+        if n_docs:
+            term = np.flatnonzero(counts)
+            stats = np.stack([np.concatenate([[-2, -1], term]), np.concatenate([[n_tokens, n_docs], counts[term]])]).astype("<i8")
+            yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([None], pa.int64()), pa.array([0], pa.int8()), pa.array([stats.tobytes()], pa.binary())], names=names)
+
+    def unfolded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for p in b.column("postings"):
-                term, df = np.unique(np.frombuffer(p.as_buffer(), "<u4").reshape(3, -1)[0], return_counts=True)
-                yield pa.RecordBatch.from_pydict({"term": pa.array(term.astype(np.int64)), "df": pa.array(df.astype(np.int64))})
-
-    n_shards = max(1, -(-docs.select("doc_id").count() // docs_per_shard))
-    dealt = docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_shards)).alias("shard"))
-    encoded = dealt.mapInArrow(encode, "doc_id long, shard long, width byte, ids binary")
-    table = written(encoded.groupBy("shard").applyInArrow(index, "shard long, pos long, doc_id long, width byte, ids binary, sizes binary, postings binary"), "packing")
-    shards = table.where("pos = -1").select("shard", "sizes", "postings")
-    sizes = {r["shard"]: np.frombuffer(r["sizes"], "<u4").astype(np.int64) for r in shards.select("shard", "sizes").collect()}
-    if not sizes:
+            for x in b.column("ids"):
+                term, n = np.frombuffer(x.as_buffer(), "<i8").reshape(2, -1)
+                yield pa.RecordBatch.from_arrays([pa.array(term), pa.array(n)], names=["term", "n"])
+
+    table = written(docs.select("doc_id", "text").mapInArrow(encode, "row long, doc_id long, width byte, ids binary"), "packing")
+    stats = {r["term"]: r["n"] for r in table.where("width = 0").select("ids").mapInArrow(unfolded, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
+    if not stats:
         return spark.createDataFrame([], schema)
-    first, n = {}, 0  # a document's number: its shard's first number and its place there
-    for s in sorted(sizes):
-        first[s], n = n, n + len(sizes[s])
-    size = np.concatenate([sizes[s] for s in sorted(sizes)])
-    mean = max(float(size.mean()), 1.0)
-    counted = shards.select("postings").mapInArrow(term_counts, "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).collect()
-    df = np.zeros(max((r["term"] for r in counted), default=0) + 1)
-    for r in counted:
-        df[r["term"]] = r["df"]
-
-    def ask(seeds: dict[int, tuple[int, int]], used: np.ndarray) -> pa.Table:
-        """chain, doc by falling score; seeds: document and tokens to fill by chain."""
-        starts = np.array([first[s] for s in sorted(first)])
-        keys = np.array(sorted(first))
-        chain = np.array(list(seeds), np.int64)
-        doc, need = np.array(list(seeds.values()), np.int64).T
-        at = np.searchsorted(starts, doc, "right") - 1
-        wanted = spark.createDataFrame(pa.table({"shard": keys[at], "pos": doc - starts[at], "chain": chain, "need": need * SLACK}))
-        bits = np.packbits(used)
-
-        def block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                for i in range(0, len(b), BLOCK):
-                    x = b.slice(i, BLOCK)
-                    terms = [np.unique(np.frombuffer(v.as_buffer(), f"<u{w.as_py()}")).astype("<u4") for v, w in zip(x.column("ids"), x.column("width"), strict=True)]
-                    cols = [x.column("chain").to_numpy(), x.column("need").to_numpy(), np.array([len(t) for t in terms], np.int64)]
-                    yield pa.RecordBatch.from_pydict({"seeds": pa.array([np.stack(cols).astype("<i8").tobytes()], pa.binary()), "terms": pa.array([np.concatenate(terms).tobytes()], pa.binary())})
-
-        def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            unused = np.unpackbits(bits, count=n) == 0
-            for b in batches:
-                for row in range(len(b)):
-                    shard = b.column("shard")[row].as_py()
-                    own = np.frombuffer(b.column("sizes")[row].as_buffer(), "<u4").astype(np.int64)
-                    free = unused[first[shard] : first[shard] + len(own)]
-                    left = np.flatnonzero(free)
-                    if not len(left):
-                        continue
-                    term, d, tf = np.frombuffer(b.column("postings")[row].as_buffer(), "<u4").reshape(3, -1)
-                    keep = free[d]
-                    term, d, tf = term[keep], (np.cumsum(free) - 1)[d[keep]], tf[keep]
-                    weight = weights(term, tf, own[left][d], df, n, mean)
-                    chains, needs, counts = np.frombuffer(b.column("seeds")[row].as_buffer(), "<i8").reshape(3, -1)
-                    terms = np.frombuffer(b.column("terms")[row].as_buffer(), "<u4")
-                    lo, hi, end = np.searchsorted(term, terms), np.searchsorted(term, terms, "right"), np.cumsum(counts)
-                    out = []
-                    for c, m, e, k in zip(chains.tolist(), needs.tolist(), end.tolist(), counts.tolist(), strict=True):
-                        parts = [slice(x, y) for x, y in zip(lo[e - k : e].tolist(), hi[e - k : e].tolist(), strict=True) if x < y]
-                        s = np.bincount(np.concatenate([d[p] for p in parts]), np.concatenate([weight[p] for p in parts]), len(left)) if parts else np.zeros(len(left))
-                        s = np.round(s, 9)
-                        tie = mixed((first[shard] + left).astype(np.uint64) ^ mixed(np.array([c + 1], np.uint64)))
-                        best = nearest(s, own[left], tie, m)
-                        out.append((np.full(len(best), c), first[shard] + left[best], s[best], own[left][best], np.full(len(best), m), tie[best].astype(np.int64)))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names=["chain", "doc", "score", "size", "need", "tie"])
-
-        asking = written(table.where("pos >= 0").join(F.broadcast(wanted), ["shard", "pos"]).select("chain", "need", "width", "ids").coalesce(8).mapInArrow(block, "seeds binary, terms binary"), "seeds")
-        found = shards.crossJoin(asking).mapInArrow(score, "chain long, doc long, score double, size long, need long, tie long")
-        before = F.expr("sum(size) over (partition by chain order by score desc, tie rows between unbounded preceding and current row) - size")
-        got = found.withColumn("before", before).where("before < need").select("chain", "doc", "score", "tie").toArrow()
-        return got.sort_by([("score", "descending"), ("tie", "ascending"), ("chain", "ascending")])
-
-    used = np.zeros(n, bool)
-    wanted = min(MOST_CHAINS, max(1, int(size.sum()) // (length * WINDOWS_PER_CHAIN)))
-    chains: list[list[int]] = []
-    seed: dict[int, int] = {}
-    need: dict[int, int] = {}
-    while not used.all():
-        if len(seed) < wanted // 2 + 1:  # a window that ends with its document leaves its chain without a seed
-            unused = np.flatnonzero(~used)
-            for d in unused[:: max(1, len(unused) // (wanted - len(seed)))][: wanted - len(seed)].tolist():
-                used[d], seed[len(chains)], need[len(chains)] = True, d, -int(size[d]) % length
-                chains.append([d])
-        seed = {c: d for c, d in seed.items() if need[c]}
-        if not seed or used.all():
-            continue
-        pairs = ask({c: (d, need[c]) for c, d in seed.items()}, used)
-        for c, more in settle(pairs["chain"].to_numpy(), pairs["doc"].to_numpy(), size, need, used).items():
-            chains[c] += more
-            if need[c] <= 0:
-                seed[c], need[c] = more[-1], need[c] % length
-    cols = [np.array(x, np.int64) for x in zip(*layout(chains, size, length), strict=True)]
-    starts, keys = np.array([first[s] for s in sorted(first)]), np.array(sorted(first))
-    at = np.searchsorted(starts, cols[0], "right") - 1
-    pieces = spark.createDataFrame(pa.table({"shard": keys[at], "pos": cols[0] - starts[at], "start": cols[1], "length": cols[2], "sequence_id": cols[3], "offset": cols[4]}))
-
-    def checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    n, mean = stats[-1], stats[-2] / stats[-1]
+    df = np.zeros(max(stats) + 1 if max(stats) >= 0 else 1)
+    for term, count in stats.items():
+        if term >= 0:
+            df[term] = count
+
+    def ids_of(b: pa.RecordBatch) -> list[np.ndarray]:
+        return [np.frombuffer(x.as_buffer(), f"<u{w}") for x, w in zip(b.column("ids"), b.column("width").to_pylist(), strict=True)]
+
+    def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weight = idf(df, n)
+        for whole in batches:
+            for b in (whole.slice(i, 1000) for i in range(0, whole.num_rows, 1000)):
+                doc, term, _ = term_counts([x[:-1] for x in ids_of(b)])
+                first = race(doc, term, weight, b.num_rows).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([*b.columns, *[pa.array(np.ascontiguousarray(first[:, k])) for k in range(3)]], names=[*b.schema.names, "t1", "t2", "t3"])
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        w = TaskContext.get().partitionId() << 32
+
+        def done(doc_ids: list, each: list[np.ndarray]) -> pa.RecordBatch:
+            nonlocal w
+            size = np.array([len(x) for x in each], np.int64)
+            got = windows([x[:-1] for x in each], size, df, n, mean, length)
+            crc = [zlib.crc32(each[d][s : s + m].astype("<u4").tobytes()) for d, s, m, _, _ in got]
+            doc, start, long, window, offset = (np.array(x, np.int64) for x in zip(*got, strict=True))
+            out = pa.RecordBatch.from_arrays([pa.array([doc_ids[d] for d in doc.tolist()], pa.int64()), pa.array(start), pa.array(long), pa.array(crc, pa.int64()), pa.array(size[doc]), pa.array(window + w), pa.array(offset)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
+            w += int(window.max()) + 1
+            return out
+
+        doc_ids, each, held = [], [], 0
         for b in batches:
-            each = [np.frombuffer(x.as_buffer(), f"<u{w.as_py()}") for x, w in zip(b.column("ids"), b.column("width"), strict=True)]
-            start, long = b.column("start").to_pylist(), b.column("length").to_pylist()
-            crc = [zlib.crc32(x[s : s + m].astype("<u4").tobytes()) for x, s, m in zip(each, start, long, strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("start"), b.column("length"), pa.array(crc, pa.int64()), pa.array([len(x) for x in each], pa.int64()), b.column("sequence_id"), b.column("offset")], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
-
-    return pieces.join(table.where("pos >= 0").select("shard", "pos", "doc_id", "width", "ids"), ["shard", "pos"]).mapInArrow(checked, schema)
+            for i, x in zip(b.column("doc_id").to_pylist(), ids_of(b), strict=True):
+                if each and (len(each) == docs_per_shard or held + len(x) > TOKENS_PER_SHARD):
+                    yield done(doc_ids, each)
+                    doc_ids, each, held = [], [], 0
+                doc_ids.append(i)
+                each.append(x.copy())
+                held += len(x)
+        if each:
+            yield done(doc_ids, each)
+
+    keyed = table.where("width > 0").mapInArrow(key, "row long, doc_id long, width byte, ids binary, t1 int, t2 int, t3 int")
+    order = ["t1", "t2", "t3", "row"]
+    # ranges are drawn from a sample and differ in size; a range somewhat larger than a shard would leave a small one
+    parts = min(MOST_PARTITIONS, -(-n * 5 // (4 * docs_per_shard))) if n > docs_per_shard else 1
+    dealt = keyed.repartitionByRange(parts, *order) if parts > 1 else keyed.coalesce(1)
+    return dealt.sortWithinPartitions(*order).select("doc_id", "width", "ids").mapInArrow(fill, schema)
 
 
 def op8_retrieval_packing(spark, sf_dir: str) -> DataFrame:
