@@ -35,58 +35,95 @@ def idf(df: np.ndarray, n: int) -> np.ndarray:
     return np.log1p((n - df + 0.5) / (df + 0.5))
 
 
+def sorted_keys(each: list[np.ndarray], to: np.ndarray | None = None) -> tuple[np.ndarray, int]:
+    """document << bits | term (or to[term]) of all places, sorted; and the bits. Short numbers sort fastest."""
+    whole = np.concatenate(each) if each else np.zeros(0, np.uint16)
+    whole = whole if to is None else to[whole]
+    kind, bits = (np.uint32, 16) if len(each) < 1 << 16 and (not len(whole) or whole.max() < 1 << 16) else (np.int64, 32)
+    key = np.repeat(np.arange(len(each), dtype=kind) << kind(bits), [len(x) for x in each]) | whole.astype(kind)
+    key.sort()
+    return key, bits
+
+
+def firsts(key: np.ndarray) -> np.ndarray:
+    """Places where sorted keys change."""
+    return np.flatnonzero(np.concatenate([np.ones(min(1, len(key)), bool), key[1:] != key[:-1]]))
+
+
 def term_counts(each: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """document, term, frequency, by document and then term."""
-    size = [len(x) for x in each]
-    whole = np.concatenate(each).astype(np.int64) if each else np.zeros(0, np.int64)
-    key, tf = np.unique(np.repeat(np.arange(len(each)), size) << 32 | whole, return_counts=True)
-    return key >> 32, key & 0xFFFFFFFF, tf
+    key, bits = sorted_keys(each)
+    at = firsts(key)
+    own = key[at].astype(np.int64)
+    return own >> bits, own & ((1 << bits) - 1), np.diff(np.append(at, len(key)))
 
 
-def race(doc: np.ndarray, term: np.ndarray, weight: np.ndarray, n: int, places: int = 3) -> np.ndarray:
-    """The first terms of each of n documents in an exponential race with weights by term; n rows, -1 where none is left."""
+def race(each: list[np.ndarray], weight: np.ndarray, places: int = 3) -> np.ndarray:
+    """The first terms of each document in an exponential race with weights by term; a row each, -1 where none is left."""
+    n = len(each)
     u = ((mixed(np.arange(1, len(weight) + 1, dtype=np.uint64)) >> np.uint64(12)).astype(float) + 0.5) / 2**52
-    order = np.lexsort((term, (-np.log(u) / weight)[term], doc))
-    first = np.searchsorted(doc, np.arange(n + 1))
+    by_rank = np.lexsort((np.arange(len(weight)), -np.log(u) / weight))
+    rank = np.empty(len(weight), np.uint32)
+    rank[by_rank] = np.arange(len(weight), dtype=np.uint32)
+    key, bits = sorted_keys(each, rank)
+    own = key[firsts(key)].astype(np.int64)
+    first = np.searchsorted(own, np.arange(n + 1) << bits)
     at = first[:-1, None] + np.arange(places)
     inside = at < first[1:, None]
-    return np.where(inside, term[order][np.where(inside, at, 0)] if len(term) else -1, -1)
+    return np.where(inside, by_rank[own[np.where(inside, at, 0)] & ((1 << bits) - 1)] if len(own) else -1, -1)
 
 
 class Shard:
-    """An inverted index over documents (their ids without the end id) with the table's statistics."""
+    """An inverted index over documents (their ids without the end id) with the table's statistics.
+
+    Terms that an eighth of the documents or more have are rows of a full matrix, the others lists.
+    """
 
     def __init__(self, each: list[np.ndarray], size: np.ndarray, df: np.ndarray, n: int, mean: float):
-        self.m = len(each)
         doc, self.term, tf = term_counts(each)
-        self.first = np.searchsorted(doc, np.arange(self.m + 1))
+        self.first = np.searchsorted(doc, np.arange(len(each) + 1))
         weight = idf(df, n)[self.term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[doc] / max(mean, 1.0)))
-        order = np.argsort(self.term, kind="stable")
+        order = np.argsort(self.term.astype(np.uint32), kind="stable")
+        self.live = np.arange(len(each))
         self._post(self.term[order], doc[order], weight[order])
 
     def _post(self, term: np.ndarray, doc: np.ndarray, weight: np.ndarray) -> None:
+        """doc: places in live."""
         self.t, self.d, self.w = term, doc, weight
-        self.names, at = np.unique(term, return_index=True)
-        self.at = np.append(at, len(term))
-        self.n_left = len(np.unique(doc))
+        at = firsts(term)
+        self.names, self.at = term[at], np.append(at, len(term))
+        common = np.flatnonzero(np.diff(self.at) * 8 > len(self.live))
+        self.row = np.full(len(self.names), -1)
+        self.row[common] = np.arange(len(common))
+        self.full = np.zeros((len(common), len(self.live)))
+        for r, k in enumerate(common.tolist()):
+            x = slice(self.at[k], self.at[k + 1])
+            self.full[r, doc[x]] = weight[x]
 
     def scores(self, seed: int) -> np.ndarray:
-        """BM25 of all documents for all terms of the seed."""
+        """BM25 of the live documents for all terms of the seed."""
+        out = np.zeros(len(self.live))
         own = self.term[self.first[seed] : self.first[seed + 1]]
         if not len(own) or not len(self.names):
-            return np.zeros(self.m)
+            return out
         k = np.minimum(np.searchsorted(self.names, own), len(self.names) - 1)
         k = k[self.names[k] == own]
-        lists = [slice(a, b) for a, b in zip(self.at[k].tolist(), self.at[k + 1].tolist(), strict=True)]
-        if not lists:
-            return np.zeros(self.m)
-        return np.round(np.bincount(np.concatenate([self.d[x] for x in lists]), np.concatenate([self.w[x] for x in lists]), self.m), 9)
+        rows = self.row[k]
+        rare = k[rows < 0]
+        lists = [slice(a, b) for a, b in zip(self.at[rare].tolist(), self.at[rare + 1].tolist(), strict=True)]
+        if lists:
+            out += np.bincount(np.concatenate([self.d[x] for x in lists]), np.concatenate([self.w[x] for x in lists]), len(out))
+        for r in rows[rows >= 0].tolist():
+            out += self.full[r]
+        return np.round(out, 9)
 
     def forget(self, used: np.ndarray) -> None:
-        """Drops the postings of used documents once they are half of what is left."""
-        if 2 * (self.m - int(used.sum())) < self.n_left:
-            keep = ~used[self.d]
-            self._post(self.t[keep], self.d[keep], self.w[keep])
+        """Drops used documents once they are half of the live ones."""
+        keep = ~used[self.live]
+        if 2 * int(keep.sum()) < len(keep):
+            place, stays = np.cumsum(keep) - 1, keep[self.d]
+            self.live = self.live[keep]
+            self._post(self.t[stays], place[self.d[stays]], self.w[stays])
 
 
 def nearest(score: np.ndarray, size: np.ndarray, need: int) -> np.ndarray:
@@ -125,10 +162,11 @@ def windows(each: list[np.ndarray], size: np.ndarray, df: np.ndarray, n: int, me
         at, now = int(left[seed]), seed
         while 0 < at < length:
             shard.forget(used)
-            free = np.flatnonzero(~used)
+            free = np.flatnonzero(~used[shard.live])
             if not len(free):
                 return out
-            for d in free[nearest(shard.scores(now)[free], left[free], length - at)].tolist():
+            docs = shard.live[free]
+            for d in docs[nearest(shard.scores(now)[free], left[docs], length - at)].tolist():
                 used[d] = True
                 m = min(int(left[d]), length - at)
                 out.append((d, int(start[d]), m, w, at))
@@ -161,11 +199,11 @@ def pack(docs: DataFrame, length: int = LENGTH, vocabulary: str | None = None, e
             for i, j in slices(off, 1 << 19):
                 ids, at = tokens.encode(file, buf[off[i] : off[j]], off[i : j + 1] - off[i], end_id)
                 n_docs, n_tokens = n_docs + j - i, n_tokens + len(ids)
-                _, term, _ = term_counts([ids[x : y - 1] for x, y in zip(at[:-1], at[1:], strict=True)])
-                df = np.bincount(term, minlength=len(counts))
+                small = ids.astype("<u2") if ids.max() < 1 << 16 else ids.astype("<u4")
+                key, bits = sorted_keys([small[x : y - 1] for x, y in zip(at[:-1], at[1:], strict=True)])
+                df = np.bincount(key[firsts(key)].astype(np.int64) & ((1 << bits) - 1), minlength=len(counts))
                 df[: len(counts)] += counts
                 counts = df
-                small = ids.astype("<u2") if ids.max() < 1 << 16 else ids.astype("<u4")
                 payload = pa.Array.from_buffers(pa.large_binary(), j - i, [None, pa.py_buffer((at * small.itemsize).astype(np.int64)), pa.py_buffer(small)])
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(row, row + j - i)), b.column("doc_id").slice(i, j - i).cast(pa.int64()), pa.array(np.full(j - i, small.itemsize, np.int8)), payload.cast(pa.binary())], names=names)
                 row += j - i
@@ -197,8 +235,7 @@ def pack(docs: DataFrame, length: int = LENGTH, vocabulary: str | None = None, e
         weight = idf(df, n)
         for whole in batches:
             for b in (whole.slice(i, 1000) for i in range(0, whole.num_rows, 1000)):
-                doc, term, _ = term_counts([x[:-1] for x in ids_of(b)])
-                first = race(doc, term, weight, b.num_rows).astype(np.int32)
+                first = race([x[:-1] for x in ids_of(b)], weight).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([*b.columns, *[pa.array(np.ascontiguousarray(first[:, k])) for k in range(3)]], names=[*b.schema.names, "t1", "t2", "t3"])
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

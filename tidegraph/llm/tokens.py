@@ -173,6 +173,19 @@ def encoder(path: str) -> Words:
     return _encoders[path]
 
 
+def _spaced(words: list[bytes]) -> np.ndarray:
+    """Which words are one space and then characters, without white space at either end or another space among them."""
+    size = np.fromiter(map(len, words), np.int64, len(words))
+    buf = np.frombuffer(b"".join(words), np.uint8)
+    start = np.cumsum(size) - size
+    second, last = buf[np.minimum(start + 1, len(buf) - 1)], buf[start + size - 1]
+    plain = (size > 1) & (buf[start] == 0x20) & (np.add.reduceat((buf == 0x20).astype(np.int32), start) == 1) & ~_ASCII_SPACE[second] & ~_ASCII_SPACE[last]
+    for i in np.flatnonzero(plain & ((second >= 0x80) | (last >= 0x80))).tolist():  # white space beyond ASCII
+        w = words[i].decode()
+        plain[i] = not w[1].isspace() and not w[-1].isspace()
+    return plain
+
+
 def _ids_of(tokenizer, spaced: np.ndarray, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """All ids in order, and how many each word has.
 
@@ -180,7 +193,7 @@ def _ids_of(tokenizer, spaced: np.ndarray, words: list[bytes]) -> tuple[np.ndarr
     begins a word there.
     """
     text = [w.decode() for w in words]
-    plain = np.fromiter((len(w) > 1 and w[0] == " " and w.count(" ") == 1 and not w[1].isspace() and not w[-1].isspace() for w in text), bool, len(text))
+    plain = _spaced(words)
     size = np.zeros(len(text), np.int64)
     found: list[tuple[np.ndarray, np.ndarray]] = []
     together = np.flatnonzero(plain)
