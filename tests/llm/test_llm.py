@@ -333,7 +333,7 @@ def test_packing(docs, none):
         v.sort()
         assert [a for a, _ in v] == (np.cumsum([n for _, n in v]) - [n for _, n in v]).tolist() and sum(n for _, n in v) <= 256
     padded = sum(sum(n for _, n in v) < 256 for v in windows.values())
-    assert padded <= 2 * len({k >> 32 for k in windows})  # a shard has one at most; ranges of some 20 rows have one shard or two
+    assert padded <= -(-docs.count() // 20) + 2  # a shard has one at most; borders drawn unevenly may make some more
     assert packing.pack(none).count() == 0
 
 

@@ -3,10 +3,10 @@
 Nearness is BM25 with all terms (token ids) of the seed and the statistics of the whole table. The index is sharded by
 content: a document's key is its terms in the order of an exponential race weighted by idf, so that two documents have
 the same first term with the probability of their weighted Jaccard similarity. Documents are sorted by the first three
-terms and cut into shards, ties by row, so that neighbours meet and no group of equal texts outgrows a shard. Each
-shard has the postings of its documents. A seed scores all that are unused there and takes the best, as many as its
-window needs; a document that reaches over the end of a window is cut there and is the seed of the next. Tables of up
-to DOCS_PER_SHARD documents are one shard, so there the search is of the whole table.
+terms and cut into shards, ties by a hash of the row, so that neighbours meet and no group of equal texts outgrows a
+shard. Each shard has the postings of its documents. A seed scores all that are unused there and takes the best, as
+many as its window needs; a document that reaches over the end of a window is cut there and is the seed of the next.
+Tables of up to DOCS_PER_SHARD documents are one shard, so there the search is of the whole table.
 """
 
 from __future__ import annotations
@@ -27,8 +27,10 @@ LENGTH, DOCS_PER_SHARD = 2048, 4000
 TOKENS_PER_SHARD = 16_000_000
 #: BM25's constants.
 K1, B = 1.2, 0.75
-#: Partitions at most; beyond, a partition holds several shards, one after the other.
-MOST_PARTITIONS = 10_000
+#: Borders between shards at most; beyond, what lies between two is cut into several shards.
+MOST_BORDERS = 10_000
+#: Rows a shard from which the borders are drawn, on average; all rows are dealt by them.
+SAMPLED = 200
 
 
 def idf(df: np.ndarray, n: int) -> np.ndarray:
@@ -184,7 +186,7 @@ def pack(docs: DataFrame, length: int = LENGTH, vocabulary: str | None = None, e
 
     Null and empty texts are their end id alone; repeated rows and null doc_ids are packed like any other; an
     empty table gives no rows; other columns are not read. sequence_id is the partition (upper bits) and a window in it.
-    The driver holds the terms' document frequencies, as many as the vocabulary has tokens.
+    The driver holds the terms' document frequencies, as many as the vocabulary has tokens, and the shards' borders.
     """
     spark, schema = docs.sparkSession, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -231,12 +233,18 @@ def pack(docs: DataFrame, length: int = LENGTH, vocabulary: str | None = None, e
     def ids_of(b: pa.RecordBatch) -> list[np.ndarray]:
         return [np.frombuffer(x.as_buffer(), f"<u{w}") for x, w in zip(b.column("ids"), b.column("width").to_pylist(), strict=True)]
 
-    def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weight = idf(df, n)
-        for whole in batches:
-            for b in (whole.slice(i, 1000) for i in range(0, whole.num_rows, 1000)):
-                first = race([x[:-1] for x in ids_of(b)], weight).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([*b.columns, *[pa.array(np.ascontiguousarray(first[:, k])) for k in range(3)]], names=[*b.schema.names, "t1", "t2", "t3"])
+    def key(splits: np.ndarray):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            weight = idf(df, n)
+            for whole in batches:
+                for b in (whole.slice(i, 1000) for i in range(0, whole.num_rows, 1000)):
+                    t = race([x[:-1] for x in ids_of(b)], weight).astype(np.uint64) & np.uint64(0x1FFFF)
+                    tie = mixed(b.column("row").to_numpy().astype(np.uint64)) >> np.uint64(52)
+                    k = (t[:, 0] << np.uint64(46) | t[:, 1] << np.uint64(29) | t[:, 2] << np.uint64(12) | tie).astype(np.int64)
+                    shard = np.searchsorted(splits, k, "right").astype(np.int32)
+                    yield pa.RecordBatch.from_arrays([*b.columns, pa.array(k), pa.array(shard)], names=[*b.schema.names, "key", "shard"])
+
+        return run
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -253,24 +261,27 @@ def pack(docs: DataFrame, length: int = LENGTH, vocabulary: str | None = None, e
             w += int(window.max()) + 1
             return out
 
-        doc_ids, each, held = [], [], 0
+        doc_ids, each, held, now = [], [], 0, None
         for b in batches:
-            for i, x in zip(b.column("doc_id").to_pylist(), ids_of(b), strict=True):
-                if each and (len(each) == docs_per_shard or held + len(x) > TOKENS_PER_SHARD):
+            for i, x, shard in zip(b.column("doc_id").to_pylist(), ids_of(b), b.column("shard").to_pylist(), strict=True):
+                if each and (shard != now or len(each) >= 1.5 * docs_per_shard or held + len(x) > TOKENS_PER_SHARD):
                     yield done(doc_ids, each)
                     doc_ids, each, held = [], [], 0
+                now = shard
                 doc_ids.append(i)
                 each.append(x.copy())
                 held += len(x)
         if each:
             yield done(doc_ids, each)
 
-    keyed = table.where("width > 0").mapInArrow(key, "row long, doc_id long, width byte, ids binary, t1 int, t2 int, t3 int")
-    order = ["t1", "t2", "t3", "row"]
-    # ranges are drawn from a sample and differ in size; a range somewhat larger than a shard would leave a small one
-    parts = min(MOST_PARTITIONS, -(-n * 5 // (4 * docs_per_shard))) if n > docs_per_shard else 1
-    dealt = keyed.repartitionByRange(parts, *order) if parts > 1 else keyed.coalesce(1)
-    return dealt.sortWithinPartitions(*order).select("doc_id", "width", "ids").mapInArrow(fill, schema)
+    rows, kind = table.where("width > 0"), "row long, doc_id long, width byte, ids binary, key long, shard int"
+    splits, shards = np.zeros(0, np.int64), min(MOST_BORDERS, -(-n // docs_per_shard))
+    if shards > 1:
+        some = rows.sample(min(1.0, SAMPLED * shards / n), 1).mapInArrow(key(splits), kind)
+        at = ",".join(f"{(i + 1) / shards:.9f}" for i in range(shards - 1))
+        splits = np.unique(np.array(some.select(F.expr(f"approx_percentile(key, array({at}), {max(10_000, 10 * shards)})")).first()[0] or [], np.int64))
+    dealt = rows.mapInArrow(key(splits), kind).repartition(shards, "shard").sortWithinPartitions("shard", "key", "row")
+    return dealt.select("doc_id", "width", "ids", "shard").mapInArrow(fill, schema)
 
 
 def op8_retrieval_packing(spark, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ from itertools import repeat
 import numpy as np
 
 #: Words kept by one worker; at more, those that were met only once go.
-MOST_WORDS = 400_000
+MOST_WORDS = 600_000
 
 _ASCII_SPACE = np.zeros(256, bool)
 _ASCII_SPACE[[0x20, *range(0x09, 0x0E), *range(0x1C, 0x20)]] = True
@@ -95,8 +95,8 @@ class Words:
 
     def _shrink(self) -> None:
         keep = np.flatnonzero(self.again.all[: self.again.n])
-        if len(keep) > MOST_WORDS // 2:
-            keep = keep[:0]
+        if len(keep) > MOST_WORDS * 3 // 4:
+            keep = keep[len(keep) // 2 :]  # the later half
         names = list(self.index)  # in the order of their numbers
         size, ids = self.size.all[keep], _gather(self.ids.all, self.start.all[keep], self.size.all[keep])
         self._empty()
