@@ -1,35 +1,14 @@
-"""Queries run on the whole of their tables: against brute force, and against their SQL without its modulo filter."""
+"""Queries run on the whole of their tables, against brute force."""
 
-import pytest
-
-from test_queries import SF, _plain, db  # noqa: F401
+from test_queries import SF, db  # noqa: F401
 from tidegraph.plans import registry
 from tidegraph.sources import derived
 
-CO = " AND (a.l_partkey * 31 + b.l_partkey * 17) % 100 = 0"
-
-
-def whole(spark, db, name, *filters):  # noqa: F811
-    sql = registry.oracle_sql()[name]
-    for f in filters:
-        sql = sql.replace(f, "")
-    got = db.execute(sql)
-    names = [c[0] for c in got.description]
-    df = registry.queries()[name](spark, SF)
-    at = [names.index(c) for c in df.columns]
-    assert _plain(df.collect()) == _plain([tuple(r[i] for i in at) for r in got.fetchall()])
-
-
 def test_co_purchase(spark, db):  # noqa: F811
     want = db.execute("SELECT DISTINCT a.l_partkey, b.l_partkey FROM lineitem a JOIN lineitem b USING (l_orderkey) WHERE a.l_partkey < b.l_partkey").fetchall()
     assert sorted(map(tuple, derived.co_purchase(spark, SF).collect())) == sorted(want)
 
 
-@pytest.mark.parametrize("name", ["connected_components", "component_sizes", "component_edges", "percolation_sites", "percolation_bonds", "k_hop", "similarity_weighted_jaccard"])
-def test_co_purchase_queries(spark, db, name):  # noqa: F811
-    whole(spark, db, name, CO)
-
-
 def test_spanning_forest_and_k_core(spark):
     edges = [tuple(r) for r in derived.co_purchase(spark, SF).collect()]
     label = {v: v for e in edges for v in e}
@@ -44,7 +23,7 @@ def test_spanning_forest_and_k_core(spark):
         if root(a) != root(b):
             label[root(a)] = root(b)
             total += w
-    forest = registry.queries()["spanning_forest"](spark, SF).collect()
+    forest = registry.queries()["spanning_forest_of_purchases"](spark, SF).collect()
     roots = {root(v) for v in label}
     assert len(forest) == len(label) - len(roots) and sum(r["weight"] for r in forest) == total
     near = {v: set() for v in label}
@@ -60,7 +39,7 @@ def test_spanning_forest_and_k_core(spark):
             core[v] = k
             for x in near.pop(v):
                 near.get(x, set()).discard(v)
-    assert {r["id"]: r["core"] for r in registry.queries()["k_core"](spark, SF).collect()} == core
+    assert {r["id"]: r["core"] for r in registry.queries()["k_core_of_purchases"](spark, SF).collect()} == core
 
 
 def strong(edges):
@@ -93,13 +72,3 @@ def test_many_strong_components(spark):
     edges = [(7, 3), (3, 5), (5, 7), (5, 9), (9, 8), (8, 9), (8, 20), (20, 21), (21, 22), (22, 20), (30, 30), (31, 30), (40, 41), (41, 40), (41, 7)]
     got = graph.strong_components(spark.createDataFrame(edges, "src long, dst long")).collect()
     assert {r["id"]: r["label"] for r in got} == strong(edges)
-
-
-@pytest.mark.parametrize("name, filter", [("ratings_from_similarity", " WHERE (a + b) % 10 = 0"), ("ratings_from_probability", " AND (x.i + y.i) % 10 = 0")])
-def test_ratings_from_all_pairs(spark, db, name, filter):  # noqa: F811
-    """Scores by user and rank: ties may fall either way."""
-    sql = registry.oracle_sql()[name]
-    assert filter in sql
-    got = {(r["u"], r["rank"]): r["score"] for r in registry.queries()[name](spark, SF).collect()}
-    want = {(u, n): s for u, _, s, n in db.execute(sql.replace(filter, "")).fetchall()}
-    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 2e-4 for k in want)

@@ -1 +1 @@
-"""Part of tidegraph."""
+"""Column functions."""

@@ -27,73 +27,168 @@ ROWS_A_TASK = 200_000
 
 
 def _spread(ratings: DataFrame, *keys: str) -> DataFrame:
-    """ratings with a part number per key, so that an id with very many ratings is summed by several tasks.
+    """ratings with a part number and the number of parts per key, so that an id with very many ratings is summed by
+    several tasks.
 
     Rows with a null key go. Write the result before use: part numbers are random.
     """
     for k in keys:
-        n = ratings.groupBy(k).agg(F.ceil(F.count("*") / ROWS_A_TASK).alias("_n"))
-        ratings = ratings.join(n, k).withColumn(f"_part_{k}", F.floor(F.rand(1) * F.col("_n"))).drop("_n")
+        n = ratings.groupBy(k).agg(F.ceil(F.count("*") / ROWS_A_TASK).cast("int").alias(f"_parts_{k}"))
+        ratings = ratings.join(n, k).withColumn(f"_part_{k}", F.floor(F.rand(1) * F.col(f"_parts_{k}")).cast("int"))
     return ratings
 
 
 def _solver(reg: float, by_degree: bool = False, keep: int | None = None):
-    """Least squares; keep: only so many entries of a solution stay (the largest, solved again on their own)."""
-
-    def solve(id_, a, b, n, old):
-        a = a + reg * (n if by_degree else 1) * np.eye(len(b))
-        x = np.linalg.solve(a, b)
-        if keep is not None and keep < len(x):
-            best = np.sort(np.argsort(-np.abs(x))[:keep])
-            x = np.zeros_like(x)
-            x[best] = np.linalg.solve(a[np.ix_(best, best)], b[best])
-        return x
+    """Least squares; keep: only so many entries of a solution stay (see `cosamp`)."""
+
+    def solve(ids, a, b, n, old):
+        d = b.shape[1]
+        a = a + reg * (n if by_degree else np.ones(len(b)))[:, None, None] * np.eye(d)
+        if keep is not None and keep < d:
+            return np.array([cosamp(x, y, keep) for x, y in zip(a, b, strict=True)]).reshape(-1, d)
+        return np.linalg.solve(a, b[:, :, None])[:, :, 0]
 
     return solve
 
 
+def cosamp(a: np.ndarray, b: np.ndarray, keep: int, rounds: int = 10, close: float = 1e-3) -> np.ndarray:
+    """A solution of a x = b with `keep` entries by compressive sampling matching pursuit.
+
+    Each round the 2 * keep entries on which the residual weighs most join those of the last solution, least squares
+    over them gives the new one, and its largest entries stay; it ends when the residual is small or stays as it is.
+    """
+    x, left, before = np.zeros(a.shape[1]), b.astype(float), np.inf
+    for _ in range(rounds):
+        near = np.abs(a.T @ left)
+        some = np.union1d(np.argsort(-near, kind="stable")[: 2 * keep], np.flatnonzero(x))
+        got = np.zeros(len(x))
+        got[some] = np.linalg.lstsq(a[:, some], b, rcond=None)[0]
+        best = np.argsort(-np.abs(got), kind="stable")[:keep]
+        x = np.zeros(len(x))
+        x[best] = got[best]
+        left = b - a @ x
+        size = float(np.linalg.norm(left))
+        if size < close or size >= before - 1e-12:
+            break
+        before = size
+    return x
+
+
 def _coordinates(reg: float, by_degree: bool = False):
     """One sweep over the coordinates of the old solution, each solved with the others fixed."""
 
-    def solve(id_, a, b, n, old):
-        x, lam = np.zeros(len(b)) if old is None else np.array(old, float), reg * (n if by_degree else 1)
-        for t in range(len(b)):
-            x[t] = (b[t] - a[t] @ x + a[t, t] * x[t]) / (lam + a[t, t]) if lam + a[t, t] > 0 else 0.0
+    def solve(ids, a, b, n, old):
+        x, lam = np.array(old, float), reg * (n if by_degree else np.ones(len(b)))
+        for t in range(b.shape[1]):
+            under = lam + a[:, t, t]
+            top = b[:, t] - np.einsum("ij,ij->i", a[:, t], x) + a[:, t, t] * x[:, t]
+            x[:, t] = np.where(under > 0, top / np.where(under > 0, under, 1), 0.0)
         return x
 
     return solve
 
 
+def _matrix(column, rows: int) -> np.ndarray:
+    return np.asarray(column.flatten()).reshape(rows, -1) if rows else np.zeros((0, 1))
+
+
+def _runs(keys: list[np.ndarray], values: list[np.ndarray], carry):
+    """Sums of values (2-D arrays) over runs of equal keys, and the open last run; carry: the open run before."""
+    change = np.zeros(len(keys[0]), bool)
+    for k in keys:
+        change[1:] |= k[1:] != k[:-1]
+    at = np.concatenate([[0], np.flatnonzero(change)])
+    heads, sums = [k[at] for k in keys], [np.add.reduceat(v, at, axis=0) for v in values]
+    if carry is not None:
+        if all(h[0] == c for h, c in zip(heads, carry[0], strict=True)):
+            for s, c in zip(sums, carry[1], strict=True):
+                s[0] += c
+        else:
+            heads = [np.concatenate([[c], h]) for h, c in zip(heads, carry[0], strict=True)]
+            sums = [np.concatenate([c[None], s]) for s, c in zip(sums, carry[1], strict=True)]
+    last = ([h[-1] for h in heads], [s[-1] for s in sums])
+    return [h[:-1] for h in heads], [s[:-1] for s in sums], last
+
+
 def _half(ratings: DataFrame, fixed: DataFrame, key: str, other: str, solve, weighted: bool = False, own: DataFrame | None = None) -> DataFrame:
     """id, f of the ids of `key` from the other side's factors: normal equations are summed by parts, then solved.
 
-    solve: (id, sum of qq', sum of rq, number of ratings, old solution if own is given) to the new solution.
+    Rows come sorted by id, so sums and solutions are taken for many ids at once. solve: (ids, sums of qq', sums of rq,
+    numbers of ratings, old solutions if own is given), an entry per id, to the new solutions.
     """
-    rows = ratings.join(fixed, F.col(other) == F.col("id")).select(F.col(key).alias("id"), F.col(f"_part_{key}").alias("part"), "f", F.col("r").cast("double").alias("r"), *([F.col("w").cast("double").alias("w")] if weighted else []))
-
-    def sums(table):
-        import pyarrow as pa
-
-        q = np.asarray(table["f"].combine_chunks().flatten()).reshape(table.num_rows, -1)
-        r = table["r"].to_numpy()
-        wq = q * table["w"].to_numpy()[:, None] if weighted else q
-        return pa.table({"id": [table["id"][0].as_py()], "n": [len(r)], "g": [np.append((wq.T @ q).ravel(), wq.T @ r)]}, schema=pa.schema([("id", pa.int64()), ("n", pa.int64()), ("g", pa.list_(pa.float64()))]))
+    import pyarrow as pa
 
+    cols = [F.col(key).alias("id"), F.col(f"_part_{key}").alias("part"), F.col(f"_parts_{key}").alias("parts"), "f", F.col("r").cast("double").alias("r")]
+    rows = ratings.join(fixed, F.col(other) == F.col("id")).select(*cols, *([F.col("w").cast("double").alias("w")] if weighted else []))
     follows = own is not None
-    parts = rows.groupBy("id", "part").applyInArrow(sums, "id long, n long, g array<double>")
+    lists = lambda x: pa.array(list(x), pa.list_(pa.float64()))
+
+    def solved(ids, n, g, old=None):
+        d = int((np.sqrt(1 + 4 * g.shape[1]) - 1) / 2)
+        return np.asarray(solve(ids, g[:, : d * d].reshape(-1, d, d), g[:, d * d :], n, old))
+
+    def sums(batches):
+        carry = None
+
+        def out(heads, totals):
+            ids, parts, (n, g) = heads[0], heads[2], totals
+            done = (parts == 1) & (not follows)
+            f = [None] * len(ids)
+            if done.any():
+                for k, x in zip(np.flatnonzero(done).tolist(), solved(ids[done], n[done, 0], g[done]), strict=True):
+                    f[k] = x
+            rest = [None if x else y for x, y in zip(done.tolist(), g, strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n[:, 0].astype(np.int64)), lists(f), lists(rest)], names=["id", "n", "f", "g"])
+
+        for whole in batches:
+            for b in (whole.slice(i, 2000) for i in range(0, whole.num_rows, 2000)):
+                q, r = _matrix(b.column("f"), b.num_rows), b.column("r").to_numpy()
+                wq = q * b.column("w").to_numpy()[:, None] if weighted else q
+                g = np.concatenate([(wq[:, :, None] * q[:, None, :]).reshape(len(q), -1), wq * r[:, None]], axis=1)
+                heads, totals, carry = _runs([b.column(c).to_numpy() for c in ("id", "part", "parts")], [np.ones((len(q), 1)), g], carry)
+                if len(heads[0]):
+                    yield out(heads, totals)
+        if carry is not None:
+            yield out([np.array([h]) for h in carry[0]], [t[None] for t in carry[1]])
+
+    parts = int(ratings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    summed = rows.repartition(parts, "id", "part").sortWithinPartitions("id", "part").mapInArrow(sums, "id long, n long, f array<double>, g array<double>")
+    summed = written(summed, "half")
+    open_ = summed.where("g is not null").select("id", "n", "g")
     if follows:
-        parts = parts.join(own.toDF("id", "old"), "id", "left")
+        open_ = open_.join(own.toDF("id", "old"), "id", "left").withColumn("old", F.coalesce("old", F.transform(F.sequence(F.lit(1), F.floor(F.sqrt(F.size("g").cast("double"))).cast("int")), lambda k: F.lit(0.0))))
+
+    def merge(batches):
+        carry = None
 
-    def solved(table):
-        import pyarrow as pa
+        def out(heads, totals):
+            old = totals[2] / totals[3] if follows else None
+            f = solved(heads[0], totals[0][:, 0], totals[1], old)
+            return pa.RecordBatch.from_arrays([pa.array(heads[0], pa.int64()), lists(f)], names=["id", "f"])
 
-        g = np.asarray(table["g"].combine_chunks().flatten()).reshape(table.num_rows, -1).sum(0)
-        d = int((np.sqrt(1 + 4 * len(g)) - 1) / 2)
-        id_, old = table["id"][0].as_py(), table["old"][0].as_py() if follows else None
-        x = solve(id_, g[: d * d].reshape(d, d), g[d * d :], sum(table["n"].to_pylist()), old)
-        return pa.table({"id": [id_], "f": [np.asarray(x).tolist()]}, schema=pa.schema([("id", pa.int64()), ("f", pa.list_(pa.float64()))]))
+        for b in batches:
+            if not b.num_rows:
+                continue
+            values = [b.column("n").to_numpy()[:, None].astype(float), _matrix(b.column("g"), b.num_rows)]
+            if follows:  # the old solution stands in each part
+                values += [_matrix(b.column("old"), b.num_rows), np.ones((b.num_rows, 1))]
+            heads, totals, carry = _runs([b.column("id").to_numpy()], values, carry)
+            if len(heads[0]):
+                yield out(heads, totals)
+        if carry is not None:
+            yield out([np.array([h]) for h in carry[0]], [t[None] for t in carry[1]])
 
-    return parts.groupBy("id").applyInArrow(solved, FACTORS)
+    merged = open_.repartition(parts, "id").sortWithinPartitions("id").mapInArrow(merge, FACTORS)
+    return summed.where("f is not null").select("id", "f").union(merged)
+
+
+def half_step(ratings: DataFrame, fixed: DataFrame, key: str, other: str, reg: float = 0.065, by_degree: bool = False, weighted: bool = False, keep: int | None = None, coordinate: bool = False, own: DataFrame | None = None) -> DataFrame:
+    """id, f: one side's factors (of the ids in column key) from the other side's (id, f); see `als` for the rest.
+
+    coordinate: one sweep from the factors `own`.
+    """
+    solve = _coordinates(reg, by_degree) if coordinate else _solver(reg, by_degree, keep)
+    return _half(written(_spread(ratings, key), "ratings"), fixed, key, other, solve, weighted, own if coordinate else None)
 
 
 def als(ratings: DataFrame, dims: int = 20, rounds: int = 6, reg: float = 0.065, by_degree: bool = False, weighted: bool = False, keep: int | None = None, coordinate: bool = False, seed: int = 1) -> tuple[DataFrame, DataFrame]:
@@ -118,9 +213,9 @@ def tensor_als(ratings: DataFrame, dims: int = 20, rounds: int = 6, reg: float =
     for _ in range(rounds):
         for c in "uit":
             x, y = (o for o in "uit" if o != c)
-            rows = ratings.join(side[x].toDF(x, "fx"), x).join(side[y].toDF(y, "fy"), y).select(c, f"_part_{c}", "r", F.zip_with("fx", "fy", lambda p, q: p * q).alias("f"), F.monotonically_increasing_id().alias("k"))
+            rows = ratings.join(side[x].toDF(x, "fx"), x).join(side[y].toDF(y, "fy"), y).select(c, f"_part_{c}", f"_parts_{c}", "r", F.zip_with("fx", "fy", lambda p, q: p * q).alias("f"), F.monotonically_increasing_id().alias("k"))
             fixed = written(rows, "design")
-            side[c] = written(_half(fixed.select(F.col(c), f"_part_{c}", F.col("k").alias("z"), "r"), fixed.select(F.col("k").alias("id"), "f"), c, "z", _solver(reg)), c)
+            side[c] = written(_half(fixed.select(F.col(c), f"_part_{c}", f"_parts_{c}", F.col("k").alias("z"), "r"), fixed.select(F.col("k").alias("id"), "f"), c, "z", _solver(reg)), c)
     return side["u"], side["i"], side["t"]
 
 
@@ -131,20 +226,34 @@ def nmf(ratings: DataFrame, dims: int = 2, rounds: int = 2, seed: int = 1, floor
     u = written(initial(ratings.select(F.col("u").alias("id")).distinct(), dims, seed).select("id", plus("f").alias("f")), "users")
     v = written(initial(ratings.select(F.col("i").alias("id")).distinct(), dims, seed + 1).select("id", plus("f").alias("f")), "items")
 
-    def half(own: DataFrame, fixed: DataFrame, key: str, other: str) -> DataFrame:
-        total = fixed.agg(*[F.sum(F.col("f")[k]).alias(f"t{k}") for k in range(dims)])
-        rows = ratings.join(own.toDF(key, "p"), key).join(fixed.toDF(other, "q"), other)
-        dot = sum((F.col("p")[k] * F.col("q")[k] for k in range(dims)), F.lit(0.0))
-        got = rows.groupBy(key).agg(F.first("p").alias("p"), *[F.sum(F.col("r") / F.greatest(dot, F.lit(floor)) * F.col("q")[k]).alias(f"s{k}") for k in range(dims)])
-        new = F.array(*[F.greatest(F.col("p")[k] * F.col(f"s{k}") / F.greatest(F.col(f"t{k}"), F.lit(floor)), F.lit(floor)) for k in range(dims)])
-        return written(got.join(F.broadcast(total)).select(F.col(key).alias("id"), new.alias("f")), key)  # total is one row
-
     for _ in range(rounds):
-        u = half(u, v, "u", "i")
-        v = half(v, u, "i", "u")
+        u = written(nmf_half(ratings, u, v, "u", "i", dims, floor), "users")
+        v = written(nmf_half(ratings, v, u, "i", "u", dims, floor), "items")
     return u, v
 
 
+def factor_sums(factors: DataFrame, dims: int) -> DataFrame:
+    """t0, t1, ..: the sum of each factor over all ids, one row."""
+    return factors.agg(*[F.sum(F.col("f")[k]).alias(f"t{k}") for k in range(dims)])
+
+
+def nmf_half(ratings: DataFrame, own: DataFrame, fixed: DataFrame, key: str, other: str, dims: int, floor: float = 1e-8) -> DataFrame:
+    """id, f: one side's factors after a multiplicative update against the other side's."""
+    rows = ratings.join(own.toDF(key, "p"), key).join(fixed.toDF(other, "q"), other)
+    dot = sum((F.col("p")[k] * F.col("q")[k] for k in range(dims)), F.lit(0.0))
+    got = rows.groupBy(key).agg(F.first("p").alias("p"), *[F.sum(F.col("r") / F.greatest(dot, F.lit(floor)) * F.col("q")[k]).alias(f"s{k}") for k in range(dims)])
+    new = F.array(*[F.greatest(F.col("p")[k] * F.col(f"s{k}") / F.greatest(F.col(f"t{k}"), F.lit(floor)), F.lit(floor)) for k in range(dims)])
+    return got.join(F.broadcast(factor_sums(fixed, dims))).select(F.col(key).alias("id"), new.alias("f"))  # the sums are one row
+
+
+def normal_equations(ratings: DataFrame, fixed: DataFrame, key: str, other: str, dims: int) -> DataFrame:
+    """id, n, the upper triangle of the sum of qq' row by row, and the sum of rq; built-in aggregates, summed before the exchange."""
+    q = [F.col("f")[k] for k in range(dims)]
+    rows = ratings.join(fixed, F.col(other) == F.col("id")).select(F.col(key).alias("_k"), "r", "f")
+    sums = [F.sum(q[a] * q[b]).alias(f"a{a}_{b}") for a in range(dims) for b in range(a, dims)] + [F.sum(F.col("r") * q[k]).alias(f"y{k}") for k in range(dims)]
+    return rows.groupBy(F.col("_k").alias("id")).agg(F.count("*").alias("n"), *sums)
+
+
 #: Ratings that one block pair of gradient descent holds on average.
 ROWS_A_BLOCK = 1_000_000
 
@@ -260,32 +369,84 @@ def implicit_negatives(ratings: DataFrame, share: float, value: float, seed: int
     return ratings.sparkSession.range(n).select(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(m["u"] + 1)).alias("u"), F.pmod(F.xxhash64("id", F.lit(seed + 1)), F.lit(m["i"] + 1)).alias("i"), F.lit(float(value)).alias("r"))
 
 
-def svd(matrix: DataFrame, k: int, rounds: int = 12, seed: int = 1) -> tuple[np.ndarray, DataFrame]:
-    """Largest k singular values and left vectors (id, f) of a sparse matrix (row, col, val), by block power iteration.
+def _times(m: DataFrame, x: DataFrame, inner: str, outer: str, k: int) -> DataFrame:
+    """The product of the sparse matrix m with k vectors (id, f): a join and a sum."""
+    rows = m.join(x, F.col(inner) == F.col("id"))
+    sums = rows.groupBy(F.col(outer).alias("_id")).agg(*[F.sum(F.col("val") * F.col("f")[j]).alias(f"s{j}") for j in range(k)])
+    return written(sums.select(F.col("_id").alias("id"), F.array(*[f"s{j}" for j in range(k)]).alias("f")), "vectors")
 
-    Only k by k matrices meet in the driver; each product is a join and a sum.
-    """
-    m = written(matrix.select("row", "col", "val"), "matrix")
 
-    def times(x: DataFrame, inner: str, outer: str) -> DataFrame:
-        rows = m.join(x, F.col(inner) == F.col("id"))
-        return written(rows.groupBy(F.col(outer).alias("_id")).agg(*[F.sum(F.col("val") * F.col("f")[j]).alias(f"s{j}") for j in range(k)]).select(F.col("_id").alias("id"), F.array(*[f"s{j}" for j in range(k)]).alias("f")), "vectors")
+def _gram(x: DataFrame, y: DataFrame | None, k: int) -> np.ndarray:
+    """The k by k products of the vectors (id, f) of x and y."""
+    rows = x.select("f", F.col("f").alias("h")) if y is None else x.join(y.toDF("id", "h"), "id")
+    got = rows.agg(*[F.sum(F.col("f")[a] * F.col("h")[b]).alias(f"g{a}_{b}") for a in range(k) for b in range(k)]).first()
+    return np.array([[got[f"g{a}_{b}"] or 0.0 for b in range(k)] for a in range(k)], float)
+
 
-    def gram(x: DataFrame) -> np.ndarray:
-        got = x.agg(*[F.sum(F.col("f")[a] * F.col("f")[b]).alias(f"g{a}_{b}") for a in range(k) for b in range(k)]).first()
-        return np.array([[got[f"g{a}_{b}"] for b in range(k)] for a in range(k)], float)
+def _mixed(x: DataFrame, t: np.ndarray) -> DataFrame:
+    """Vectors that are sums of those of x, by the columns of t."""
+    f = F.array(*[sum((F.col("f")[a] * float(t[a, b]) for a in range(t.shape[0])), F.lit(0.0)) for b in range(t.shape[1])])
+    return written(x.select("id", f.alias("f")), "vectors")
 
-    def orthonormal(x: DataFrame) -> tuple[DataFrame, np.ndarray]:
-        w, q = np.linalg.eigh(gram(x))
-        order = np.argsort(-w)
-        w, q = np.maximum(w[order], 1e-300), q[:, order]
-        t = q / np.sqrt(w)
-        f = F.array(*[sum((F.col("f")[a] * float(t[a, b]) for a in range(k)), F.lit(0.0)) for b in range(k)])
-        return written(x.select("id", f.alias("f")), "vectors"), np.sqrt(w)
 
+def _orthonormal(x: DataFrame, k: int) -> tuple[DataFrame, np.ndarray]:
+    """An orthonormal basis of x and the lengths along it, falling."""
+    w, q = np.linalg.eigh(_gram(x, None, k))
+    order = np.argsort(-w)
+    w, q = np.maximum(w[order], 1e-300), q[:, order]
+    return _mixed(x, q / np.sqrt(w)), np.sqrt(w)
+
+
+def svd(matrix: DataFrame, k: int, rounds: int = 12, seed: int = 1) -> tuple[np.ndarray, DataFrame, DataFrame]:
+    """Largest k singular values, left and right vectors (id, f) of a sparse matrix (row, col, val), by block iteration.
+
+    Both sides are turned in each round. Only k by k matrices meet in the driver.
+    """
+    m = written(matrix.select("row", "col", "val"), "matrix")
     v = initial(m.select(F.col("col").alias("id")).distinct(), k, seed)
     u, s = None, np.zeros(k)
     for _ in range(rounds):
-        u, s = orthonormal(times(v, "col", "row"))
-        v, s = orthonormal(times(u, "row", "col"))
-    return s, u
+        u, s = _orthonormal(_times(m, v, "col", "row", k), k)
+        v, s = _orthonormal(_times(m, u, "row", "col", k), k)
+    # u is turned to fit v
+    u, s = _orthonormal(_times(m, v, "col", "row", k), k)
+    return s, u, _mixed(_times(m, u, "row", "col", k), np.diag(1 / np.maximum(s, 1e-300)))
+
+
+def svd_one_sided(matrix: DataFrame, k: int, rounds: int = 20, seed: int = 1) -> tuple[np.ndarray, DataFrame]:
+    """Largest k singular values and right vectors (id, f), by Lanczos steps on the columns' products alone.
+
+    A basis of k + rounds vectors grows one by one, each made orthogonal to all before (twice); the small matrix of
+    their products is solved in the driver. Vectors on the rows' side are never kept.
+    """
+    m = written(matrix.select("row", "col", "val"), "matrix")
+    ids = m.select(F.col("col").alias("id")).distinct()
+    steps = min(k + rounds, ids.count())
+    x = initial(ids, 1, seed)
+    basis, products = None, np.zeros((steps, steps))
+    n = 0
+    while n < steps:
+        if basis is not None:
+            for _ in range(2):  # rounding leaves a rest after the first
+                share = _shares(x, basis, n)
+                f = F.array(F.col("f")[0] - sum((F.col("h")[j] * float(share[j]) for j in range(n)), F.lit(0.0)))
+                x = written(x.join(basis.toDF("id", "h"), "id").select("id", f.alias("f")), "vectors")
+        size = float(np.sqrt(_gram(x, None, 1)[0, 0]))
+        if size < 1e-9:
+            break
+        x = _mixed(x, np.array([[1 / size]]))
+        basis = x if basis is None else written(basis.join(x.toDF("id", "h"), "id").select("id", F.concat("f", "h").alias("f")), "vectors")
+        n += 1
+        x = _times(m, _times(m, x, "col", "row", 1), "row", "col", 1)
+        products[:n, n - 1] = products[n - 1, :n] = _shares(x, basis, n)
+    if basis is None:
+        return np.zeros(0), x
+    w, q = np.linalg.eigh(products[:n, :n])
+    order = np.argsort(-w)[:k]
+    return np.sqrt(np.maximum(w[order], 0)), _mixed(basis, q[:, order])
+
+
+def _shares(x: DataFrame, basis: DataFrame, n: int) -> np.ndarray:
+    """The products of one vector with each of n."""
+    got = x.join(basis.toDF("id", "h"), "id").agg(*[F.sum(F.col("f")[0] * F.col("h")[j]).alias(f"s{j}") for j in range(n)]).first()
+    return np.array([got[f"s{j}"] or 0.0 for j in range(n)])

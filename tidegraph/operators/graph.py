@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidegraph.operators.ordering import row_numbers, running_sum
 from tidegraph.plans.tables import written
 
 
@@ -80,19 +81,30 @@ def top(df: DataFrame, value: str, k: int) -> DataFrame:
 
 
 def connected_components(edges: DataFrame, rounds: int = 1000) -> DataFrame:
-    """id, label: the least id of the weak component; least labels with pointer jumping."""
-    e = written(undirected(edges), "edges")
-    state = written(vertices_of(e).select("id", F.col("id").alias("label")), "state")
+    """id, label: the least id of the weak component.
+
+    Each round every vertex joins its least neighbour, the trees are folded into their roots, and edges between roots
+    are all that is left, once each. A vertex with an edge is no root or has a neighbour that is none, so vertices
+    halve and a round costs less than the one before. Raises after `rounds` rounds (of halvings).
+    """
+    live = written(edges.where("src <> dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct(), "live")
+    labels = written(vertices_of(edges).select("id", F.col("id").alias("label")), "labels")
     for _ in range(rounds):
-        low = e.join(state, F.col("dst") == F.col("id")).groupBy("src").agg(F.min("label").alias("low"))
-        step = state.join(low, F.col("id") == F.col("src"), "left").select("id", F.col("label").alias("old"), F.least("label", F.coalesce("low", "label")).alias("label"))
-        jump = step.select(F.col("id").alias("at"), F.col("label").alias("further"))
-        state = written(step.join(jump, F.col("label") == F.col("at"), "left").select("id", F.coalesce("further", "label").alias("label"), "old"), "state")
-        still = state.where("label <> old").limit(1).count() == 0
-        state = state.drop("old")
-        if still:
-            break
-    return state
+        if live.limit(1).count() == 0:
+            return labels
+        # of two ends only the larger has the other as a smaller neighbour
+        up = written(live.groupBy(F.col("b").alias("id")).agg(F.min("a").alias("up")), "up")
+        while True:
+            further = up.select(F.col("id").alias("up"), F.col("up").alias("over"))
+            folded = written(up.join(further, "up", "left").select("id", F.coalesce("over", "up").alias("up"), F.col("over").isNotNull().alias("moved")), "up")
+            up = folded.drop("moved")
+            if folded.where("moved").limit(1).count() == 0:
+                break
+        to = lambda c: up.select(F.col("id").alias(c), F.col("up").alias(f"{c}_up"))
+        labels = written(labels.join(to("label"), "label", "left").select("id", F.coalesce("label_up", "label").alias("label")), "labels")
+        moved = live.join(to("a"), "a", "left").join(to("b"), "b", "left").select(F.coalesce("a_up", "a").alias("a"), F.coalesce("b_up", "b").alias("b")).where("a <> b")
+        live = written(moved.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "live")
+    raise RuntimeError(f"components are not settled after {rounds} rounds")
 
 
 def component_sizes(labels: DataFrame, include_singletons: bool = True) -> DataFrame:
@@ -184,22 +196,45 @@ def triangles(edges: DataFrame) -> DataFrame:
 
 
 def k_core(edges: DataFrame) -> DataFrame:
-    """id, core: peeling; at level k vertices with k or fewer live incident edges go (a reciprocal pair is two edges)."""
+    """id, core: peeling; at level k vertices with k or fewer live incident edges go (a reciprocal pair is two edges).
+
+    A vertex whose edges all went with others has the level of that round. Levels at which no vertex goes are skipped.
+    """
     live = written(undirected(edges, distinct=False), "edges")
-    out = written(vertices_of(live).where("false").select("id", F.lit(0).alias("core")), "core")
-    k = 1
-    while live.limit(1).count():
-        deg = live.groupBy("src").agg(F.count("*").alias("d"))
-        low = written(deg.where(F.col("d") <= k).select(F.col("src").alias("id")), "low")
-        if low.limit(1).count() == 0:
-            k += 1
-            continue
-        out = written(out.union(low.select("id", F.lit(k))), "core")
+    none = vertices_of(live).where("false").select("id", F.lit(0).alias("core"))
+    done, parts, k = written(none, "core"), [], 1
+    while True:
+        deg = written(live.groupBy("src").agg(F.count("*").alias("d")), "degrees")
+        least = deg.agg(F.min("d")).first()[0]
+        if least is None:
+            break
+        k = max(k, least)
+        low = deg.where(F.col("d") <= k).select(F.col("src").alias("id"))
         rest = written(live.join(low.withColumnRenamed("id", "src"), "src", "left_anti").join(low.withColumnRenamed("id", "dst"), "dst", "left_anti").select("src", "dst"), "edges")
-        # neighbours whose edges are all gone go as well
-        bare = live.select(F.col("src").alias("id")).distinct().join(low, "id", "left_anti").join(rest.select(F.col("src").alias("id")).distinct(), "id", "left_anti")
-        out = written(out.union(bare.select("id", F.lit(k))), "core")
+        # with them go the neighbours whose edges are all gone
+        parts.append(written(deg.join(rest.select("src"), "src", "left_anti").select(F.col("src").alias("id"), F.lit(k).alias("core")), "core"))
+        if len(parts) == 20:
+            done, parts = written(_union([done, *parts]), "core"), []
         live = rest
+    return _union([done, *parts])
+
+
+def k_core_levels(cores: DataFrame, edges: DataFrame) -> DataFrame:
+    """k, removed, removed_to_here, links_left: what each level takes; links_left are the edges between vertices beyond it."""
+    per = cores.groupBy(F.col("core").alias("k")).agg(F.count("*").alias("removed"))
+    of = lambda c: cores.select(F.col("id").alias(c), F.col("core").alias(f"{c}_core"))
+    gone = edges.join(of("src"), "src").join(of("dst"), "dst").groupBy(F.least("src_core", "dst_core").alias("k")).agg(F.count("*").alias("links"))
+    # a row per level: their number is the largest coreness, not the graph's size
+    order = Window.orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
+    both = per.join(gone, "k", "left").withColumn("links", F.coalesce("links", F.lit(0)))
+    total = F.sum("links").over(Window.partitionBy())
+    return both.select("k", "removed", F.sum("removed").over(order).alias("removed_to_here"), (total - F.sum("links").over(order)).alias("links_left"))
+
+
+def _union(tables: list[DataFrame]) -> DataFrame:
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.unionByName(t)
     return out
 
 
@@ -227,8 +262,11 @@ def label_spreading(edges: DataFrame, seeds: DataFrame, rounds: int, alpha: floa
     return state
 
 
-def k_hop(edges: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
-    """src, dst, hop: edges first met when going out from the seeds (id), level by level, over the undirected graph."""
+def k_hop(edges: DataFrame, seeds: DataFrame, hops: int, most_edges: int | None = None) -> DataFrame:
+    """src, dst, hop: edges first met when going out from the seeds (id), level by level, over the undirected graph.
+
+    most_edges: so many in the order of (hop, src, dst) are the result; levels beyond are not searched.
+    """
     e = written(undirected(edges), "edges")
     seen = written(seeds.select("id").distinct(), "seen")
     front, out = seen, None
@@ -237,17 +275,22 @@ def k_hop(edges: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
         out = step if out is None else out.union(step)
         front = written(step.select(F.col("dst").alias("id")).distinct().join(seen, "id", "left_anti"), "front")
         seen = written(seen.union(front), "seen")
-    return out
+        if most_edges is not None and out.count() >= most_edges:
+            break
+    return out if most_edges is None else out.orderBy("hop", "src", "dst").limit(most_edges)
 
 
 def random_walks(edges: DataFrame, sources: DataFrame, walks: int, steps: int, seed: int = 1) -> DataFrame:
-    """id, arrivals: walks per source (id), each hop to an out-neighbour drawn by a seeded hash; dead ends stop."""
+    """id, arrivals: walks per source (id), each hop to an out-neighbour drawn by a hash; dead ends stop.
+
+    The hash is MD5 of origin, walk, step and seed, so that a walk can be repeated anywhere.
+    """
     e = written(edges.select("src", "dst", (F.row_number().over(Window.partitionBy("src").orderBy("dst")) - 1).alias("k")), "edges")
     deg = written(e.groupBy("src").agg(F.count("*").alias("d")), "degrees")
     at = sources.select("id", F.explode(F.sequence(F.lit(1), F.lit(walks))).alias("walk")).withColumn("origin", F.col("id"))
     total = None
     for step in range(steps):
-        pick = at.join(deg, F.col("id") == F.col("src")).select("walk", "origin", "src", F.pmod(F.xxhash64("origin", "walk", F.lit(step), F.lit(seed)), F.col("d")).alias("k"))
+        pick = at.join(deg, F.col("id") == F.col("src")).select("walk", "origin", "src", (F.conv(F.substring(F.md5(F.concat_ws("|", "origin", "walk", F.lit(step), F.lit(seed))), 1, 8), 16, 10).cast("long") % F.col("d")).alias("k"))
         at = written(pick.join(e, ["src", "k"]).select(F.col("dst").alias("id"), "walk", "origin"), "walks")
         came = at.groupBy("id").agg(F.count("*").alias("n"))
         total = came if total is None else total.union(came)
@@ -255,11 +298,20 @@ def random_walks(edges: DataFrame, sources: DataFrame, walks: int, steps: int, s
 
 
 def relabel_by_degree(edges: DataFrame) -> DataFrame:
-    """id, new_id: ids in order of (degree, id); counted per degree, so that no task ranks all vertices."""
-    d = written(degrees(edges).select("id", (F.col("in_degree") + F.col("out_degree")).alias("d")), "degrees")
-    per = d.groupBy("d").agg(F.count("*").alias("n"))
-    before = per.withColumn("base", F.coalesce(F.sum("n").over(Window.orderBy("d").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # a row per distinct degree
-    return d.join(before, "d").select("id", (F.col("base") + F.row_number().over(Window.partitionBy("d").orderBy("id")) - 1).alias("new_id"))
+    """id, new_id: ids in order of (degree, id), from 0."""
+    d = degrees(edges).select("id", (F.col("in_degree") + F.col("out_degree")).alias("d"))
+    return row_numbers(d, [F.col("d"), F.col("id")], "new_id", 0).select("id", "new_id")
+
+
+def prefix_sums(edges: DataFrame) -> DataFrame:
+    """id, start: in-edges of all vertices before, for vertices with in-edges (offsets of a column of sources)."""
+    deg = degrees(edges).where("in_degree > 0").select("id", "in_degree")
+    return running_sum(deg, F.col("in_degree"), [F.col("id")], "start").select("id", "start")
+
+
+def by_destination(edges: DataFrame) -> DataFrame:
+    """src, dst, place: edges in the order of (dst, src), with their place from 0."""
+    return row_numbers(edges.select("src", "dst"), [F.col("dst"), F.col("src")], "place", 0)
 
 
 def remove_edges(edges: DataFrame, gone: DataFrame) -> DataFrame:

@@ -304,11 +304,12 @@ def sampled_factors(ratings: DataFrame, pairs: DataFrame, dims: int = 10, rounds
         return precision, rng.multivariate_normal(n * mean / (1 + n), np.linalg.inv((1 + n) * precision))
 
     def draw(precision, mean, noise, at):
-        def solve(id_, a, b, n, old):
+        def solve(ids, a, b, n, old):
             p = precision + noise * a
-            centre = np.linalg.solve(p, precision @ mean + noise * b)
-            own = np.random.default_rng([seed, at, id_ & 0xFFFFFFFFFFFFFFFF])
-            return centre + np.linalg.solve(np.linalg.cholesky((p + p.T) / 2).T, own.standard_normal(len(b)))
+            centre = np.linalg.solve(p, (precision @ mean + noise * b)[:, :, None])[:, :, 0]
+            drawn = np.array([np.random.default_rng([seed, at, x & 0xFFFFFFFFFFFFFFFF]).standard_normal(b.shape[1]) for x in ids.tolist()])
+            upper = np.linalg.cholesky((p + p.transpose(0, 2, 1)) / 2).transpose(0, 2, 1)
+            return centre + np.linalg.solve(upper, drawn[:, :, None])[:, :, 0]
 
         return solve
 

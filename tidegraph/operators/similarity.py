@@ -5,25 +5,40 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidegraph.functions.scalar import log_likelihood_ratio
+from tidegraph.operators.ordering import row_numbers
 
-def pairs(ratings: DataFrame, min_common: int = 1) -> DataFrame:
-    """a > b, n_ab and the sums over common users that the metrics need."""
+
+#: Ratings of one user that meet in one task; a user with more is split into pairs of blocks.
+ROWS_A_BLOCK = 2000
+
+
+def item_pairs(ratings: DataFrame) -> DataFrame:
+    """u, deg (the user's ratings), a > b, ra, rb: a row per user and pair of the user's items.
+
+    A user of more than ROWS_A_BLOCK ratings is split: each of the user's items goes to every block of the others.
+    """
     deg = ratings.groupBy("u").agg(F.count("*").alias("deg"))
-    rows = ratings.join(deg, "u")
-    x = rows.select("u", F.col("i").alias("a"), F.col("r").alias("ra"), "deg")
-    y = rows.select("u", F.col("i").alias("b"), F.col("r").alias("rb"))
-    both = x.join(y, "u").where("a > b")
+    rows = ratings.join(deg, "u").withColumn("blocks", F.ceil(F.col("deg") / ROWS_A_BLOCK).cast("int"))
+    x = rows.select("u", F.col("i").alias("a"), F.col("r").alias("ra"), "deg", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    y = rows.select("u", F.col("i").alias("b"), F.col("r").alias("rb"), F.pmod(F.xxhash64("i"), F.col("blocks")).cast("int").alias("block"))
+    return x.join(y, ["u", "block"]).where("a > b").drop("block")
+
+
+def pairs(ratings: DataFrame, min_common: int = 1, max_common: int | None = None) -> DataFrame:
+    """a > b, n_ab and the sums over common users that the metrics need; pairs of fewer or more common users are left out."""
+    both = item_pairs(ratings)
     return both.groupBy("a", "b").agg(
         F.count("*").alias("n_ab"), F.sum(F.col("ra") * F.col("rb")).alias("dot"), F.sum(1 / F.log("deg")).alias("adamic_adar"), F.sum(1 / F.col("deg")).alias("resource"),
         F.sum(F.abs(F.col("ra") - F.col("rb")) - F.abs("ra") - F.abs("rb")).alias("l1"), F.sum(F.col("ra") - F.col("rb")).alias("diff"),
-    ).where(F.col("n_ab") >= min_common)
+    ).where((F.col("n_ab") >= min_common) & (F.col("n_ab") <= (max_common if max_common is not None else (1 << 62))))
 
 
-def similarities(ratings: DataFrame, min_common: int = 1, alpha: float = 0.5) -> DataFrame:
+def similarities(ratings: DataFrame, min_common: int = 1, alpha: float = 0.5, max_common: int | None = None) -> DataFrame:
     """a, b and every metric. A missing rating counts as 0 in manhattan, slope_one and the distances."""
     items = ratings.groupBy("i").agg(F.count("*").alias("n"), F.sum(F.col("r") * F.col("r")).alias("sq"), F.sum(F.abs("r")).alias("abs"), F.sum("r").alias("sum")).where(F.col("n") >= min_common)
     of = lambda k: items.select(F.col("i").alias(k), *[F.col(c).alias(f"{c}_{k}") for c in ("n", "sq", "abs", "sum")])
-    p = pairs(ratings, min_common).join(of("a"), "a").join(of("b"), "b")
+    p = pairs(ratings, min_common, max_common).join(of("a"), "a").join(of("b"), "b")
     return p.select(
         "a", "b", "n_ab",
         (F.col("n_ab") / (F.col("n_a") + F.col("n_b") - F.col("n_ab"))).alias("jaccard"),
@@ -45,11 +60,30 @@ def chebyshev(ratings: DataFrame) -> DataFrame:
     return x.join(y, ["a", "b", "u"], "full").groupBy("a", "b").agg(F.max(F.abs(F.coalesce("ra", F.lit(0.0)) - F.coalesce("rb", F.lit(0.0)))).alias("chebyshev"))
 
 
-def pearson(ratings: DataFrame) -> DataFrame:
-    """a > b, pearson over common users."""
-    x = ratings.select("u", F.col("i").alias("a"), F.col("r").alias("ra"))
-    y = ratings.select("u", F.col("i").alias("b"), F.col("r").alias("rb"))
-    return x.join(y, "u").where("a > b").groupBy("a", "b").agg(F.count("*").alias("n_ab"), F.corr("ra", "rb").alias("pearson")).where("n_ab >= 3").select("a", "b", "pearson")
+def pearson(ratings: DataFrame, min_common: int = 1) -> DataFrame:
+    """a > b, pearson over common users; null where one of the items has no variance over them."""
+    same = item_pairs(ratings).groupBy("a", "b").agg(F.count("*").alias("n_ab"), F.corr("ra", "rb").alias("pearson"))
+    return same.where(F.col("n_ab") >= min_common).select("a", "b", F.when(~F.isnan("pearson"), F.col("pearson")).alias("pearson"))
+
+
+def pearson_of_all(ratings: DataFrame, min_common: int = 1) -> DataFrame:
+    """a > b, pearson as the recommenders' toolkit defines it: sum of (a - m)(b - m) over ALL users, by variances.
+
+    A user's mean m is the sum of the user's ratings over the number of ALL items; a missing rating counts as 0, so every
+    user who rated neither item still adds m * m. The divisor is the product of the two items' variances (about their own
+    means m, divided by the number of users less one), without a root. Null where a variance is 0.
+    """
+    n = ratings.agg(F.countDistinct("u").alias("m"), F.countDistinct("i").alias("n")).first()
+    per_user = ratings.groupBy("u").agg((F.sum("r") / F.lit(n["n"])).alias("mu"))
+    squares = per_user.agg(F.sum(F.col("mu") * F.col("mu"))).first()[0] or 0.0
+    rows = ratings.join(per_user, "u")
+    # sum over all users of (x - m)^2 = sum of m^2 + sum over raters of (x^2 - 2 x m)
+    of_item = rows.groupBy("i").agg(F.sum(F.col("r") * F.col("r") - 2 * F.col("r") * F.col("mu")).alias("v"), F.sum(F.col("r") * F.col("mu")).alias("rm"))
+    of_item = of_item.select("i", ((F.col("v") + squares) / F.greatest(F.lit(n["m"] - 1), F.lit(1))).alias("v"), "rm")
+    of = lambda k: of_item.toDF(k, f"v_{k}", f"rm_{k}")
+    p = pairs(ratings, min_common).select("a", "b", "dot").join(of("a"), "a").join(of("b"), "b")
+    top, under = F.col("dot") - F.col("rm_a") - F.col("rm_b") + squares, F.col("v_a") * F.col("v_b")
+    return p.select("a", "b", F.when(under != 0, top / under).alias("pearson"))
 
 
 def log_likelihood(ratings: DataFrame) -> DataFrame:
@@ -57,12 +91,9 @@ def log_likelihood(ratings: DataFrame) -> DataFrame:
     users = ratings.select("u").distinct().count()
     n = ratings.groupBy("i").agg(F.count("*").alias("n"))
     p = pairs(ratings).select("a", "b", "n_ab").join(n.toDF("a", "n_a"), "a").join(n.toDF("b", "n_b"), "b")
-    log = lambda x: F.when(x > 0, F.log(x)).otherwise(0.0)
-    fit = lambda k, m, q: k * log(q) + (m - k) * log(1 - q)
     k1, n1 = F.col("n_ab").cast("double"), F.col("n_b").cast("double")
     k2, n2 = (F.col("n_a") - F.col("n_ab")).cast("double"), (users - F.col("n_b")).cast("double")
-    some = F.when(n2 > 0, k2 / n2).otherwise(0.0)
-    ratio = 2 * (fit(k1, n1, k1 / n1) + fit(k2, n2, some) - fit(k1, n1, (k1 + k2) / users) - fit(k2, n2, (k1 + k2) / users))
+    ratio = log_likelihood_ratio(k1, k2, n1, n2)
     return p.select("a", "b", (1 - 1 / (1 + F.abs(ratio))).alias("llr"))
 
 
@@ -73,8 +104,8 @@ def weighted_jaccard(edges: DataFrame) -> DataFrame:
 
 
 def top_k(df: DataFrame, key: str, other: str, score: str, k: int) -> DataFrame:
-    """The k best of each key, ties by the other column."""
-    rank = F.row_number().over(Window.partitionBy(key).orderBy(F.col(score).desc(), other))
+    """The k best of each key; scores that agree in nine places are ties and go by the other column."""
+    rank = F.row_number().over(Window.partitionBy(key).orderBy(F.round(score, 9).desc(), other))
     return df.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
@@ -161,3 +192,30 @@ def recommend(users: DataFrame, items: DataFrame, known: DataFrame, k: int, shar
         return pa.table(out, schema=pa.schema([("u", pa.int64()), ("i", pa.int64()), ("score", pa.float64())]))
 
     return top_k(left.unionByName(right).unionByName(seen).groupBy("bu", "bi").applyInArrow(best, "u long, i long, score double"), "u", "i", "score", k)
+
+
+def with_biases(users: DataFrame, items: DataFrame, dims: int, mean: float) -> tuple[DataFrame, DataFrame]:
+    """Factors (id, f) whose dot product is mean + both biases + that of the first `dims`; the bias is the place after them."""
+    first, bias = F.slice("f", 1, dims), F.element_at("f", dims + 1)
+    return users.select("id", F.concat(first, F.array(bias + mean, F.lit(1.0))).alias("f")), items.select("id", F.concat(first, F.array(F.lit(1.0), bias)).alias("f"))
+
+
+def score_range(scores: DataFrame) -> DataFrame:
+    """least, mean, most of the scores."""
+    return scores.agg(F.min("score").alias("least"), F.avg("score").alias("mean"), F.max("score").alias("most"))
+
+
+def merged(parts: list[DataFrame]) -> DataFrame:
+    """a, b, score, place: similarity lists made apart, as one list in the order of (a, b, score falling)."""
+    out = parts[0].select("a", "b", "score")
+    for p in parts[1:]:
+        out = out.union(p.select("a", "b", "score"))
+    return row_numbers(out, [F.col("a"), F.col("b"), F.col("score").desc()], "place", 0)
+
+
+def asymmetric_cosine(ratings: DataFrame, alpha: float = 0.5, min_common: int = 1) -> DataFrame:
+    """a, b, score for both directions of each pair: n_ab / (n_a^alpha * n_b^(1 - alpha))."""
+    n = ratings.groupBy("i").agg(F.count("*").alias("n"))
+    p = pairs(ratings, min_common).select("a", "b", "n_ab")
+    p = p.union(p.select("b", "a", "n_ab")).join(n.toDF("a", "n_a"), "a").join(n.toDF("b", "n_b"), "b")
+    return p.select("a", "b", (F.col("n_ab") / (F.pow("n_a", F.lit(alpha)) * F.pow("n_b", F.lit(1 - alpha)))).alias("score"))

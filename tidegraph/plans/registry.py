@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from tidegraph.operators import etl, evaluation, factorisation, graph, models, similarity
 from tidegraph.sources import generators
 from tidegraph.sources.derived import SQL, co_purchase, user_item, user_next, weighted
-from tidegraph.streaming import ingest
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -111,10 +110,7 @@ def _(spark, d):
 
 @query("prefix_sum", "SELECT id, (sum(c) OVER (ORDER BY id ROWS UNBOUNDED PRECEDING) - c)::BIGINT AS start FROM (SELECT dst id, count(*) c FROM un GROUP BY 1)", ("un",))
 def _(spark, d):
-    deg = graph.degrees(user_next(spark, d)).where("in_degree > 0").withColumn("_b", F.floor(F.col("id") / 1000))
-    per = deg.groupBy("_b").agg(F.sum("in_degree").alias("s")).withColumn("base", F.coalesce(F.sum("s").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    inside = Window.partitionBy("_b").orderBy("id").rowsBetween(Window.unboundedPreceding, -1)
-    return deg.join(per, "_b").select("id", (F.col("base") + F.coalesce(F.sum("in_degree").over(inside), F.lit(0))).alias("start"))
+    return graph.prefix_sums(user_next(spark, d))
 
 
 @query("relabel_by_degree", "SELECT id, row_number() OVER (ORDER BY c, id) - 1 AS new_id FROM (SELECT id, count(*) c FROM (SELECT src id FROM un UNION ALL SELECT dst FROM un) GROUP BY 1)", ("un",))
@@ -124,7 +120,7 @@ def _(spark, d):
 
 # -- components and communities --------------------------------------------------------------------------------
 
-_REACH = ", b AS (SELECT src, dst FROM co UNION SELECT dst, src FROM co), reach AS (SELECT src id, src AS r FROM b UNION SELECT reach.id, b.dst FROM reach JOIN b ON b.src = reach.r), cc AS (SELECT id, min(r) AS label FROM reach GROUP BY 1)"
+_REACH = ", b AS (SELECT src, dst FROM co UNION SELECT dst, src FROM co), cc(id, label) USING KEY (id) AS (SELECT DISTINCT src, src FROM b UNION SELECT b.src, min(cc.label) FROM cc JOIN b ON b.dst = cc.id JOIN recurring.cc r ON r.id = b.src WHERE cc.label < r.label GROUP BY b.src)"
 
 
 @query("connected_components", _REACH + " SELECT id, label FROM cc", ("co",))
@@ -165,12 +161,25 @@ def _(spark, d):
     return graph.communities(user_next(spark, d), 4)
 
 
-@query("strong_components", ", vs AS (SELECT src id FROM un UNION SELECT dst FROM un), reach AS (SELECT src a, dst b FROM un UNION SELECT reach.a, un.dst FROM reach JOIN un ON un.src = reach.b) SELECT vs.id, least(vs.id, coalesce(min(x.b), vs.id)) AS label FROM vs LEFT JOIN (SELECT r.a, r.b FROM reach r JOIN reach s ON s.a = r.b AND s.b = r.a) x ON x.a = vs.id GROUP BY vs.id", ("un5",))
+@query("strong_components", ", vs AS (SELECT src id FROM un UNION SELECT dst FROM un), reach AS (SELECT src a, dst b FROM un UNION SELECT reach.a, un.dst FROM reach JOIN un ON un.src = reach.b) SELECT vs.id, least(vs.id, coalesce(min(x.b), vs.id)) AS label FROM vs LEFT JOIN (SELECT r.a, r.b FROM reach r JOIN reach s ON s.a = r.b AND s.b = r.a) x ON x.a = vs.id GROUP BY vs.id", ("un",))
 def _(spark, d):
     return graph.strong_components(user_next(spark, d))
 
 
-@query("spanning_forest")
+def _forest_sql(squarings: int) -> str:
+    """An edge is in the forest if no path of lesser edges joins its ends: least largest edge of all paths, by squaring."""
+    s = ", e AS (SELECT src, dst, min(w) w FROM (SELECT least(src, dst) src, greatest(src, dst) dst, (src * 7919 + dst * 104729) % 1000 w FROM un) GROUP BY 1, 2), o AS (SELECT *, w * 1000000000000 + src * 1000000 + dst k FROM e), p0 AS (SELECT src a, dst b, k FROM o UNION ALL SELECT dst, src, k FROM o UNION ALL SELECT DISTINCT src, src, -1 FROM (SELECT src FROM o UNION SELECT dst FROM o))"
+    for i in range(squarings):
+        s += f", p{i + 1} AS MATERIALIZED (SELECT x.a, y.b, min(greatest(x.k, y.k)) k FROM p{i} x JOIN p{i} y ON y.a = x.b GROUP BY 1, 2)"
+    return s + f" SELECT o.src, o.dst, o.w AS weight FROM o JOIN p{squarings} p ON p.a = o.src AND p.b = o.dst WHERE p.k = o.k"
+
+
+@query("spanning_forest", _forest_sql(8), ("un",))
+def _(spark, d):
+    return graph.spanning_forest(weighted(user_next(spark, d)))
+
+
+@query("spanning_forest_of_purchases")
 def _(spark, d):
     return graph.spanning_forest(weighted(co_purchase(spark, d)))
 
@@ -180,7 +189,26 @@ def _(spark, d):
     return graph.triangles(user_next(spark, d))
 
 
-@query("k_core")
+def _core_sql(rounds: int) -> str:
+    """Coreness as the fixed point of h-indices of the neighbours' values, from the degrees."""
+    s = ", b AS (SELECT src, dst FROM un UNION ALL SELECT dst, src FROM un), h0 AS (SELECT src id, count(*)::BIGINT h FROM b GROUP BY 1)"
+    for k in range(rounds):
+        s += f", h{k + 1} AS MATERIALIZED (SELECT src id, max(least(h, n)) h FROM (SELECT src, h, row_number() OVER (PARTITION BY src ORDER BY h DESC) n FROM b JOIN h{k} ON h{k}.id = b.dst) GROUP BY 1)"
+    return s
+
+
+@query("k_core", _core_sql(40) + " SELECT id, h::INT AS core FROM h40", ("un",))
+def _(spark, d):
+    return graph.k_core(user_next(spark, d))
+
+
+@query("k_core_levels", _core_sql(40) + ", l AS (SELECT least(x.h, y.h) k, count(*) links FROM un JOIN h40 x ON x.id = src JOIN h40 y ON y.id = dst GROUP BY 1) SELECT h::INT AS k, n::BIGINT AS removed, (sum(n) OVER (ORDER BY h))::BIGINT AS removed_to_here, (sum(coalesce(links, 0)) OVER () - sum(coalesce(links, 0)) OVER (ORDER BY h))::BIGINT AS links_left FROM (SELECT h, count(*) n FROM h40 GROUP BY 1) LEFT JOIN l ON l.k = h", ("un",))
+def _(spark, d):
+    e = user_next(spark, d)
+    return graph.k_core_levels(graph.k_core(e), e)
+
+
+@query("k_core_of_purchases")
 def _(spark, d):
     return graph.k_core(co_purchase(spark, d))
 
@@ -216,12 +244,6 @@ def _(spark, d):
     return graph.k_hop(e, e.where("src % 100 = 0").select(F.col("src").alias("id")), 3)
 
 
-@query("random_walks")
-def _(spark, d):
-    e = user_next(spark, d)
-    return graph.random_walks(e, e.where("src % 50 = 0").select(F.col("src").alias("id")).distinct(), 100, 4)
-
-
 # -- item similarity and recommendation ------------------------------------------------------------------------
 
 _PAIRS = ", dg AS (SELECT u, count(*) deg FROM ui GROUP BY 1), it AS (SELECT i, count(*) n, sum(r * r) sq, sum(abs(r)) ab, sum(r) sm FROM ui GROUP BY 1), pr AS (SELECT x.i a, y.i b, count(*) n_ab, sum(x.r * y.r) dt, sum(1 / ln(deg)) aa, sum(1.0 / deg) ra, sum(abs(x.r - y.r) - abs(x.r) - abs(y.r)) l1 FROM ui x JOIN ui y USING (u) JOIN dg USING (u) WHERE x.i > y.i GROUP BY 1, 2), p AS (SELECT pr.*, ia.n na, ib.n nb, ia.sq sa, ib.sq sb, ia.ab aba, ib.ab abb, ia.sm sma, ib.sm smb FROM pr JOIN it ia ON ia.i = a JOIN it ib ON ib.i = b)"
@@ -245,7 +267,7 @@ for _metric, _formula in _METRICS.items():
         return rounded(similarity.similarities(user_item(spark, d)).select("a", "b", F.col(metric).alias("score")), "score", places=places)
 
 
-@query("similarity_top", _PAIRS + " SELECT a, b, round(score, 5) AS score, n::INT AS rank FROM (SELECT a, b, n_ab / (na + nb - n_ab) AS score, row_number() OVER (PARTITION BY a ORDER BY n_ab / (na + nb - n_ab) DESC, b) n FROM p) WHERE n <= 5", ("ui",))
+@query("similarity_top", _PAIRS + " SELECT a, b, round(score, 5) AS score, n::INT AS rank FROM (SELECT a, b, n_ab / (na + nb - n_ab) AS score, row_number() OVER (PARTITION BY a ORDER BY round(n_ab / (na + nb - n_ab), 9) DESC, b) n FROM p) WHERE n <= 5", ("ui",))
 def _(spark, d):
     return rounded(similarity.top_k(similarity.similarities(user_item(spark, d)).select("a", "b", F.col("jaccard").alias("score")), "a", "b", "score", 5), "score", places=5)
 
@@ -255,14 +277,22 @@ def _(spark, d):
     return rounded(similarity.chebyshev(user_item(spark, d)), "chebyshev", places=5)
 
 
-@query("similarity_pearson", "SELECT a, b, round(c, 4) AS pearson FROM (SELECT x.i a, y.i b, corr(x.r, y.r) c FROM ui x JOIN ui y USING (u) WHERE x.i > y.i GROUP BY 1, 2 HAVING count(*) >= 3)", ("ui",))
+@query("similarity_pearson", "SELECT a, b, CASE WHEN NOT isnan(c) THEN round(c, 6) END AS pearson FROM (SELECT x.i a, y.i b, corr(x.r, y.r) c FROM ui x JOIN ui y USING (u) WHERE x.i > y.i GROUP BY 1, 2)", ("ui",))
+def _(spark, d):
+    return rounded(similarity.pearson(user_item(spark, d)), "pearson")
+
+
+@query("similarity_pearson_of_all", ", n AS (SELECT count(DISTINCT u) m, count(DISTINCT i) n FROM ui), us AS (SELECT DISTINCT u FROM ui), it AS (SELECT DISTINCT i FROM ui), mu AS (SELECT u, sum(r) / any_value(n.n) mu FROM ui, n GROUP BY u), x AS (SELECT us.u, it.i, coalesce(ui.r, 0) - mu.mu e FROM us CROSS JOIN it JOIN mu USING (u) LEFT JOIN ui ON ui.u = us.u AND ui.i = it.i), v AS (SELECT i, sum(e * e) / (any_value(n.m) - 1) v FROM x, n GROUP BY i), p AS (SELECT DISTINCT a.i a, b.i b FROM ui a JOIN ui b USING (u) WHERE a.i > b.i) SELECT p.a, p.b, round(sum(xa.e * xb.e) / (any_value(va.v) * any_value(vb.v)), 8) AS pearson FROM p JOIN x xa ON xa.i = p.a JOIN x xb ON xb.i = p.b AND xb.u = xa.u JOIN v va ON va.i = p.a JOIN v vb ON vb.i = p.b GROUP BY p.a, p.b", ("ui",))
 def _(spark, d):
-    return rounded(similarity.pearson(user_item(spark, d)), "pearson", places=4)
+    return rounded(similarity.pearson_of_all(user_item(spark, d)), "pearson", places=8)
+
+
+_LL = "(CASE WHEN {k} = 0 THEN 0 ELSE {k} * ln({q}) END + CASE WHEN {n} - {k} = 0 THEN 0 ELSE ({n} - {k}) * ln(1 - {q}) END)"
 
 
-@query("similarity_llr")
+@query("similarity_llr", ", m AS (SELECT count(DISTINCT u)::DOUBLE m FROM ui), it AS (SELECT i, count(*)::DOUBLE n FROM ui GROUP BY 1), p AS (SELECT x.i a, y.i b, count(*)::DOUBLE k1 FROM ui x JOIN ui y USING (u) WHERE x.i > y.i GROUP BY 1, 2), t AS (SELECT a, b, k1, ib.n n1, ia.n - k1 k2, m.m - ib.n n2, m.m FROM p JOIN it ia ON ia.i = a JOIN it ib ON ib.i = b, m) SELECT a, b, round(1 - 1 / (1 + abs(2 * (" + _LL.format(k="k1", n="n1", q="(k1 / n1)") + " + " + _LL.format(k="k2", n="n2", q="(k2 / nullif(n2, 0))") + " - " + _LL.format(k="k1", n="n1", q="((k1 + k2) / m)") + " - " + _LL.format(k="k2", n="n2", q="((k1 + k2) / m)") + "))), 6) AS llr FROM t", ("ui",))
 def _(spark, d):
-    return similarity.log_likelihood(user_item(spark, d))
+    return rounded(similarity.log_likelihood(user_item(spark, d)), "llr")
 
 
 _CHANCE = ", k AS (SELECT (count(*) / (count(DISTINCT u) * count(DISTINCT i) - count(*))::DOUBLE) c, count(DISTINCT u) m, count(DISTINCT i) n FROM ui), du AS (SELECT u, count(*) d FROM ui GROUP BY 1), di AS (SELECT i, count(*) d FROM ui GROUP BY 1)"
@@ -273,7 +303,7 @@ def _(spark, d):
     return rounded(similarity.probabilistic(user_item(spark, d)), "probability")
 
 
-@query("ratings_from_probability", _CHANCE + ", s AS (SELECT DISTINCT x.i a, y.i b, 1 + ((x.i * 31 + y.i * 17) % 100) / 100.0::DOUBLE sim FROM ui x JOIN ui y USING (u) WHERE x.i <> y.i AND (x.i + y.i) % 10 = 0), q AS (SELECT ui.u, s.b i, sum((ui.r - 0.5) / 0.5 * (s.sim - 1)) q FROM ui JOIN s ON s.a = ui.i WHERE s.sim > 1 GROUP BY 1, 2), sc AS (SELECT q.u, q.i, 1 / (1 + k.c * ((k.n - du.d) / du.d) * ((k.m - di.d) / di.d)) * (1 + q) score FROM q JOIN du ON du.u = q.u JOIN di ON di.i = q.i, k WHERE NOT EXISTS (SELECT 1 FROM ui WHERE ui.u = q.u AND ui.i = q.i)) SELECT u, i, round(score, 4) AS score, rn::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY u ORDER BY score DESC, i) rn FROM sc) WHERE rn <= 5", ("ui",))
+@query("ratings_from_probability", _CHANCE + ", s AS (SELECT DISTINCT x.i a, y.i b, 1 + ((x.i * 31 + y.i * 17) % 100) / 100.0::DOUBLE sim FROM ui x JOIN ui y USING (u) WHERE x.i <> y.i), q AS (SELECT ui.u, s.b i, sum((ui.r - 0.5) / 0.5 * (s.sim - 1)) q FROM ui JOIN s ON s.a = ui.i WHERE s.sim > 1 GROUP BY 1, 2), sc AS (SELECT q.u, q.i, 1 / (1 + k.c * ((k.n - du.d) / du.d) * ((k.m - di.d) / di.d)) * (1 + q) score FROM q JOIN du ON du.u = q.u JOIN di ON di.i = q.i, k WHERE NOT EXISTS (SELECT 1 FROM ui WHERE ui.u = q.u AND ui.i = q.i)) SELECT u, i, round(score, 4) AS score, rn::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY u ORDER BY round(score, 9) DESC, i) rn FROM sc) WHERE rn <= 5", ("ui",))
 def _(spark, d):
     r = user_item(spark, d)
     s = similarity.pairs(r).select("a", "b")
@@ -287,7 +317,7 @@ def _(spark, d):
     return rounded(similarity.weighted_jaccard(e), "score")
 
 
-@query("ratings_from_similarity", _PAIRS + ", s AS (SELECT a, b, n_ab / (na + nb - n_ab) AS sim FROM p WHERE (a + b) % 10 = 0), bs AS (SELECT a, b, sim FROM s UNION SELECT b, a, sim FROM s), sc AS (SELECT u, b AS i, sum(r * sim * sim * sim) AS score FROM ui JOIN bs ON bs.a = ui.i GROUP BY 1, 2) SELECT u, i, round(score, 4) AS score, n::INT AS rank FROM (SELECT sc.*, row_number() OVER (PARTITION BY sc.u ORDER BY score DESC, sc.i) n FROM sc WHERE score <> 0 AND NOT EXISTS (SELECT 1 FROM ui WHERE ui.u = sc.u AND ui.i = sc.i)) WHERE n <= 5", ("ui",))
+@query("ratings_from_similarity", _PAIRS + ", s AS (SELECT a, b, n_ab / (na + nb - n_ab) AS sim FROM p), bs AS (SELECT a, b, sim FROM s UNION SELECT b, a, sim FROM s), sc AS (SELECT u, b AS i, sum(r * sim * sim * sim) AS score FROM ui JOIN bs ON bs.a = ui.i GROUP BY 1, 2) SELECT u, i, round(score, 4) AS score, n::INT AS rank FROM (SELECT sc.*, row_number() OVER (PARTITION BY sc.u ORDER BY round(score, 9) DESC, sc.i) n FROM sc WHERE score <> 0 AND NOT EXISTS (SELECT 1 FROM ui WHERE ui.u = sc.u AND ui.i = sc.i)) WHERE n <= 5", ("ui",))
 def _(spark, d):
     r = user_item(spark, d)
     s = similarity.similarities(r).select("a", "b", F.col("jaccard").alias("sim"))
@@ -425,9 +455,9 @@ def _(spark, d):
 
 for _kind in ("global", "user", "item"):
 
-    @query(f"baseline_{_kind}", f"SELECT u, i, round(r, 4) r, round(avg(r) OVER ({dict(user='PARTITION BY u', item='PARTITION BY i').get(_kind, '')}), 4) AS prediction FROM ui", ("ui",))
+    @query(f"baseline_{_kind}", f"SELECT u, i, round(r, 9) r, round(avg(r) OVER ({dict(user='PARTITION BY u', item='PARTITION BY i').get(_kind, '')}), 9) AS prediction FROM ui", ("ui",))
     def _(spark, d, kind=_kind):
-        return rounded(factorisation.baseline(user_item(spark, d), kind), "r", "prediction", places=4).select("u", "i", "r", "prediction")
+        return rounded(factorisation.baseline(user_item(spark, d), kind), "r", "prediction", places=9).select("u", "i", "r", "prediction")
 
 
 # -- evaluation ------------------------------------------------------------------------------------------------
@@ -506,12 +536,12 @@ def _(spark, d):
     return etl.fold(table(spark, d, "orders"), "o_orderkey", 5, 2)[1].agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice")).cast("long").alias("total"))
 
 
-@query("token_counts")
+@query("token_counts", "WITH t AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '[\\s,.;:!?()\\[\\]\"'']+'), lambda x: x <> '') t FROM documents WHERE text IS NOT NULL), e AS (SELECT doc_id, unnest(t) token, generate_subscripts(t, 1) k FROM t) SELECT doc_id AS line, token, count(*) AS n FROM e WHERE k = 1 OR length(token) > 1 GROUP BY 1, 2 HAVING count(*) >= 2")
 def _(spark, d):
     return etl.token_counts(table(spark, d, "documents"), "doc_id", "text", 2)
 
 
-@query("train_given")
+@query("train_given", "SELECT src, dst FROM (SELECT src, dst, count(*) OVER (PARTITION BY src) n, row_number() OVER (PARTITION BY src ORDER BY md5(src || '|' || dst || '|1'), dst) k FROM un) WHERE n >= 5 AND k <= 3", ("un",))
 def _(spark, d):
     return etl.train_given(user_next(spark, d), 5, 3)[0]
 
@@ -531,21 +561,13 @@ def _(spark, d):
     return generators.crossgrid(spark, 20).agg(F.count("*").alias("edges"))
 
 
-@query("streamed_ranks")
-def _(spark, d):
-    import uuid
-
-    from tidegraph.plans.tables import shared_dir, written
-
-    base = f"{shared_dir(spark)}/stream-edges-{uuid.uuid4().hex}"
-    user_next(spark, d).repartition(3, "src").write.parquet(f"{base}/in")
-    source = spark.readStream.schema("src long, dst long").option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
-    return written(ingest.follow(source, ingest.EdgeTable(spark, f"{base}/table")), "ranks")
-
-
 def queries() -> dict:
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
     return dict(ORACLES)
+
+
+# further queries register themselves here
+from tidegraph.plans import formats, programs, recommenders  # noqa: E402, F401

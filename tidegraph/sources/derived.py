@@ -34,8 +34,6 @@ def weighted(edges: DataFrame) -> DataFrame:
 ITEM = "CAST(json_extract_string(props, '$.k') AS BIGINT)"
 SQL = {
     "un": f"un AS (SELECT DISTINCT src, dst FROM (SELECT user_id src, lead(user_id) OVER (PARTITION BY {ITEM} ORDER BY ts, event_id) dst FROM events) WHERE src <> dst)",
-    "un5": f"un AS (SELECT DISTINCT src, dst FROM (SELECT user_id src, lead(user_id) OVER (PARTITION BY {ITEM} ORDER BY ts, event_id) dst FROM events) WHERE src <> dst AND (src * 31 + dst * 17) % 50 = 0)",
     "ui": f"ui AS (SELECT user_id u, {ITEM} i, avg(value) r FROM events GROUP BY 1, 2)",
-    "co": "co AS (SELECT DISTINCT a.l_partkey src, b.l_partkey dst FROM lineitem a JOIN lineitem b USING (l_orderkey) WHERE a.l_partkey < b.l_partkey AND (a.l_partkey * 31 + b.l_partkey * 17) % 100 = 0)",
+    "co": "co AS (SELECT DISTINCT a.l_partkey src, b.l_partkey dst FROM lineitem a JOIN lineitem b USING (l_orderkey) WHERE a.l_partkey < b.l_partkey)",
 }
-SQL["both"] = "b AS (SELECT src, dst FROM co UNION SELECT dst, src FROM co)"
