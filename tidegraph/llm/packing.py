@@ -11,12 +11,13 @@ Tables of up to DOCS_PER_SHARD documents are one shard, so there the search is o
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegraph.llm import tokens
@@ -181,6 +182,13 @@ def windows(each: list[np.ndarray], size: np.ndarray, df: np.ndarray, n: int, me
     return out
 
 
+def lane_of(spark: SparkSession, n: int) -> list[int]:
+    """A number for each of n shards, such that n partitions by the numbers' hash have one shard each."""
+    found = spark.range(30 * n).groupBy(F.pmod(F.hash("id"), F.lit(n)).alias("p")).agg(F.min("id").alias("id")).collect()
+    by = {r["p"]: r["id"] for r in found}
+    return [by.get(k, k) for k in range(n)]
+
+
 def pack(docs: DataFrame, length: int = LENGTH, vocabulary: str | None = None, end_id: int = 1, docs_per_shard: int = DOCS_PER_SHARD) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
@@ -280,7 +288,9 @@ def pack(docs: DataFrame, length: int = LENGTH, vocabulary: str | None = None, e
         some = rows.sample(min(1.0, SAMPLED * shards / n), 1).mapInArrow(key(splits), kind)
         at = ",".join(f"{(i + 1) / shards:.9f}" for i in range(shards - 1))
         splits = np.unique(np.array(some.select(F.expr(f"approx_percentile(key, array({at}), {max(10_000, 10 * shards)})")).first()[0] or [], np.int64))
-    dealt = rows.mapInArrow(key(splits), kind).repartition(shards, "shard").sortWithinPartitions("shard", "key", "row")
+    lanes = lane_of(spark, shards)
+    lane = F.element_at(F.from_json(F.lit(json.dumps(lanes)), "array<bigint>"), F.col("shard") + 1)
+    dealt = rows.mapInArrow(key(splits), kind).repartition(shards, lane).sortWithinPartitions("shard", "key", "row")
     return dealt.select("doc_id", "width", "ids", "shard").mapInArrow(fill, schema)
 
 
