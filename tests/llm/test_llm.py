@@ -306,6 +306,34 @@ def test_pii_held_out():
     assert right / (right + wrong) > 0.95 and right / (right + missed) > 0.9
 
 
+def test_pii_taken():
+    rng = random.Random(8)
+    for _ in range(300):
+        spans = [("x", a, a + rng.randint(1, 9)) for a in (rng.randint(0, 60) for _ in range(rng.randint(0, 8)))]
+        taken = pii.Taken(spans)
+        for _ in range(20):
+            a = rng.randint(0, 60)
+            b = a + rng.randint(1, 9)
+            assert taken.meets(a, b) == any(a < e and s < b for _, s, e in spans)
+            if not taken.meets(a, b):
+                taken.add(a, b)
+                spans.append(("x", a, b))
+
+
+def test_pii_on_corpus_text(spark):
+    """In the test documents secrets stand after `token =`; numbers that are no card stay."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    said = {(i, m[1]) for i, t in texts.items() for m in re.finditer(r'token = "([^"]+)"', t)}
+    rows = pii.find_spans(docs).collect()
+    got = {(r["doc_id"], texts[r["doc_id"]][int(a) : int(b)]) for r in rows for k, a, b in (x.split(":") for x in r["spans"].split(",") if x) if k == "secret"}
+    assert len(said) >= 10 and said <= got
+    out = {r["doc_id"]: r["text"] or "" for r in pii.redact(docs).collect()}
+    plain_numbers = [(i, m[0]) for i, t in texts.items() for m in re.finditer(r"(?<![0-9 .-])[0-9]{16}(?![0-9 .-])", re.sub(r"[0-9] [0-9]", "x", t)) if not pii.luhn(m[0])]
+    assert all(n in out[i] for i, n in plain_numbers)
+    assert all(r["n_spans"] == r["n_email"] + r["n_ip"] + r["n_card"] + r["n_phone"] + r["n_added"] for r in rows)
+
+
 def test_pii_long_secrets(spark):
     rng = random.Random(12)
     long = lambda n: "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(n))

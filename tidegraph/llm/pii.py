@@ -11,6 +11,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from functools import cache
@@ -253,18 +254,45 @@ def trained(n: int = 4000, seed: int = 11) -> tuple[Trees, dict[str, float]]:
     return trees, limits
 
 
+class Taken:
+    """Spans that don't overlap, in order; asks and additions take the logarithm of their number."""
+
+    def __init__(self, spans: list[Span] = ()):
+        self.start: list[int] = []
+        self.end: list[int] = []
+        for _, s, e in sorted(spans, key=lambda x: x[1:]):
+            if self.end and s <= self.end[-1]:
+                self.end[-1] = max(self.end[-1], e)
+            else:
+                self.start.append(s)
+                self.end.append(e)
+
+    def meets(self, a: int, b: int) -> bool:
+        k = bisect_left(self.start, b)  # spans before k start before b
+        return k > 0 and self.end[k - 1] > a
+
+    def add(self, a: int, b: int) -> None:
+        k = bisect_left(self.start, a)
+        self.start.insert(k, a)
+        self.end.insert(k, b)
+
+
 def added_spans(texts: list[str], base: list[list[Span]], trees: Trees, limits: dict[str, float]) -> list[list[Span]]:
     """Selected candidates, the likeliest first, that overlap no base span and no other selected one."""
-    found = [[c for c in candidates(t) if not any(c[0][1] < e and s < c[0][2] for _, s, e in b)] for t, b in zip(texts, base, strict=True)]
+    found = []
+    for t, b in zip(texts, base, strict=True):
+        taken = Taken(b)
+        found.append([c for c in candidates(t) if not taken.meets(c[0][1], c[0][2])])
     flat = [describe(t, span, g) for t, cs in zip(texts, found, strict=True) for span, g in cs]
     p = trees.predict(np.array(flat)).tolist() if flat else []
     out, at = [], 0
     for cs in found:
         own, at = p[at : at + len(cs)], at + len(cs)
-        kept: list[Span] = []
+        kept, taken = [], Taken()
         for q, (kind, a, b) in sorted(zip(own, (c[0] for c in cs), strict=True), key=lambda x: (-x[0], x[1][1], x[1][2], KINDS.index(x[1][0]))):
-            if q >= limits[kind] and not any(a < e and s < b for _, s, e in kept):
+            if q >= limits[kind] and not taken.meets(a, b):
                 kept.append((kind, a, b))
+                taken.add(a, b)
         out.append(kept)
     return out
 
@@ -289,7 +317,9 @@ def _find(buf: np.ndarray, off: np.ndarray, trees: Trees, limits: dict[str, floa
 
 
 def find_spans(docs: DataFrame) -> DataFrame:
-    """doc_id, counts and digest of the base spans, and all spans, per document.
+    """doc_id, counts and digest of the base spans, all spans, and n_added and n_spans, per document.
+
+    n_added counts the spans that the trees added to the base, n_spans all.
 
     Null and empty texts have no spans; repeated rows give a row each; null doc_ids stay; an empty table gives no
     rows; other columns are not read; texts of any length are read whole.
@@ -305,13 +335,18 @@ def find_spans(docs: DataFrame) -> DataFrame:
                 cols |= {f"n_{k}": pa.array([sum(s[0] == k for s in base) for base, _ in found], pa.int64()) for k in KINDS[:4]}
                 cols["base_sha256"] = pa.array([hashlib.sha256(_written(base).encode()).hexdigest() for base, _ in found])
                 cols["spans"] = pa.array([_written(base + more) for base, more in found])
+                cols["n_added"] = pa.array([len(more) for _, more in found], pa.int64())
+                cols["n_spans"] = pa.array([len(base) + len(more) for base, more in found], pa.int64())
                 yield pa.RecordBatch.from_pydict(cols)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long, n_spans long")
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """docs with each span (overlapping ones as one) replaced by its kind in angle brackets; null texts stay null."""
+    """docs with each span (overlapping ones as one) replaced by its kind in angle brackets.
+
+    Null texts stay null, empty ones empty; all rows (repeated ones too) and columns stay; an empty table gives no rows.
+    """
     trees, limits = trained()
     at = docs.columns.index("text")
 
