@@ -13,8 +13,14 @@ A tree's nodes hold the OR of their members' token bitmaps and the range of thei
 only if some pair below could reach the overlap that a link needs and is not connected yet.
 
 Hot keys (of more than CAP nodes) bring nodes together only if more than FEW of their keys are hot: others share
-a key that is not hot as well. Such nodes become one family unseen, which costs time but no link. A family of more
-than CAP nodes is cut into blocks, and each pair of blocks is a task of its own.
+a key that is not hot as well. Such nodes become one family unseen, which costs time but no link.
+
+A family of more than CAP nodes is cut into blocks. Links inside the blocks come first; then one node of each
+component found meets those of the other blocks. Only if the family is not one component by then do pairs of blocks
+meet, and in them only nodes of different components are compared. A large group of near copies is connected by the
+first two steps.
+
+Nodes are named by hashes of 128 bits.
 """
 
 from __future__ import annotations
@@ -34,7 +40,7 @@ WORDS = 5
 SKETCH, KEYS, FEW, CAP = 64, 24, 3, 2000
 #: Sketches this alike make a family: sets as alike as 0.75 have 48 of 64 in common, 22 or fewer with less than 1e-12.
 ROUGH = 0.34
-LEAF = 32
+LEAF = 8
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 0x20
@@ -95,20 +101,24 @@ class Forest:
             self.links.append((i, j))
 
 
-def link(sets: list[np.ndarray], sizes: np.ndarray, need: Callable[[np.ndarray, np.ndarray], np.ndarray], ratio: float, side: np.ndarray | None = None) -> list[tuple[int, int]]:
+def link(sets: list[np.ndarray], sizes: np.ndarray, need: Callable[[np.ndarray, np.ndarray], np.ndarray], ratio: float, side: np.ndarray | None = None, known: list | None = None) -> list[tuple[int, int]]:
     """A spanning forest of the pairs whose sets share at least need(length, length) tokens.
 
-    sizes: what must be as alike as ratio; side: if given, only pairs of different sides count (and nothing is
-    known of links inside a side).
+    sizes: what must be as alike as ratio; side: if given, only pairs of different sides count; known: components that
+    members belong to already, whose links are not looked for.
     """
     g = len(sets)
     forest = Forest(g)
+    if known is not None:
+        met: dict = {}
+        for i, x in enumerate(known):
+            forest.up[i] = met.setdefault(x, i)
     length = np.array([len(s) for s in sets])
 
     def same(i: int, j: int) -> bool:
         return len(np.intersect1d(sets[i], sets[j], assume_unique=True)) >= need(length[i], length[j])
 
-    if g <= 6:
+    if g <= LEAF:  # a tree of one leaf
         for i in range(g):
             for j in range(i):
                 if (side is None or side[i] != side[j]) and min(sizes[i], sizes[j]) >= ratio * max(sizes[i], sizes[j]) and forest.root(i) != forest.root(j) and same(i, j):
@@ -194,7 +204,7 @@ def _groups(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[tuple[tu
             change[1:] |= k[1:] != k[:-1]
         starts = [0, *np.flatnonzero(change).tolist(), b.num_rows]
         for a, e in zip(starts[:-1], starts[1:], strict=True):
-            key = tuple(k[a].item() for k in keys)
+            key = tuple(k[a].item() if k.dtype != object else k[a] for k in keys)
             if parts and key != open_key:
                 yield open_key, pa.Table.from_batches(parts)
                 parts = []
@@ -217,14 +227,15 @@ def signatures(docs: DataFrame, words: int = WORDS) -> DataFrame:
                 for salt in (1, 2):
                     total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(gram + np.uint64(salt)))])
                     sums.append(total[at[1:]] - total[at[:-1]])
-                node = mixed(sums[0] + mixed(sums[1] ^ n.astype(np.uint64)) * _BASE).view(np.int64)
+                node = np.stack([mixed(sums[0] + mixed(sums[1] ^ n.astype(np.uint64)) * _BASE), mixed(sums[1] ^ mixed(sums[0]))], axis=1)
+                node = pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), j - i, [None, pa.py_buffer(np.ascontiguousarray(node))]).cast(pa.binary())
                 kept = np.minimum(n, SKETCH)
                 flat = gram[np.arange(int(kept.sum())) + np.repeat(at[:-1] - (np.cumsum(kept) - kept), kept)]
                 ends = np.concatenate([[0], np.cumsum(kept)])
                 sketch = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(i, j - i).cast(pa.int64()), b.column("rk").slice(i, j - i), pa.array(n), pa.array(node), sketch], names=["doc_id", "rk", "n", "node", "sketch"])
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(i, j - i).cast(pa.int64()), b.column("rk").slice(i, j - i), pa.array(n), node, sketch], names=["doc_id", "rk", "n", "node", "sketch"])
 
-    return docs.select("doc_id", "text", row_key().alias("rk")).mapInArrow(run, "doc_id long, rk long, n long, node long, sketch array<long>")
+    return docs.select("doc_id", "text", row_key().alias("rk")).mapInArrow(run, "doc_id long, rk long, n long, node binary, sketch array<long>")
 
 
 def _families(nodes: DataFrame) -> DataFrame:
@@ -243,9 +254,9 @@ def _families(nodes: DataFrame) -> DataFrame:
     rows = met.where(F.col("df") <= CAP).join(sketches, "node").select("key", "node", "n", "sketch")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        up: dict[int, int] = {}  # what this task has connected; equal groups meet again and again
+        up: dict[bytes, bytes] = {}  # what this task has connected; equal groups meet again and again
 
-        def root(x: int) -> int:
+        def root(x: bytes) -> bytes:
             while (y := up.get(x, x)) != x:
                 up[x] = up.get(y, y)
                 x = y
@@ -267,12 +278,12 @@ def _families(nodes: DataFrame) -> DataFrame:
                         u.append(ids[i])
                         v.append(ids[j])
             if len(u) >= 10_000:
-                yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+                yield pa.RecordBatch.from_arrays([pa.array(u, pa.binary()), pa.array(v, pa.binary())], names=["u", "v"])
                 u, v = [], []
-        yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+        yield pa.RecordBatch.from_arrays([pa.array(u, pa.binary()), pa.array(v, pa.binary())], names=["u", "v"])
 
     parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    edges = rows.repartition(parts, "key").sortWithinPartitions("key", "node").mapInArrow(run, "u long, v long")
+    edges = rows.repartition(parts, "key").sortWithinPartitions("key", "node").mapInArrow(run, "u binary, v binary")
     return components(edges.union(star_edges))
 
 
@@ -293,22 +304,22 @@ def jaccard_groups(docs: DataFrame, percent: int = 75, words: int = WORDS) -> Da
     sizes = family.groupBy("root").agg(F.count("*").alias("members"))
     blocks = F.ceil(F.col("members") / CAP).cast("int")
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    placed = family.join(sizes, "root").withColumn("blocks", blocks).withColumn("block", own)
-    # a member goes to the pairs of its block with every block; one block is paired with itself
-    placed = placed.select("node", "root", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    placed = placed.select("node", "root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block")
+    placed = written(family.join(sizes, "root").withColumn("blocks", blocks).select("node", "root", "blocks", own.alias("block")), "placed")
     firsts = nodes.select("node", F.col("first.doc_id").alias("f_id"), F.col("first.rk").alias("f_rk"))
     text = docs.select("doc_id", "text", row_key().alias("rk"))
-    needed = placed.join(firsts, "node")
-    rows = text.join(needed, F.col("doc_id").eqNullSafe(F.col("f_id")) & (F.col("rk") == F.col("f_rk"))).select("root", "i", "j", "node", "block", "text")
     need = _exact(percent)
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (_, i, j), t in _groups(batches, 3):
-            ids = t["node"].to_numpy()
-            keep = np.unique(ids, return_index=True)[1]  # rows with equal doc_id and text: one is enough
-            ids, t = ids[keep], t.take(pa.array(keep))
-            if len(ids) < 2:
+            names = t["node"].to_pylist()
+            seen = dict(zip(reversed(names), reversed(range(len(names))), strict=True))  # rows with equal doc_id and text: one is enough
+            if len(seen) < 2:
+                continue
+            keep = sorted(seen.values())
+            ids, t = [names[k] for k in keep], t.take(pa.array(keep))
+            known = t["known"].to_pylist()
+            if len(set(known)) < 2:
                 continue
             buf, off = as_bytes(t["text"])
             sets = []
@@ -316,18 +327,42 @@ def jaccard_groups(docs: DataFrame, percent: int = 75, words: int = WORDS) -> Da
                 gram, at = shingle_sets(buf[off[a] : off[b]], off[a : b + 1] - off[a], words)
                 sets += [gram[x:y] for x, y in zip(at[:-1], at[1:], strict=True)]
             side = None if i == j else t["block"].to_numpy()
-            links = link(sets, np.array([len(s) for s in sets]), need, percent / 100, side)
-            yield pa.RecordBatch.from_arrays([pa.array([ids[a] for a, _ in links], pa.int64()), pa.array([ids[b] for _, b in links], pa.int64())], names=["u", "v"])
-
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    links = rows.repartition(parts, "root", "i", "j").sortWithinPartitions("root", "i", "j", "node").mapInArrow(run, "u long, v long")
+            links = link(sets, np.array([len(s) for s in sets]), need, percent / 100, side, known)
+            yield pa.RecordBatch.from_arrays([pa.array([ids[a] for a, _ in links], pa.binary()), pa.array([ids[b] for _, b in links], pa.binary())], names=["u", "v"])
+
+    def met(groups: DataFrame, name: str) -> DataFrame:
+        """Links between the nodes of each (root, i, j); groups: node, root, i, j, block and the component `known`."""
+        needed = groups.join(firsts, "node")
+        rows = text.join(needed, F.col("doc_id").eqNullSafe(F.col("f_id")) & (F.col("rk") == F.col("f_rk"))).select("root", "i", "j", "node", "block", "known", "text")
+        found = rows.repartition(parts, "root", "i", "j").sortWithinPartitions("root", "i", "j", "node").mapInArrow(run, "u binary, v binary")
+        return written(found, name)
+
+    def labelled(rows: DataFrame, links: DataFrame) -> DataFrame:
+        """rows with their component by the links as `known` (a node without links is its own)."""
+        return rows.join(components(links).select("node", F.col("root").alias("_c")), "node", "left").withColumn("known", F.coalesce("_c", "node")).drop("_c")
+
+    links = met(placed.select("node", "root", F.col("block").alias("i"), F.col("block").alias("j"), "block", F.col("node").alias("known")), "links-inside")
+    large = placed.where("blocks > 1")
+    if not large.isEmpty():
+        inner = written(labelled(large, links), "inner")
+        # one node of each component, all of a family together as far as CAP lets
+        heads = inner.groupBy("root", "known").agg(F.min("node").alias("node"))
+        many = heads.groupBy("root").agg(F.ceil(F.count("*") / CAP).cast("int").alias("tables"))
+        seat = F.pmod(F.xxhash64("node"), F.col("tables")).cast("int")
+        links = written(links.union(met(heads.join(many, "root").select("node", "root", seat.alias("i"), seat.alias("j"), seat.alias("block"), "known"), "links-heads")), "links")
+        outer = written(labelled(large, links), "outer")
+        apart = outer.groupBy("root").agg(F.min("known").alias("a"), F.max("known").alias("b")).where("a <> b").select("root")
+        rest = outer.join(apart, "root", "left_semi")
+        pairs = rest.select("node", "root", "block", "known", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).where("other <> block")
+        pairs = pairs.select("node", "root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "known")
+        links = written(links.union(met(pairs, "links-across")), "links")
     roots = written(components(links), "components")
     known = nodes.select("node", F.col("first.doc_id").alias("least")).join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "least")
     known = written(known, "component-nodes")
     names = known.groupBy("root").agg(F.min("least").alias("component_id"))
     of_node = known.join(names, "root").select("node", "component_id", "root")
     linked = some.select("doc_id", "rk", "n", "node").join(of_node, "node").select("doc_id", "rk", F.col("n").alias("n_shingles"), "component_id", "root")
-    return linked.unionByName(signed.where("n = 0").select("doc_id", "rk", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("root")))
+    return linked.unionByName(signed.where("n = 0").select("doc_id", "rk", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(None).cast("binary").alias("root")))
 
 
 def one_of_each(docs: DataFrame, percent: int = 75) -> DataFrame:
