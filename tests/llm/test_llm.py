@@ -60,7 +60,7 @@ def same(df, want):
 
 
 def test_sharding(docs, none):
-    got = sharding.shard(docs, rows_per_cell=5).collect()
+    got = sharding.shard(docs, rows_per_block=5).collect()
     want = sorted(((i is None, i or 0), len(t.encode()) + 1, zlib.crc32(t.encode())) for i, t in plain(docs))
     assert sorted(((r["doc_id"] is None, r["doc_id"] or 0), r["size"], r["text_crc32"]) for r in got) == want
     slots = defaultdict(list)
@@ -71,6 +71,18 @@ def test_sharding(docs, none):
     assert sharding.shard(none).count() == 0
 
 
+def test_sharding_is_a_uniform_shuffle(spark):
+    """Over many seeds a row lands in each shard and in each part of its slots equally often, whatever its partition."""
+    table = spark.createDataFrame([(i, "x") for i in range(40)], "doc_id long, text string").repartitionByRange(4, "doc_id").cache()
+    met, early = Counter(), Counter()
+    for seed in range(60):
+        for r in sharding.shard(table, 4, 3, seed * 10).collect():
+            met[r["doc_id"] // 10, r["shard"]] += 1
+            early[r["doc_id"] // 10] += r["slot"] < 5
+    assert all(abs(met[p, s] - 150) < 45 for p in range(4) for s in range(4))  # 4 deviations of some 11
+    assert all(abs(early[p] - 300) < 60 for p in range(4))
+
+
 def test_communication_matrix():
     rows, cols = [10, 0, 7, 13], [8, 8, 7, 7]
     total = np.zeros((4, 4))

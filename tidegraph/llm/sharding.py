@@ -1,10 +1,10 @@
 """Sharding by a hypergeometric communication matrix: a uniform shuffle with exact shard sizes.
 
-Rows lie in cells (the source partitions). How many rows of each cell go to each target block is drawn
-exactly, as a uniform shuffle would deal them: row by row of a matrix with given margins. Cells permute
-their rows and cut them by their row of the matrix, blocks permute what they receive. A shard is a run of
-blocks, so no task holds a whole shard. Only keys of fixed width travel, and the matrix has at most
-MOST_CELLS^2 entries whatever the input.
+Rows lie in cells (the source partitions; beyond MOST_CELLS, runs of them). How many rows of each cell go to each
+target block is drawn exactly, as a uniform shuffle would deal them: row by row of a matrix with given margins. Cells
+permute their rows where they lie and cut them by their row of the matrix, one exchange takes them to their blocks, and
+blocks permute what they receive. A shard is a run of blocks, so no task holds a whole shard. Only keys of fixed width
+travel, and the matrix has at most MOST_CELLS^2 entries whatever the input.
 """
 
 from __future__ import annotations
@@ -81,7 +81,7 @@ def even(total: int, parts: int) -> list[int]:
     return [total // parts + (i < total % parts) for i in range(parts)]
 
 
-def shard(docs: DataFrame, n_shards: int = 8, rows_per_cell: int = 4096, seed: int = 20240) -> DataFrame:
+def shard(docs: DataFrame, n_shards: int = 8, rows_per_block: int = 4096, seed: int = 20240) -> DataFrame:
     """doc_id, size, text_crc32, shard, slot: a uniform shuffle of all rows into shards whose counts differ by one at most.
 
     Null texts have size 1 and crc 0; null doc_ids, repeated rows and ties are rows like any other; an empty
@@ -92,23 +92,21 @@ def shard(docs: DataFrame, n_shards: int = 8, rows_per_cell: int = 4096, seed: i
         "doc_id",
         (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"),
         F.coalesce(F.crc32(F.col("text").cast("binary")), F.lit(0)).cast("long").alias("text_crc32"),
-        *[F.rand(seed + i).alias(f"_r{i}") for i in range(3)],
-    )
-    base = written(narrow, "shard-rows")
-    n = base.count()
-    n_cells = max(1, min(MOST_CELLS, -(-n // rows_per_cell)))
-    per_shard = max(1, min(MOST_CELLS // n_shards, -(-n // (n_shards * rows_per_cell))))
-    cell = F.least(F.floor(F.col("_r0") * n_cells), F.lit(n_cells - 1)).cast("int")
-    found = {r["_cell"]: r["count"] for r in base.groupBy(cell.alias("_cell")).count().collect()}
-    cells = [found.get(i, 0) for i in range(n_cells)]
+    ).coalesce(MOST_CELLS)
+    # a cell's rows in a random order: the number that Spark gives them is the cell and the place in it
+    narrow = narrow.withColumns({f"_r{i}": F.rand(seed + i) for i in (1, 2)}).sortWithinPartitions("_r1", "_r2", "doc_id", "text_crc32")
+    place = F.monotonically_increasing_id()
+    base = written(narrow.withColumn("_at", place).select("doc_id", "size", "text_crc32", "_r1", "_r2", F.shiftright("_at", 33).cast("int").alias("_cell"), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)).alias("_i")), "shard-rows")
+    found = {r["_cell"]: r["count"] for r in base.groupBy("_cell").count().collect()}
+    n, cells = sum(found.values()), [found.get(i, 0) for i in range(max(found, default=0) + 1)]
+    per_shard = max(1, min(MOST_CELLS // n_shards, -(-n // (n_shards * rows_per_block))))
     blocks = [x for size in even(n, n_shards) for x in even(size, per_shard)]
     matrix = communication_matrix(cells, blocks, seed)
     ends = json.dumps(np.cumsum(matrix, axis=1).tolist())
     starts = np.concatenate([np.concatenate([[0], np.cumsum(blocks[s * per_shard : (s + 1) * per_shard])[:-1]]) for s in range(n_shards)])
     dealt = spark.range(1).select(F.posexplode(F.from_json(F.lit(ends), "array<array<bigint>>")).alias("_cell", "_ends"))
 
-    local = Window.partitionBy("_cell").orderBy("_r1", "_r2", "doc_id", "text_crc32")
-    placed = base.withColumn("_cell", cell).withColumn("_i", F.row_number().over(local) - 1).join(F.broadcast(dealt), "_cell")
+    placed = base.join(F.broadcast(dealt), "_cell")
     steps = F.array(*[F.lit(1 << i) for i in reversed(range(len(blocks).bit_length()))])
     # how many of the ascending ends are at most _i, by binary search
     block = F.aggregate(steps, F.lit(0), lambda lo, p: F.when((lo + p <= len(blocks)) & (F.element_at("_ends", F.least(lo + p, F.lit(len(blocks)))) <= F.col("_i")), lo + p).otherwise(lo))
