@@ -1,8 +1,8 @@
 """Document fingerprints: a Merkle tree over the sections, paragraphs and pieces of a text.
 
-A section ends with a blank line, a paragraph with a line break, a piece with a full stop or after 96
-characters; joined, the pieces are the text. Each node is the MD5 of its children's, so equal roots mean equal
-texts, and where roots differ only differing branches need a look. A fingerprint writes the tree down:
+Sections are parted by blank lines, paragraphs by line breaks, and a piece ends with a sentence's sign or after 95
+characters, so a text is its pieces with the breaks between them. Each node is the MD5 of its children's, so equal
+roots mean equal texts, and where roots differ only differing branches need a look. A fingerprint writes the tree down:
 
     root;section:paragraph.piece.piece,paragraph.piece;section:...
 
@@ -18,36 +18,43 @@ from pyspark.sql import functions as F
 
 from tidegraph.llm.common import bucket_of, documents, range_splits, row_key
 
-_PIECE = r"(?s).{1,95}?[.!?\n]|.{1,96}"
+#: A run without such signs, and the sign after it; no way back into a run, so a text is read once.
+_PIECE = r"[^.!?]{1,95}+[.!?]?+|[.!?]"
 
 
-def fingerprint(text: Column) -> Column:
-    """The tree of a text as a string; null counts as empty."""
+def tree(text: Column) -> Column:
+    """The tree of a text as nested arrays: h is a node's full hash, p a section's paragraphs, l a paragraph's leaves (8 digits)."""
 
     def paragraph(p: Column) -> Column:
         leaves = F.transform(F.regexp_extract_all(p, F.lit(_PIECE), F.lit(0)), F.md5)
-        return F.concat(F.md5(F.array_join(leaves, "")), F.array_join(F.transform(leaves, lambda x: F.concat(F.lit("."), F.substring(x, 1, 8))), ""))
+        return F.struct(F.md5(F.array_join(leaves, "")).alias("h"), F.transform(leaves, lambda x: F.substring(x, 1, 8)).alias("l"))
 
     def section(s: Column) -> Column:
-        inner = F.transform(F.split(s, "(?<=\n)"), paragraph)
-        return F.concat(
-            F.md5(F.array_join(F.transform(inner, lambda x: F.substring(x, 1, 32)), "")),
-            F.lit(":"),
-            F.array_join(F.transform(inner, lambda x: F.concat(F.substring(x, 1, 8), F.substring(x, 33, 1 << 30))), ","),
-        )
+        return F.transform(F.split(s, "\n"), paragraph)
 
-    tree = F.transform(F.split(F.coalesce(text, F.lit("")), "(?<=\n\n)"), section)
-    root = F.md5(F.array_join(F.transform(tree, lambda x: F.substring(x, 1, 32)), ""))
-    return F.concat(root, F.lit(";"), F.array_join(F.transform(tree, lambda x: F.concat(F.substring(x, 1, 8), F.substring(x, 33, 1 << 30))), ";"))
+    sections = F.transform(F.split(F.coalesce(text, F.lit("")), "\n\n"), section)
+    return F.transform(sections, lambda s: F.struct(F.md5(F.array_join(s["h"], "")).alias("h"), s.alias("p")))
 
 
-def _leaves(tree: Column) -> Column:
-    return F.array_distinct(F.regexp_extract_all(tree, F.lit(r"\.([0-9a-f]{8})"), F.lit(1)))
+def written_down(tree: Column) -> Column:
+    """A tree as a string."""
+    paragraph = lambda p: F.concat(F.substring(p["h"], 1, 8), F.array_join(F.transform(p["l"], lambda x: F.concat(F.lit("."), x)), ""))
+    section = lambda s: F.concat(F.substring(s["h"], 1, 8), F.lit(":"), F.array_join(F.transform(s["p"], paragraph), ","))
+    return F.concat(F.md5(F.array_join(tree["h"], "")), F.lit(";"), F.array_join(F.transform(tree, section), ";"))
 
 
-def likeness(a: Column, b: Column) -> Column:
-    """Twice the pieces that two fingerprints share over the pieces of both (equal roots: 1)."""
-    x, y = _leaves(a), _leaves(b)
+def leaves(tree: Column) -> Column:
+    """The different leaves of a tree."""
+    return F.array_distinct(F.flatten(F.transform(tree, lambda s: F.flatten(s["p"]["l"]))))
+
+
+def fingerprint(text: Column) -> Column:
+    """The tree of a text as a string; null counts as empty."""
+    return written_down(tree(text))
+
+
+def likeness(a: Column, b: Column, x: Column, y: Column) -> Column:
+    """Twice the leaves x and y that two fingerprints a and b share over the leaves of both (equal roots: 1)."""
     both = F.size(x) + F.size(y)
     return F.when(F.substring(a, 1, 32) == F.substring(b, 1, 32), 1.0).when(both == 0, 0.0).otherwise(2.0 * F.size(F.array_intersect(x, y)) / both)
 
@@ -96,25 +103,32 @@ def with_next(docs: DataFrame, columns: list[str], prepare=lambda rows: rows, ro
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """Fingerprints of documents and of their edited texts, and likenesses.
+    """Fingerprints of documents and of their edited texts, likenesses, and n_changed, the edited paragraphs located.
 
     Null texts count as empty, whose fingerprint has no pieces; a sole document is its own next. Rows with equal
     doc_id follow each other by text hash; null doc_ids come first. An empty table gives no rows; other columns
     are not read.
     """
     base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    rows = with_next(base, ["text", "fingerprint"], lambda rows: rows.withColumn("fingerprint", fingerprint(F.col("text")))).withColumn("n_chars", F.char_length("text").cast("long"))
+
+    def known(rows: DataFrame) -> DataFrame:
+        rows = rows.withColumn("_tree", tree(F.col("text")))
+        return rows.withColumns({"fingerprint": written_down(F.col("_tree")), "leaves": leaves(F.col("_tree"))}).drop("_tree")
+
+    rows = with_next(base, ["text", "fingerprint", "leaves"], known).withColumn("n_chars", F.char_length("text").cast("long"))
     cut = F.floor(F.col("n_chars") / 4)
     edited = F.concat(F.expr("substring(text, 1, cast(n_chars - floor(n_chars / 4) as int))"), F.substring("next_text", F.lit(1), cut.cast("int")))
-    rows = rows.withColumn("_edited", edited).withColumn("edited_fingerprint", fingerprint(F.col("_edited")))
+    rows = rows.withColumn("_edited", edited).withColumn("_tree", tree(F.col("_edited")))
+    rows = rows.withColumns({"edited_fingerprint": written_down(F.col("_tree")), "edited_leaves": leaves(F.col("_tree"))})
     return rows.select(
         "doc_id",
         "n_chars",
         F.sha2(F.col("_edited").cast("binary"), 256).alias("edited_sha256"),
         "fingerprint",
         "edited_fingerprint",
-        likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
-        likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"),
+        likeness(F.col("fingerprint"), F.col("edited_fingerprint"), F.col("leaves"), F.col("edited_leaves")).alias("near_edited"),
+        likeness(F.col("fingerprint"), F.col("next_fingerprint"), F.col("leaves"), F.col("next_leaves")).alias("near_next"),
+        F.size(changed_paragraphs(F.col("fingerprint"), F.col("edited_fingerprint"))).cast("long").alias("n_changed"),
     )
 
 
