@@ -500,6 +500,12 @@ def test_quality(spark, docs, none):
     got = quality.score(docs, model, docs.columns, "s", "p").collect()
     assert len(got) == docs.count() and all(0 <= r["s"] <= 1 for r in got)
     assert quality.score(none, model, ["doc_id"]).count() == 0
+    # repeated rows and labels, and clashing ones, teach nothing else
+    many = table.union(table.where("doc_id % 3 = 0")).union(table.where("doc_id = 7").crossJoin(spark.range(50)).select("doc_id", "text"))
+    again = labels.union(labels).union(labels.where("doc_id % 10 = 0").selectExpr("doc_id", "1 - quality", "toxic")).union(labels.selectExpr("doc_id", "cast(null as int)", "toxic"))
+    other = quality.train(many, again)
+    x = np.random.default_rng(0).normal(size=(20, len(quality.FEATURES)))
+    assert np.allclose(other.score(x), model.score(x))
     assert quality.train(table, labels.where("false")).score(np.zeros((1, len(quality.FEATURES))))[0] == 0.5
 
 

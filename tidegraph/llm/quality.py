@@ -155,7 +155,7 @@ def fit(x: np.ndarray, y: np.ndarray) -> AdditiveModel:
 
 
 def features_of(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """The columns `keep` and an array of features."""
+    """The columns `keep` and an array x of features; null texts count as empty, a row for each row."""
     schema = docs.select(*keep).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,10 +176,17 @@ def in_fold(doc_id) -> F.Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> AdditiveModel:
-    """Fits on the labelled rows that are not held out, at most `most` of them (the least by hash of doc_id)."""
-    known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~in_fold(F.col("doc_id"))).select("doc_id", "quality").dropDuplicates(["doc_id"])
+    """Fits on labelled documents that are not held out, at most `most` of them (the least by hash of doc_id).
+
+    Of clashing labels of a doc_id the commoner one counts, 0 if there are as many of either; of rows that share a
+    doc_id the one with the least hash of its text. Labels without a document, or null, teach nothing, and without any
+    label every score is 0.5. Other columns are not read.
+    """
+    marked = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~in_fold(F.col("doc_id")))
+    known = marked.groupBy("doc_id").agg((F.avg("quality") > 0.5).cast("int").alias("quality"))
     some = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    rows = features_of(docs.select("doc_id", "text").join(F.broadcast(some), "doc_id"), ["doc_id", "quality"])
+    one = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").groupBy("doc_id", "quality").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    rows = features_of(one, ["doc_id", "quality"])
     got = rows.select("doc_id", "quality", "x").orderBy("doc_id").toPandas()
     x = np.array(got["x"].tolist(), float).reshape(-1, len(FEATURES))
     return fit(x, got["quality"].to_numpy(float))
