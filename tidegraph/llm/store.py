@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegraph.llm import tokens
-from tidegraph.llm.common import as_bytes, documents, mixed, shared_dir, slices, with_start, written
+from tidegraph.llm.common import as_bytes, discard, documents, mixed, shared_dir, slices, with_start, written
 
 #: Ids that the rolling hash sees, bits of it that must be zero to cut, and the least and most ids of a chunk.
 WINDOW, CUT_BITS, LEAST, MOST = 4, 9, 64, 4096
@@ -119,6 +119,7 @@ def write_store(docs: DataFrame, path: str, vocabulary: str | None = None, end_i
     recipes = staged.drop("fresh")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     recipes.repartitionByRange(parts, F.col("doc_id").asc_nulls_first(), "row").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "row").write.parquet(f"{path}/recipes")
+    discard(staged)
 
 
 def _times(a: int, b: int) -> int:
@@ -182,8 +183,10 @@ def read_store(spark: SparkSession, path: str, width: int = 2) -> DataFrame:
 
 
 def op5_content_store(spark, sf_dir: str) -> DataFrame:
-    """All documents into a store in the shared folder, and back."""
+    """All documents into a store in the shared folder, and back; raises if a document is not what was written."""
     path = f"{shared_dir(spark)}/id-store-{uuid.uuid4().hex}"
     write_store(documents(spark, sf_dir), path)
     back = written(read_store(spark, path), "ids-read")
+    if broken := back.where("not verified").count():
+        raise RuntimeError(f"{broken} documents of the store at {path} do not fit their Merkle roots")
     return with_start(back, "n_tokens", ["doc_id", "row"]).select("doc_id", "start", "n_tokens", "ids_crc32", "verified")
