@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegraph.operators.ordering import row_numbers, running_sum
-from tidegraph.plans.tables import written
+from tidegraph.plans.tables import discard, written
 
 
 def vertices_of(edges: DataFrame) -> DataFrame:
@@ -54,17 +54,19 @@ def iterate(edges: DataFrame, state: DataFrame, message: Column, combine, apply:
     state = written(state, "state")
     for k in range(rounds):
         got = aggregate_messages(edges, state, message, combine).withColumnRenamed("id", "_to")
-        following = state.join(got, F.col("id") == F.col("_to"), "left").withColumns({f"_{c}": e for c, e in apply(F.col("m")).items()})
-        names = [c[1:] for c in following.columns if c.startswith("_") and c != "_to"]
+        state_now = state.drop("_changed")
+        following = state_now.join(got, F.col("id") == F.col("_to"), "left").withColumns({f"_{c}": e for c, e in apply(F.col("m")).items()})
+        names = [c[1:] for c in following.columns if c.startswith("_") and c not in ("_to", "_changed")]
         changed = (F.col(f"_{until_still}") != F.col(until_still)) if until_still else F.lit(False)
-        state = written(following.select(*[F.col(f"_{c}").alias(c) if c in names else F.col(c) for c in state.columns], changed.alias("_changed")), "state")
+        old, state = state, written(following.select(*[F.col(f"_{c}").alias(c) if c in names else F.col(c) for c in state_now.columns], changed.alias("_changed")), "state")
         if hook:
             hook(k, state)
         moved = state.where("_changed").limit(1).count() if until_still else 1
-        state = state.drop("_changed")
+        discard(old)
         if not moved:
             break
-    return state
+    discard(edges)
+    return state.drop("_changed")
 
 
 def pagerank(edges: DataFrame, updates: int, normalised: bool = False) -> DataFrame:
@@ -96,14 +98,16 @@ def connected_components(edges: DataFrame, rounds: int = 1000) -> DataFrame:
         up = written(live.groupBy(F.col("b").alias("id")).agg(F.min("a").alias("up")), "up")
         while True:
             further = up.select(F.col("id").alias("up"), F.col("up").alias("over"))
-            folded = written(up.join(further, "up", "left").select("id", F.coalesce("over", "up").alias("up"), F.col("over").isNotNull().alias("moved")), "up")
-            up = folded.drop("moved")
-            if folded.where("moved").limit(1).count() == 0:
+            before, up = up, written(up.join(further, "up", "left").select("id", F.coalesce("over", "up").alias("up"), F.col("over").isNotNull().alias("moved")), "up")
+            discard(before)
+            if up.where("moved").limit(1).count() == 0:
                 break
         to = lambda c: up.select(F.col("id").alias(c), F.col("up").alias(f"{c}_up"))
-        labels = written(labels.join(to("label"), "label", "left").select("id", F.coalesce("label_up", "label").alias("label")), "labels")
+        old, labels = labels, written(labels.join(to("label"), "label", "left").select("id", F.coalesce("label_up", "label").alias("label")), "labels")
+        discard(old)
         moved = live.join(to("a"), "a", "left").join(to("b"), "b", "left").select(F.coalesce("a_up", "a").alias("a"), F.coalesce("b_up", "b").alias("b")).where("a <> b")
-        live = written(moved.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "live")
+        old, live = live, written(moved.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "live")
+        discard(old, up)
     raise RuntimeError(f"components are not settled after {rounds} rounds")
 
 
@@ -182,6 +186,13 @@ def spanning_forest(edges: DataFrame) -> DataFrame:
     return forest
 
 
+def contracted(edges: DataFrame, labels: DataFrame) -> DataFrame:
+    """src, dst, weight: the graph of components; edges between their labels, the least weight of parallel ones."""
+    to = lambda c: labels.select(F.col("id").alias(c), F.col("label").alias(f"{c}_label"))
+    moved = edges.join(to("src"), "src").join(to("dst"), "dst").where("src_label <> dst_label")
+    return moved.groupBy(F.col("src_label").alias("src"), F.col("dst_label").alias("dst")).agg(F.min("weight").alias("weight"))
+
+
 def triangles(edges: DataFrame) -> DataFrame:
     """id, triangles: triangles at each vertex of the simple undirected graph; edges point from lower (degree, id)."""
     simple = written(edges.where("src <> dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct(), "edges")

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidegraph.operators.graph import connected_components, degrees, vertices_of
-from tidegraph.plans.tables import written
+from tidegraph.plans.tables import discard, written
 
 
 @dataclass
@@ -87,8 +87,8 @@ def run(edges: DataFrame, program: Program, rounds: int, active: DataFrame | Non
         new = written(new.withColumns({"_moved": moved, "_delta": F.coalesce(program.delta, F.lit(0.0)) if program.delta is not None else F.lit(0.0)}), "turn")
         fields = ["id", *names, "in_degree", "out_degree"]
         rest = state.join(new.select("id"), "id", "left_anti").select(*fields) if active is not None else None
-        state = new.select(*fields) if rest is None else rest.union(new.select(*fields))
-        state = written(state, "state")
+        old, state = state, written(new.select(*fields) if rest is None else rest.union(new.select(*fields)), "state")
+        discard(old)
         n, woke, delta = new.agg(F.count("*"), F.count(F.when(F.col("_moved"), 1)), F.sum("_delta")).first()
         program.log.append((k, n, woke, float(delta or 0.0)))
         if program.after_round:

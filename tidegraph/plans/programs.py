@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tidegraph.functions import scalar
 from tidegraph.operators import graph, ordering, programs
+from tidegraph.plans import observe
 from tidegraph.plans.registry import _pagerank_sql, query, rounded, table
 from tidegraph.plans.tables import shared_dir
 from tidegraph.sources.derived import co_purchase, user_next, weighted
@@ -64,6 +65,22 @@ def _(spark, d):
     return spark.createDataFrame(seen, "round int, hook string")
 
 
+@query("run_metrics", "SELECT * FROM (VALUES ('edges', 'counter', 1::BIGINT, (SELECT count(*)::DOUBLE FROM un)), ('ranks.round', 'timer', 3, NULL), ('ranks.rounds', 'counter', 3, 3.0)) t(name, kind, n, total)", ("un",))
+def _(spark, d):
+    """Counters and timers of a run; the timers' seconds are left out."""
+    m, e, p = observe.Metrics(), user_next(spark, d), programs.pagerank_program()
+    m.count("edges", e.count())
+    p.before_round, p.after_round = m.hooks("ranks")
+    programs.run(e, p, 3)
+    return m.table(spark).select("name", "kind", "n", F.when(F.col("kind") == "counter", F.col("total")).alias("total"))
+
+
+@query("contracted_edges", ", e AS (SELECT src, dst, (src * 7919 + dst * 104729) % 1000 w FROM un) SELECT src % 10 AS src, dst % 10 AS dst, min(w) AS weight FROM e WHERE src % 10 <> dst % 10 GROUP BY 1, 2", ("un",))
+def _(spark, d):
+    e = weighted(user_next(spark, d))
+    return graph.contracted(e, graph.vertices_of(e).select("id", (F.col("id") % 10).alias("label")))
+
+
 @query("least_neighbour_edge", ", e AS (SELECT src, dst, (src * 7919 + dst * 104729) % 1000 w FROM un) SELECT src AS id, min(w)::DOUBLE AS weight, arg_min(dst, (w, dst)) AS dst FROM e GROUP BY 1", ("un",))
 def _(spark, d):
     """The out-edge of least weight of each vertex."""
@@ -169,6 +186,21 @@ def _base(spark, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+@query("crowded_table", "SELECT * FROM (VALUES (1::INT, FALSE), (2, FALSE), (3, TRUE), (4, FALSE)) t(step, crowded)")
+def _(spark, d):
+    """Whether a compaction is due: after two appends, a few deletions, very many, and the compaction."""
+    e, t = user_next(spark, d), ingest.EdgeTable(spark, _base(spark, "edges"))
+    t.append(e.where("src % 2 = 0"), 0)
+    t.append(e.where("src % 2 = 1"), 1)
+    steps = [t.crowded()]
+    t.delete(e.where("src = 1"), 0)
+    steps.append(t.crowded())
+    t.delete(e.where("src % 2 = 1"), 1)
+    steps.append(t.crowded())
+    steps.append(t.compact(_base(spark, "edges")).crowded())
+    return spark.createDataFrame(list(enumerate(steps, 1)), "step int, crowded boolean")
+
+
 @query("streamed_edges", "SELECT DISTINCT src, dst FROM un WHERE NOT (src % 5 = 0 AND dst % 3 = 0)", ("un",))
 def _(spark, d):
     """Edges that a stream appended and tombstones took away, after a compaction in between."""

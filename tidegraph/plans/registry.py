@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidegraph.operators import etl, evaluation, factorisation, graph, models, similarity
+from tidegraph.operators import etl, evaluation, factorisation, graph, models, programs, similarity
 from tidegraph.sources import generators
 from tidegraph.sources.derived import SQL, co_purchase, user_item, user_next, weighted
 
@@ -86,10 +86,8 @@ def _(spark, d):
 
 @query("edge_relation", "SELECT src, dst, round(1.0 / o.d + 2.0 / i.d, 6) AS value FROM un JOIN (SELECT src, count(*) d FROM un GROUP BY 1) o USING (src) JOIN (SELECT dst, count(*) d FROM un GROUP BY 1) i USING (dst)", ("un",))
 def _(spark, d):
-    e = user_next(spark, d)
-    deg = graph.degrees(e)
-    rows = e.join(deg.select(F.col("id").alias("src"), F.col("out_degree").alias("o")), "src").join(deg.select(F.col("id").alias("dst"), F.col("in_degree").alias("i")), "dst")
-    return rounded(rows.select("src", "dst", (1.0 / F.col("o") + 2.0 / F.col("i")).alias("value")), "value")
+    e = programs.related(user_next(spark, d), 1.0 / F.col("src_out") + 2.0 / F.col("dst_in"))
+    return rounded(e.select("src", "dst", F.col("edge").alias("value")), "value")
 
 
 @query("range_sum", "SELECT count(*) n, sum(c)::BIGINT total FROM (SELECT src id, count(*) c FROM un GROUP BY 1) WHERE id >= 10 AND id < 100", ("un",))
@@ -570,4 +568,6 @@ def oracle_sql() -> dict[str, str]:
 
 
 # further queries register themselves here
-from tidegraph.plans import formats, programs, recommenders  # noqa: E402, F401
+import tidegraph.plans.formats  # noqa: E402
+import tidegraph.plans.programs  # noqa: E402
+import tidegraph.plans.recommenders  # noqa: E402, F401

@@ -20,4 +20,15 @@ def shared_dir(spark: SparkSession) -> str:
 def written(df: DataFrame, name: str = "round") -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Deletes tables that `written` made, once nothing that is still to run reads them; other DataFrames are left alone."""
+    for t in tables:
+        path = getattr(t, "_written_to", None)
+        if path is not None:
+            at = t.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
