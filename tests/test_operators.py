@@ -100,7 +100,7 @@ def test_factorisation(spark):
     for fitted in (factorisation.als(r, 2, 5, reg=0.001), factorisation.nmf(r, 2, 8)):
         p = factorisation.predictions(r, *fitted, 2)
         assert p.agg(F.sqrt(F.avg((F.col("r") - F.col("prediction")) ** 2))).first()[0] < 0.3
-    s, _ = factorisation.svd(r.select(F.col("u").alias("row"), F.col("i").alias("col"), F.col("r").alias("val")), 2, 6)
+    s, _, _ = factorisation.svd(r.select(F.col("u").alias("row"), F.col("i").alias("col"), F.col("r").alias("val")), 2, 6)
     assert math.isclose(s[0], math.sqrt(55 * 30), rel_tol=1e-6) and s[1] < 1e-3
     u, v, mean = factorisation.sgd(r, 2, 3, rate=0.01, bias=True, blocks=2)
     assert u.count() == 5 and v.count() == 4 and mean == 7.5
@@ -118,3 +118,128 @@ def test_stream_equals_batch(spark, tmp_path):
     assert all(math.isclose(r["rank"], want[r["id"]], rel_tol=1e-3) for r in ranks.collect())
     table.delete(edges(spark, (0, 1)), 0)
     assert (0, 1) not in rows(table.edges()) and rows(table.compact(str(tmp_path / "c")).edges()) == rows(table.edges())
+
+
+def test_cosamp():
+    """A fixture of the toolkit: the published result of one entry of three."""
+    import numpy as np
+
+    a = np.array([[0.9528, 0.5982, 0.8368], [0.7041, 0.8407, 0.5187], [0.9539, 0.4428, 0.0222]])
+    b = np.array([0.3759, 0.8986, 0.4290])
+    got = factorisation.cosamp(a, b, 1)
+    assert np.count_nonzero(got) == 1 and np.linalg.norm(got - [0, 1.2032, 0]) < 1e-4
+    x = np.zeros(40)
+    x[[3, 17, 30]] = [2.0, -1.5, 3.0]
+    m = np.random.default_rng(2).normal(size=(30, 40))
+    assert np.allclose(factorisation.cosamp(m, m @ x, 3), x)
+
+
+def test_singular_values(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    m = rng.normal(size=(30, 12)) * (rng.random((30, 12)) < 0.5)
+    df = spark.createDataFrame([(i, j, float(m[i, j])) for i, j in zip(*map(np.ndarray.tolist, np.nonzero(m)), strict=True)], "row long, col long, val double")
+    want = np.linalg.svd(m)[1]
+    s, u, v = factorisation.svd(df, 3, 25)
+    assert np.allclose(s, want[:3], rtol=1e-4)
+    uu, vv = (np.array([r["f"] for r in sorted(x.collect())]) for x in (u, v))
+    assert np.allclose(uu.T @ m[[r["id"] for r in sorted(u.collect())]][:, [r["id"] for r in sorted(v.collect())]] @ vv, np.diag(want[:3]), atol=2e-2)
+    s, v = factorisation.svd_one_sided(df, 3, 9)
+    assert np.allclose(s, want[:3], rtol=1e-8)
+    vv = np.array([r["f"] for r in sorted(v.collect())])
+    assert np.allclose(vv.T @ vv, np.eye(3), atol=1e-8) and np.allclose(np.linalg.norm(m[:, [r["id"] for r in sorted(v.collect())]] @ vv, axis=0), want[:3])
+
+
+def test_least_squares_in_parts(spark, monkeypatch):
+    """An id with many ratings is summed in parts, with the same result."""
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    f = rng.normal(size=(50, 3))
+    rows = [(0, i, float(rng.normal())) for i in range(50)] + [(u, int(i), float(rng.normal())) for u in range(1, 6) for i in rng.choice(50, 7, False)]
+    r = spark.createDataFrame(rows, "u long, i long, r double")
+    fixed = spark.createDataFrame([(i, f[i].tolist()) for i in range(50)], factorisation.FACTORS)
+    old = spark.createDataFrame([(u, [0.1, 0.2, 0.3]) for u in range(6)], factorisation.FACTORS)
+
+    def got(**kw):
+        return {x["id"]: x["f"] for x in factorisation.half_step(r, fixed, "u", "i", reg=0.1, **kw).collect()}
+
+    whole, swept = got(), got(coordinate=True, own=old)
+    for u in range(6):
+        q, y = f[[i for v, i, _ in rows if v == u]], np.array([x for v, _, x in rows if v == u])
+        assert np.allclose(whole[u], np.linalg.solve(q.T @ q + 0.1 * np.eye(3), q.T @ y))
+    monkeypatch.setattr(factorisation, "ROWS_A_TASK", 8)
+    for a, b in ((whole, got()), (swept, got(coordinate=True, own=old))):
+        assert all(np.allclose(a[u], b[u]) for u in range(6))
+
+
+def test_item_pairs_of_a_hot_user(spark, monkeypatch):
+    r = spark.createDataFrame([(u, i, float(i)) for u in (1, 2) for i in range(20 if u == 1 else 4)], "u long, i long, r double")
+    want = rows(similarity.item_pairs(r))
+    monkeypatch.setattr(similarity, "ROWS_A_BLOCK", 3)
+    assert rows(similarity.item_pairs(r)) == want and len(want) == 190 + 6
+
+
+def test_orders(spark):
+    from tidegraph.operators import ordering
+
+    df = spark.createDataFrame([(k * 7 % 100, k % 5, None if k % 3 else k) for k in range(100)], "id long, v long, w long").repartition(5)
+    got = {r["id"]: r for r in ordering.running_sum(df, F.col("v"), [F.col("id")], "before").collect()}
+    total, last = 0, None
+    carried = {r["id"]: r["last"] for r in ordering.running_last(df, F.col("w"), [F.col("id")], "last").collect()}
+    for i in range(100):
+        assert got[i]["before"] == total
+        total += got[i]["v"]
+        last = got[i]["w"] if got[i]["w"] is not None else last
+        assert carried[i] == last
+    empty = df.where("id < 0")
+    assert ordering.row_numbers(empty, [F.col("id")], "n").count() == 0
+
+
+def test_numbered_lines_of_many_blocks(spark, tmp_path):
+    from tidegraph.sources import text as t
+
+    p = tmp_path / "long"
+    p.write_text("".join(f"line {k}\n" for k in range(5000)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    try:
+        got = {r["n"]: r["value"] for r in t.numbered_lines(spark, str(p)).collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == {k: f"line {k}" for k in range(5000)}
+
+
+def test_components_of_odd_graphs(spark):
+    import random
+
+    rng = random.Random(6)
+    pairs = [(rng.randint(0, 300), rng.randint(0, 300)) for _ in range(200)] + [(5, 5)]
+    up = {v: v for p in pairs for v in p}
+
+    def root(v):
+        while up[v] != v:
+            v = up[v]
+        return v
+
+    for a, b in pairs:
+        up[max(root(a), root(b))] = min(root(a), root(b))
+    from tidegraph.operators import programs
+
+    want = sorted((v, root(v)) for v in up)
+    assert rows(graph.connected_components(edges(spark, *pairs))) == want
+    assert rows(programs.components_while_loading(edges(spark, *pairs).repartition(3))) == want
+    assert graph.connected_components(edges(spark, (1, 1)).where("false")).count() == 0
+
+
+def test_stream_goes_on_after_a_stop(spark, tmp_path):
+    """A second run takes only what is new, from the ranks of the run before."""
+    e = edges(spark, (0, 1), (1, 2), (2, 0))
+    e.write.parquet(str(tmp_path / "in"))
+    source = lambda: spark.readStream.schema("src long, dst long").parquet(str(tmp_path / "in"))
+    table = ingest.EdgeTable(spark, str(tmp_path / "table"))
+    ingest.follow(source(), table, updates_at_end=0)
+    edges(spark, (2, 3), (3, 0)).write.mode("append").parquet(str(tmp_path / "in"))
+    got = {r["id"]: r["rank"] for r in ingest.follow(source(), table, updates_at_end=80).collect()}
+    want = {r["id"]: r["rank"] for r in graph.pagerank(table.edges(), 90).collect()}
+    assert len(rows(table.edges())) == 5 and all(math.isclose(got[k], want[k], rel_tol=1e-3) for k in want)

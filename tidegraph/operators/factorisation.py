@@ -55,23 +55,25 @@ def cosamp(a: np.ndarray, b: np.ndarray, keep: int, rounds: int = 10, close: flo
     """A solution of a x = b with `keep` entries by compressive sampling matching pursuit.
 
     Each round the 2 * keep entries on which the residual weighs most join those of the last solution, least squares
-    over them gives the new one, and its largest entries stay; it ends when the residual is small or stays as it is.
+    over them gives the new one, and its largest entries stay; it ends when the residual is small or does not fall.
     """
-    x, left, before = np.zeros(a.shape[1]), b.astype(float), np.inf
+    best, left, least = np.zeros(a.shape[1]), b.astype(float), np.inf
     for _ in range(rounds):
         near = np.abs(a.T @ left)
-        some = np.union1d(np.argsort(-near, kind="stable")[: 2 * keep], np.flatnonzero(x))
-        got = np.zeros(len(x))
+        some = np.union1d(np.argsort(-near, kind="stable")[: 2 * keep], np.flatnonzero(best))
+        got = np.zeros(len(best))
         got[some] = np.linalg.lstsq(a[:, some], b, rcond=None)[0]
-        best = np.argsort(-np.abs(got), kind="stable")[:keep]
-        x = np.zeros(len(x))
-        x[best] = got[best]
-        left = b - a @ x
-        size = float(np.linalg.norm(left))
-        if size < close or size >= before - 1e-12:
+        top = np.argsort(-np.abs(got), kind="stable")[:keep]
+        x = np.zeros(len(best))
+        x[top] = got[top]
+        rest = b - a @ x
+        size = float(np.linalg.norm(rest))
+        if size >= least - 1e-12:
             break
-        before = size
-    return x
+        best, left, least = x, rest, size
+        if size < close:
+            break
+    return best
 
 
 def _coordinates(reg: float, by_degree: bool = False):
