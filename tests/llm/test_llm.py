@@ -285,7 +285,7 @@ def test_signature_tree_finds_all_links():
             if len(np.intersect1d(sets[i], sets[j])) >= need(len(sets[i]), len(sets[j])):
                 forest.join(i, j)
     got = jaccard.Forest(len(sets))
-    for i, j in jaccard.link(sets, np.array([len(s) for s in sets]), need, 0.75):
+    for i, j in jaccard.link(sets, np.array([len(s) for s in sets]), need, 0.75).links:
         got.join(i, j)
     assert got.roots().tolist() == forest.roots().tolist()
 

@@ -101,8 +101,8 @@ class Forest:
             self.links.append((i, j))
 
 
-def link(sets: list[np.ndarray], sizes: np.ndarray, need: Callable[[np.ndarray, np.ndarray], np.ndarray], ratio: float, side: np.ndarray | None = None, known: list | None = None) -> list[tuple[int, int]]:
-    """A spanning forest of the pairs whose sets share at least need(length, length) tokens.
+def link(sets: list[np.ndarray], sizes: np.ndarray, need: Callable[[np.ndarray, np.ndarray], np.ndarray], ratio: float, side: np.ndarray | None = None, known: list | None = None) -> Forest:
+    """A spanning forest (its links are new ones) of the pairs whose sets share at least need(length, length) tokens.
 
     sizes: what must be as alike as ratio; side: if given, only pairs of different sides count; known: components that
     members belong to already, whose links are not looked for.
@@ -123,7 +123,7 @@ def link(sets: list[np.ndarray], sizes: np.ndarray, need: Callable[[np.ndarray,
             for j in range(i):
                 if (side is None or side[i] != side[j]) and min(sizes[i], sizes[j]) >= ratio * max(sizes[i], sizes[j]) and forest.root(i) != forest.root(j) and same(i, j):
                     forest.join(i, j)
-        return forest.links
+        return forest
 
     # leaves hold members that begin alike; the tree above them is binary
     order = np.lexsort((sizes, [int(s[0]) if len(s) else 0 for s in sets]))
@@ -180,7 +180,7 @@ def link(sets: list[np.ndarray], sizes: np.ndarray, need: Callable[[np.ndarray,
             a, b = int(order[i[x[z]]]), int(order[j[y[z]]])
             if forest.root(a) != forest.root(b) and same(a, b):
                 forest.join(a, b)
-    return forest.links
+    return forest
 
 
 def _rough(a, b):
@@ -271,7 +271,7 @@ def _families(nodes: DataFrame) -> DataFrame:
                 ends = flat.offsets.to_numpy()
                 values = flat.values.to_numpy().view(np.uint32).astype(np.uint64)
                 sets = [np.unique(values[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
-                for i, j in link(sets, t["n"].to_numpy(), _rough, 0.75):
+                for i, j in link(sets, t["n"].to_numpy(), _rough, 0.75).links:
                     a, b = root(ids[i]), root(ids[j])
                     if a != b:
                         up[max(a, b)] = min(a, b)
@@ -305,57 +305,53 @@ def jaccard_groups(docs: DataFrame, percent: int = 75, words: int = WORDS) -> Da
     blocks = F.ceil(F.col("members") / CAP).cast("int")
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     placed = written(family.join(sizes, "root").withColumn("blocks", blocks).select("node", "root", "blocks", own.alias("block")), "placed")
-    firsts = nodes.select("node", F.col("first.doc_id").alias("f_id"), F.col("first.rk").alias("f_rk"))
+    firsts = placed.select("node").join(nodes.select("node", F.col("first.doc_id").alias("f_id"), F.col("first.rk").alias("f_rk")), "node")
     text = docs.select("doc_id", "text", row_key().alias("rk"))
+    found = text.join(firsts, F.col("doc_id").eqNullSafe(F.col("f_id")) & (F.col("rk") == F.col("f_rk"))).select("node", "text")
+    texts = written(found.dropDuplicates(["node"]), "texts")  # a text for each node of a family
     need = _exact(percent)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (_, i, j), t in _groups(batches, 3):
-            names = t["node"].to_pylist()
-            seen = dict(zip(reversed(names), reversed(range(len(names))), strict=True))  # rows with equal doc_id and text: one is enough
-            if len(seen) < 2:
-                continue
-            keep = sorted(seen.values())
-            ids, t = [names[k] for k in keep], t.take(pa.array(keep))
-            known = t["known"].to_pylist()
-            if len(set(known)) < 2:
-                continue
-            buf, off = as_bytes(t["text"])
-            sets = []
-            for a, b in slices(off):
-                gram, at = shingle_sets(buf[off[a] : off[b]], off[a : b + 1] - off[a], words)
-                sets += [gram[x:y] for x, y in zip(at[:-1], at[1:], strict=True)]
-            side = None if i == j else t["block"].to_numpy()
-            links = link(sets, np.array([len(s) for s in sets]), need, percent / 100, side, known)
-            yield pa.RecordBatch.from_arrays([pa.array([ids[a] for a, _ in links], pa.binary()), pa.array([ids[b] for _, b in links], pa.binary())], names=["u", "v"])
+            ids, known = t["node"].to_pylist(), t["known"].to_pylist()
+            large = t["blocks"][0].as_py() > 1
+            forest = Forest(len(ids))
+            if len(set(known)) > 1:
+                buf, off = as_bytes(t["text"])
+                sets = []
+                for a, b in slices(off):
+                    gram, at = shingle_sets(buf[off[a] : off[b]], off[a : b + 1] - off[a], words)
+                    sets += [gram[x:y] for x, y in zip(at[:-1], at[1:], strict=True)]
+                side = None if i == j else t["block"].to_numpy()
+                forest = link(sets, np.array([len(s) for s in sets]), need, percent / 100, side, known)
+            out = [(ids[a], ids[b], True) for a, b in forest.links]
+            if large and i == j:
+                out += [(x, ids[r], False) for x, r in zip(ids, forest.roots().tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.binary()), pa.array([x[1] for x in out], pa.binary()), pa.array([x[2] for x in out], pa.bool_())], names=["u", "v", "link"])
 
     def met(groups: DataFrame, name: str) -> DataFrame:
-        """Links between the nodes of each (root, i, j); groups: node, root, i, j, block and the component `known`."""
-        needed = groups.join(firsts, "node")
-        rows = text.join(needed, F.col("doc_id").eqNullSafe(F.col("f_id")) & (F.col("rk") == F.col("f_rk"))).select("root", "i", "j", "node", "block", "known", "text")
-        found = rows.repartition(parts, "root", "i", "j").sortWithinPartitions("root", "i", "j", "node").mapInArrow(run, "u binary, v binary")
-        return written(found, name)
-
-    def labelled(rows: DataFrame, links: DataFrame) -> DataFrame:
-        """rows with their component by the links as `known` (a node without links is its own)."""
-        return rows.join(components(links).select("node", F.col("root").alias("_c")), "node", "left").withColumn("known", F.coalesce("_c", "node")).drop("_c")
+        """u, v, link: links between the nodes of each (root, i, j), and where i = j in a family of several blocks each
+        node u with the one v that stands for its component there. groups: node, root, i, j, blocks, block, known."""
+        rows = groups.join(texts, "node").repartition(parts, "root", "i", "j").sortWithinPartitions("root", "i", "j", "node")
+        return written(rows.select("root", "i", "j", "node", "block", "blocks", "known", "text").mapInArrow(run, "u binary, v binary, link boolean"), name)
 
-    links = met(placed.select("node", "root", F.col("block").alias("i"), F.col("block").alias("j"), "block", F.col("node").alias("known")), "links-inside")
+    inside = met(placed.select("node", "root", F.col("block").alias("i"), F.col("block").alias("j"), "blocks", "block", F.col("node").alias("known")), "links-inside")
+    links = inside.where("link").select("u", "v")
     large = placed.where("blocks > 1")
     if not large.isEmpty():
-        inner = written(labelled(large, links), "inner")
+        inner = large.join(inside.where("not link").select(F.col("u").alias("node"), F.col("v").alias("head")), "node")
         # one node of each component, all of a family together as far as CAP lets
-        heads = inner.groupBy("root", "known").agg(F.min("node").alias("node"))
+        heads = inner.where("node = head").select("node", "root", "blocks")
         many = heads.groupBy("root").agg(F.ceil(F.count("*") / CAP).cast("int").alias("tables"))
         seat = F.pmod(F.xxhash64("node"), F.col("tables")).cast("int")
-        links = written(links.union(met(heads.join(many, "root").select("node", "root", seat.alias("i"), seat.alias("j"), seat.alias("block"), "known"), "links-heads")), "links")
-        outer = written(labelled(large, links), "outer")
+        between = met(heads.join(many, "root").select("node", "root", seat.alias("i"), seat.alias("j"), "blocks", seat.alias("block"), F.col("node").alias("known")), "links-heads")
+        outer = written(inner.join(between.where("not link").select(F.col("u").alias("head"), F.col("v").alias("known")), "head").select("node", "root", "blocks", "block", "known"), "outer")
         apart = outer.groupBy("root").agg(F.min("known").alias("a"), F.max("known").alias("b")).where("a <> b").select("root")
-        rest = outer.join(apart, "root", "left_semi")
-        pairs = rest.select("node", "root", "block", "known", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).where("other <> block")
-        pairs = pairs.select("node", "root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "known")
-        links = written(links.union(met(pairs, "links-across")), "links")
+        pairs = outer.join(apart, "root", "left_semi").select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).where("other <> block")
+        pairs = pairs.select("node", "root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "blocks", "block", "known")
+        across = met(pairs, "links-across")
+        links = links.union(between.where("link").select("u", "v")).union(across.where("link").select("u", "v"))
     roots = written(components(links), "components")
     known = nodes.select("node", F.col("first.doc_id").alias("least")).join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "least")
     known = written(known, "component-nodes")
