@@ -98,14 +98,14 @@ class Shard:
         common = np.flatnonzero(np.diff(self.at) * 8 > len(self.live))
         self.row = np.full(len(self.names), -1)
         self.row[common] = np.arange(len(common))
-        self.full = np.zeros((len(common), len(self.live)))
+        self.full = np.zeros((len(common), len(self.live)), np.float32)
         for r, k in enumerate(common.tolist()):
             x = slice(self.at[k], self.at[k + 1])
             self.full[r, doc[x]] = weight[x]
 
     def scores(self, seed: int) -> np.ndarray:
         """BM25 of the live documents for all terms of the seed."""
-        out = np.zeros(len(self.live))
+        out = np.zeros(len(self.live), np.float32)
         own = self.term[self.first[seed] : self.first[seed + 1]]
         if not len(own) or not len(self.names):
             return out
@@ -114,11 +114,11 @@ class Shard:
         rows = self.row[k]
         rare = k[rows < 0]
         lists = [slice(a, b) for a, b in zip(self.at[rare].tolist(), self.at[rare + 1].tolist(), strict=True)]
-        if lists:
-            out += np.bincount(np.concatenate([self.d[x] for x in lists]), np.concatenate([self.w[x] for x in lists]), len(out))
         for r in rows[rows >= 0].tolist():
             out += self.full[r]
-        return np.round(out, 9)
+        if lists:
+            return out + np.bincount(np.concatenate([self.d[x] for x in lists]), np.concatenate([self.w[x] for x in lists]), len(out))
+        return out
 
     def forget(self, used: np.ndarray) -> None:
         """Drops used documents once they are half of the live ones."""
@@ -277,7 +277,7 @@ def pack(docs: DataFrame, length: int = LENGTH, vocabulary: str | None = None, e
                     doc_ids, each, held = [], [], 0
                 now = shard
                 doc_ids.append(i)
-                each.append(x.copy())
+                each.append(x)
                 held += len(x)
         if each:
             yield done(doc_ids, each)
