@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import json
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +45,24 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def trim() -> None:
+    """Gives freed memory back to the system, where the C library can: workers live on, and keep it otherwise."""
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
+def trimmed(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, with freed memory given back when a task ends."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        trim()
+
+    return task
+
+
 def row_key() -> Column:
     """With doc_id, tells rows apart; rows that agree in both have the same text and may share all results."""
     return F.xxhash64("doc_id", "text")

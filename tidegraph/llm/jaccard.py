@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegraph.llm.common import as_bytes, documents, mixed, row_key, slices, written
+from tidegraph.llm.common import as_bytes, documents, mixed, row_key, slices, trim, trimmed, written
 from tidegraph.llm.components import components
 from tidegraph.llm.repetition import _BASE, Texts
 
@@ -235,7 +235,7 @@ def signatures(docs: DataFrame, words: int = WORDS) -> DataFrame:
                 sketch = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(i, j - i).cast(pa.int64()), b.column("rk").slice(i, j - i), pa.array(n), node, sketch], names=["doc_id", "rk", "n", "node", "sketch"])
 
-    return docs.select("doc_id", "text", row_key().alias("rk")).mapInArrow(run, "doc_id long, rk long, n long, node binary, sketch array<long>")
+    return docs.select("doc_id", "text", row_key().alias("rk")).mapInArrow(trimmed(run), "doc_id long, rk long, n long, node binary, sketch array<long>")
 
 
 def _families(nodes: DataFrame) -> DataFrame:
@@ -283,7 +283,7 @@ def _families(nodes: DataFrame) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array(u, pa.binary()), pa.array(v, pa.binary())], names=["u", "v"])
 
     parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    edges = rows.repartition(parts, "key").sortWithinPartitions("key", "node").mapInArrow(run, "u binary, v binary")
+    edges = rows.repartition(parts, "key").sortWithinPartitions("key", "node").mapInArrow(trimmed(run), "u binary, v binary")
     return components(edges.union(star_edges))
 
 
@@ -325,6 +325,8 @@ def jaccard_groups(docs: DataFrame, percent: int = 75, words: int = WORDS) -> Da
                     sets += [gram[x:y] for x, y in zip(at[:-1], at[1:], strict=True)]
                 side = None if i == j else t["block"].to_numpy()
                 forest = link(sets, np.array([len(s) for s in sets]), need, percent / 100, side, known)
+                if len(ids) > CAP // 4:
+                    trim()
             out = [(ids[a], ids[b], True) for a, b in forest.links]
             if large and i == j:
                 out += [(x, ids[r], False) for x, r in zip(ids, forest.roots().tolist(), strict=True)]
@@ -334,7 +336,7 @@ def jaccard_groups(docs: DataFrame, percent: int = 75, words: int = WORDS) -> Da
         """u, v, link: links between the nodes of each (root, i, j), and where i = j in a family of several blocks each
         node u with the one v that stands for its component there. groups: node, root, i, j, blocks, block, known."""
         rows = groups.join(texts, "node").repartition(parts, "root", "i", "j").sortWithinPartitions("root", "i", "j", "node")
-        return written(rows.select("root", "i", "j", "node", "block", "blocks", "known", "text").mapInArrow(run, "u binary, v binary, link boolean"), name)
+        return written(rows.select("root", "i", "j", "node", "block", "blocks", "known", "text").mapInArrow(trimmed(run), "u binary, v binary, link boolean"), name)
 
     inside = met(placed.select("node", "root", F.col("block").alias("i"), F.col("block").alias("j"), "blocks", "block", F.col("node").alias("known")), "links-inside")
     links = inside.where("link").select("u", "v")

@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tidegraph.llm.common import as_bytes, documents, slices
+from tidegraph.llm.common import as_bytes, documents, slices, trimmed
 
 #: In the order in which spans are listed; the first four have base patterns.
 KINDS = ("email", "ip", "card", "phone", "secret", "national_id", "iban")
@@ -339,7 +339,7 @@ def find_spans(docs: DataFrame) -> DataFrame:
                 cols["n_spans"] = pa.array([len(base) + len(more) for base, more in found], pa.int64())
                 yield pa.RecordBatch.from_pydict(cols)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long, n_spans long")
+    return docs.select("doc_id", "text").mapInArrow(trimmed(run), "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long, n_spans long")
 
 
 def redact(docs: DataFrame) -> DataFrame:
@@ -369,7 +369,7 @@ def redact(docs: DataFrame) -> DataFrame:
             texts = [t if ok else None for t, ok in zip(texts, column.is_valid().to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(texts, b.schema.field(at).type) if k == at else b.column(k) for k in range(b.num_columns)], schema=b.schema)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(trimmed(run), docs.schema)
 
 
 def op7_pii_boosting(spark, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegraph.llm.common import as_bytes, documents, slices
+from tidegraph.llm.common import as_bytes, documents, slices, trimmed
 from tidegraph.llm.repetition import Texts, repeated
 
 #: Labelled rows that the fit uses at most: a bounded sample, by hash of doc_id.
@@ -167,7 +167,7 @@ def features_of(docs: DataFrame, keep: list[str]) -> DataFrame:
 
     from pyspark.sql.types import ArrayType, DoubleType
 
-    return docs.select("text", *keep).mapInArrow(run, schema.add("x", ArrayType(DoubleType())))
+    return docs.select("text", *keep).mapInArrow(trimmed(run), schema.add("x", ArrayType(DoubleType())))
 
 
 def in_fold(doc_id) -> F.Column:
@@ -210,7 +210,7 @@ def score(docs: DataFrame, model: AdditiveModel, keep: list[str], name: str = "s
                 s = model.score(features(buf[off[i] : off[j]], off[i : j + 1] - off[i]))
                 yield pa.RecordBatch.from_arrays([*[b.column(c).slice(i, j - i) for c in range(len(keep))], pa.array(s), pa.array((s >= THRESHOLD).astype(np.int32))], names=[*keep, name, verdict])
 
-    return docs.select(*read).mapInArrow(run, docs.select(*keep).schema.add(name, DoubleType()).add(verdict, IntegerType()))
+    return docs.select(*read).mapInArrow(trimmed(run), docs.select(*keep).schema.add(name, DoubleType()).add(verdict, IntegerType()))
 
 
 def op10_quality_additive(spark, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tidegraph.llm.common import Rolling, as_bytes, documents, mixed, slices
+from tidegraph.llm.common import as_bytes, documents, mixed, Rolling, slices, trimmed
 
 #: The largest share of word characters that repeated n-grams of so many words may cover, and repeated lines.
 NGRAM_LIMITS = {5: 0.25, 6: 0.24, 7: 0.23, 8: 0.22, 9: 0.21, 10: 0.20}
@@ -143,7 +143,7 @@ def repetition(docs: DataFrame) -> DataFrame:
                 cols |= {c: pa.array(m[c].astype(np.int64)) for c in ("cover_lines", *(f"cover_{n}" for n in NGRAM_LIMITS))}
                 yield pa.RecordBatch.from_pydict(cols)
 
-    return docs.select("doc_id", "text").mapInArrow(run, _SCHEMA)
+    return docs.select("doc_id", "text").mapInArrow(trimmed(run), _SCHEMA)
 
 
 def op2_repetition_coverage(spark, sf_dir: str) -> DataFrame:

@@ -30,7 +30,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegraph.llm.common import Rolling, as_bytes, discard, documents, mixed, slices, written
+from tidegraph.llm.common import as_bytes, discard, documents, mixed, Rolling, slices, trimmed, written
 
 LENGTH = 400
 #: A passage is a run of repeated strings of so many bytes with so many words at least. 50 words have some 300 bytes.
@@ -114,7 +114,7 @@ def span_table(keyed: DataFrame, length: int = LENGTH) -> DataFrame:
                 cols = [k1[i + text], k2[i + text], ((p0 + shift) << 20) | ((p1 - p0) << 10) | (a - p0), seed.view(np.int64), whole.view(np.int64)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["k1", "k2", "place", "seed", "whole"])
 
-    return keyed.select("k1", "k2", "text").mapInArrow(run, "k1 long, k2 long, place long, seed long, whole long")
+    return keyed.select("k1", "k2", "text").mapInArrow(trimmed(run), "k1 long, k2 long, place long, seed long, whole long")
 
 
 def often_seeds(keyed: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -127,7 +127,7 @@ def often_seeds(keyed: DataFrame, length: int = LENGTH) -> DataFrame:
                 seed, n = np.unique(spans(buf[s:e], np.clip(off[i : j + 1] - s, 0, e - s), length)[4], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(seed.view(np.int64)), pa.array(n > 1)], names=["seed", "twice"])
 
-    each = keyed.select("text").mapInArrow(run, "seed long, twice boolean")
+    each = keyed.select("text").mapInArrow(trimmed(run), "seed long, twice boolean")
     return each.groupBy("seed").agg((F.count("*") + F.max(F.col("twice").cast("int"))).alias("n")).where("n > 1").select("seed")
 
 
@@ -338,8 +338,8 @@ def repeats(keyed: DataFrame, length: int = LENGTH) -> DataFrame:
                 out = [(block[r][3], block[r][4], block[r][5] - far, block[r][5] - near + length) for r, near, far in repeated_windows(lcp, [row[2] for row in block], nearest, length) if block[r][6]]
                 yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in range(4)], names=["k1", "k2", "s", "e"])
 
-    found = with_text(wanted.where(F.col("kinds") <= MOST_SPANS)).mapInArrow(encode, "part int, run binary")
-    found = found.repartition(parts, "part").mapInArrow(merge, "k1 long, k2 long, s long, e long")
+    found = with_text(wanted.where(F.col("kinds") <= MOST_SPANS)).mapInArrow(trimmed(encode), "part int, run binary")
+    found = found.repartition(parts, "part").mapInArrow(trimmed(merge), "k1 long, k2 long, s long, e long")
     out = plain.union(found)
 
     windowed = []
@@ -357,7 +357,7 @@ def repeats(keyed: DataFrame, length: int = LENGTH) -> DataFrame:
                         n = len(at)
                         yield pa.RecordBatch.from_arrays([pa.array(np.full(n, k1)), pa.array(np.full(n, k2)), pa.array(at + x["p0"]), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(np.full(n, x["single"]))], names=["k1", "k2", "s", "one", "two", "single"])
 
-        each = written(with_text(hot).mapInArrow(windows, "k1 long, k2 long, s long, one long, two long, single boolean"), "windows")
+        each = written(with_text(hot).mapInArrow(trimmed(windows), "k1 long, k2 long, s long, one long, two long, single boolean"), "windows")
         windowed.append(each)
         twice = each.select("k1", "k2", "s", "one", "two").distinct().groupBy("one", "two").count().where("count > 1")
         out = out.union(each.where("single").join(twice, ["one", "two"], "left_semi").select("k1", "k2", "s", (F.col("s") + length).alias("e")))
@@ -403,7 +403,7 @@ def strip(docs: DataFrame, length: int = PASSAGE_LENGTH, least_words: int = PASS
                 texts.append(b"".join([*left, whole[at:]]).decode(errors="ignore"))
             yield pa.RecordBatch.from_arrays([pa.array(texts, b.schema.field("text").type) if c == "text" else b.column(c) for c in b.schema.names if c != "parts"], names=[c for c in b.schema.names if c != "parts"])
 
-    out = rows.mapInArrow(run, rows.drop("parts").schema)
+    out = rows.mapInArrow(trimmed(run), rows.drop("parts").schema)
     named = {"doc_id": "doc_id", "text": "text", **{c: f"_c{i}" for i, c in enumerate(others)}}
     return out.select(*[F.col(named[c]).alias(c) for c in docs.columns])
 
@@ -442,7 +442,7 @@ def dedup(docs: DataFrame) -> DataFrame:
     parts, short = _parts(repeats(keyed), "parts"), _parts(repeats(keyed, PASSAGE_LENGTH), "short")
     both = written(parts.join(short, ["k1", "k2"], "full"), "repeats-both")
     rows = keyed.join(both, ["k1", "k2"], "left").drop("k1", "k2")
-    return rows.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passages long, n_passage_bytes long")
+    return rows.mapInArrow(trimmed(run), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passages long, n_passage_bytes long")
 
 
 def op3_suffix_dedup(spark, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ from itertools import repeat
 import numpy as np
 
 #: Words kept by one worker; at more, those that were met only once go.
-MOST_WORDS = 800_000
+MOST_WORDS = 500_000
 
 _ASCII_SPACE = np.zeros(256, bool)
 _ASCII_SPACE[[0x20, *range(0x09, 0x0E), *range(0x1C, 0x20)]] = True
