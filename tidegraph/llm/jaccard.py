@@ -215,7 +215,11 @@ def _groups(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[tuple[tu
 
 
 def signatures(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """doc_id, rk, n, node (a hash of the whole set) and sketch (its least hashes) per document."""
+    """doc_id, rk, n, node (a hash of the whole set) and sketch (its least hashes) per document.
+
+    Null, empty and blank texts have n = 0 and an empty sketch; repeated rows and null doc_ids give a row each, an empty
+    table none; other columns are not read. Sketches hold SKETCH hashes at most.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -54,7 +54,8 @@ def hypergeometric(rng: np.random.Generator, good: int, bad: int, draws: int) ->
 def communication_matrix(cells: list[int], blocks: list[int], seed: int) -> np.ndarray:
     """Counts with row sums `cells` and column sums `blocks`, distributed as for a uniform shuffle.
 
-    Both sides are halved in turn, so that each entry costs one draw whatever its size.
+    Both sides are halved in turn, so that each entry costs one draw whatever its size. Empty cells and blocks have
+    zeros; no cells give no rows. Sums that differ are an error.
     """
     rng, out = np.random.default_rng(seed), np.zeros((len(cells), len(blocks)), np.int64)
     if sum(cells) != sum(blocks):
