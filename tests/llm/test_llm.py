@@ -252,6 +252,19 @@ def test_jaccard(docs, none, monkeypatch, cap):
         assert jaccard.jaccard_groups(none).count() == 0
 
 
+def test_common_passages_make_no_family(spark, monkeypatch):
+    """Texts that share a common passage only stay apart before whole texts are compared; links among them are found."""
+    monkeypatch.setattr(jaccard, "CAP", 10)
+    common = " ".join(f"c{j}" for j in range(30))
+    own = [[f"w{k}x{j}" for j in range(70)] for k in range(40)]
+    texts = [common + " " + " ".join(w) for w in own] + [common + " " + " ".join(w[:-2]) for w in own[:20]]
+    made = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    nodes = jaccard.signatures(made).select("node", "n", "sketch")
+    assert max(r["count"] for r in jaccard._families(nodes).groupBy("root").count().collect()) == 2
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.jaccard_groups(made).collect()}
+    assert got == {k: k if k < 40 else k - 40 for k in range(60)}
+
+
 def test_one_of_each(spark, docs):
     groups = brute_components(plain(docs))
     left = [r["doc_id"] for r in jaccard.one_of_each(docs).collect()]

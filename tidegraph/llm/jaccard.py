@@ -12,8 +12,9 @@ probability 0.75 or more, so that they share none happens with 0.25^24 < 4e-15,
 A tree's nodes hold the OR of their members' token bitmaps and the range of their sizes; two nodes are opened
 only if some pair below could reach the overlap that a link needs and is not connected yet.
 
-Hot keys (of more than CAP nodes) bring nodes together only if more than FEW of their keys are hot: others share
-a key that is not hot as well. Such nodes become one family unseen, which costs time but no link.
+Hot keys (of more than CAP nodes) bring no nodes together: two nodes share a key that is not hot as well, unless more
+than FEW keys of both are hot. Such nodes meet again by all hashes of their sketches. Only those whose sketch is hot
+nearly throughout even there (among such nodes) become one family unseen, which costs time but no link.
 
 A family of more than CAP nodes is cut into blocks. Links inside the blocks come first; then one node of each
 component found meets those of the other blocks. Only if the family is not one component by then do pairs of blocks
@@ -38,6 +39,8 @@ from tidegraph.llm.repetition import _BASE, Texts
 
 WORDS = 5
 SKETCH, KEYS, FEW, CAP = 64, 24, 3, 2000
+#: A set of SKETCH shingles or more meets another by the hashes that are not hot if at most MANY are: as rarely not as with KEYS.
+MANY = SKETCH - KEYS
 #: Sketches this alike make a family: sets as alike as 0.75 have 48 of 64 in common, 22 or fewer with less than 1e-12.
 ROUGH = 0.34
 LEAF = 8
@@ -250,12 +253,21 @@ def _families(nodes: DataFrame) -> DataFrame:
     met = written(keys.join(often, "key"), "keys")
     hot = met.groupBy("node", "n").agg(F.sum(F.when(F.col("df") > CAP, 1).otherwise(0)).alias("n_hot"))
     ruled = hot.where(F.when(F.col("n") >= KEYS, F.col("n_hot") > FEW).otherwise(2 * F.col("n_hot") >= F.col("n")) & (F.col("n_hot") > 0)).select("node")
-    stars = met.where(F.col("df") > CAP).join(ruled, "node", "left_semi")
-    centres = stars.groupBy("key").agg(F.min("node").alias("v"))
-    star_edges = stars.join(centres, "key").select(F.col("node").alias("u"), "v")
-
+    ruled = written(ruled, "ruled")
     sketches = nodes.select("node", F.transform("sketch", lambda x: F.shiftright(x, 32).cast("int")).alias("sketch"))
-    rows = met.where(F.col("df") <= CAP).join(sketches, "node").select("key", "node", "n", "sketch")
+    meeting = met.where(F.col("df") <= CAP).select("key", "node", "n")
+    star_edges = None
+    if not ruled.isEmpty():
+        wide = nodes.join(ruled, "node", "left_semi").select("node", "n", F.explode("sketch").alias("key"))
+        wide = written(wide.join(wide.groupBy("key").agg(F.count("*").alias("df")).where("df > 1"), "key"), "wide-keys")
+        meeting = meeting.union(wide.where(F.col("df") <= CAP).select(F.xxhash64("key"), "node", "n"))
+        # up to 48 shingles a partner's sketch is its whole set (and three quarters are shared), up to 64 it lacks 21 at most
+        n_hot = F.sum(F.when(F.col("df") > CAP, 1).otherwise(0))
+        few = F.when(F.col("n") <= 48, 4 * n_hot >= 3 * F.col("n")).when(F.col("n") < SKETCH, 4 * n_hot >= F.col("n")).otherwise(n_hot > MANY)
+        stars = wide.where(F.col("df") > CAP).join(wide.groupBy("node", "n").agg(few.alias("few")).where("few").select("node"), "node", "left_semi")
+        centres = stars.groupBy("key").agg(F.min("node").alias("v"))
+        star_edges = stars.join(centres, "key").select(F.col("node").alias("u"), "v")
+    rows = meeting.join(sketches, "node").select("key", "node", "n", "sketch")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         up: dict[bytes, bytes] = {}  # what this task has connected; equal groups meet again and again
@@ -288,7 +300,7 @@ def _families(nodes: DataFrame) -> DataFrame:
 
     parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     edges = rows.repartition(parts, "key").sortWithinPartitions("key", "node").mapInArrow(trimmed(run), "u binary, v binary")
-    return components(edges.union(star_edges))
+    return components(edges if star_edges is None else edges.union(star_edges))
 
 
 def jaccard_groups(docs: DataFrame, percent: int = 75, words: int = WORDS) -> DataFrame:
