@@ -92,6 +92,16 @@ def test_ranking_objective_rises(spark):
     assert values[-1] > values[0]
 
 
+def test_boltzmann_broadcasts_no_row_per_rating(spark, monkeypatch):
+    """Files of samples are far smaller than their rows; their join must not go by the files' size."""
+    plans, write = [], models.written
+    monkeypatch.setattr(models, "written", lambda df, name: plans.append((name, df._jdf.queryExecution().executedPlan().toString())) or write(df, name))
+    r = spark.createDataFrame([(u, i, float((u + i) % 5)) for u in range(40) for i in range(10)], "u long, i long, r double")
+    models.boltzmann(r, 5, 1.0, 2, 1)
+    moved = [p for name, p in plans if name == "items"][-1]
+    assert "SortMergeJoin [u#" in moved and "BroadcastHashJoin [u#" not in moved
+
+
 def test_boltzmann(spark):
     r = spark.createDataFrame([(u, i, 4.0 if (u + i) % 2 else 1.0) for u in range(40) for i in range(8) if (u * 3 + i) % 7], "u long, i long, r double")
     items = models.boltzmann(r, 5, 1.0, 4, 15, rate=0.5, reg=0.001, decay=1.0)

@@ -250,7 +250,8 @@ def boltzmann(ratings: DataFrame, bins: int, scale: float = 1.0, dims: int = 20,
         upto = [F.aggregate(F.slice("odds", 1, k + 1), F.lit(0.0), lambda s, x: s + x) for k in range(bins - 1)]
         first = first.withColumn("mark", mark).withColumn("again", sum(((F.col("mark") >= c).cast("int") for c in upto), F.lit(0)))
         first = written(first.select("u", "i", "bin", "again", "hbin"), "sampled")
-        second = first.join(hidden(first.join(items, "i"), "again", n, 1), "u")
+        # files of samples are a small part of the rows' size in memory, so that Spark would broadcast a row per rating
+        second = first.hint("merge").join(hidden(first.join(items, "i"), "again", n, 1), "u")
         both = second.select("i", F.explode(_array([F.struct(F.col("bin").alias("b"), F.col("hbin").alias("g"), F.lit(1.0).alias("way")), F.struct(F.col("again").alias("b"), F.col("hagain").alias("g"), F.lit(-1.0).alias("way"))])).alias("e"))
         moved = both.groupBy("i", "e.b").agg(F.count("*").alias("hits"), *[F.sum(F.col("e.way") * F.col("e.g")[k]).alias(f"g{k}") for k in range(dims)])
         moved = moved.groupBy("i").agg(F.map_from_entries(F.collect_list(F.struct("b", F.struct("hits", _array([f"g{k}" for k in range(dims)]).alias("g"))))).alias("by"))  # at most `bins` entries an item
