@@ -265,6 +265,15 @@ def test_common_passages_make_no_family(spark, monkeypatch):
     assert got == {k: k if k < 40 else k - 40 for k in range(60)}
 
 
+def test_pairs_of_blocks_are_not_broadcast(docs, monkeypatch):
+    """Pairs are exploded from a small file; their size as planned is the file's."""
+    plans, write = {}, jaccard.written
+    monkeypatch.setattr(jaccard, "CAP", 3)
+    monkeypatch.setattr(jaccard, "written", lambda df, name: plans.setdefault(name, df._jdf.queryExecution().executedPlan().toString()) and write(df, name))
+    jaccard.jaccard_groups(docs)
+    assert all("SortMergeJoin [node#" in plans[x] and "BroadcastHashJoin [node#" not in plans[x] for x in ("links-inside", "links-across"))
+
+
 def test_one_of_each(spark, docs):
     groups = brute_components(plain(docs))
     left = [r["doc_id"] for r in jaccard.one_of_each(docs).collect()]

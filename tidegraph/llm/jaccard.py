@@ -351,7 +351,8 @@ def jaccard_groups(docs: DataFrame, percent: int = 75, words: int = WORDS) -> Da
     def met(groups: DataFrame, name: str) -> DataFrame:
         """u, v, link: links between the nodes of each (root, i, j), and where i = j in a family of several blocks each
         node u with the one v that stands for its component there. groups: node, root, i, j, blocks, block, known."""
-        rows = groups.join(texts, "node").repartition(parts, "root", "i", "j").sortWithinPartitions("root", "i", "j", "node")
+        # Spark takes the pairs for as small as the file they are exploded from, and would broadcast them
+        rows = groups.join(texts.hint("merge"), "node").repartition(parts, "root", "i", "j").sortWithinPartitions("root", "i", "j", "node")
         return written(rows.select("root", "i", "j", "node", "block", "blocks", "known", "text").mapInArrow(trimmed(run), "u binary, v binary, link boolean"), name)
 
     inside = met(placed.select("node", "root", F.col("block").alias("i"), F.col("block").alias("j"), "blocks", "block", F.col("node").alias("known")), "links-inside")
