@@ -72,3 +72,14 @@ def test_many_strong_components(spark):
     edges = [(7, 3), (3, 5), (5, 7), (5, 9), (9, 8), (8, 9), (8, 20), (20, 21), (21, 22), (22, 20), (30, 30), (31, 30), (40, 41), (41, 40), (41, 7)]
     got = graph.strong_components(spark.createDataFrame(edges, "src long, dst long")).collect()
     assert {r["id"]: r["label"] for r in got} == strong(edges)
+
+
+def test_ratings_of_many_users(spark, tmp_path):
+    """Users and items beyond 1,000 stay."""
+    duckdb = __import__("duckdb")
+    c = duckdb.connect()
+    c.execute(f"copy (select event_id, ts, user_id * 331 as user_id, event_type, value, '{{\"k\": ' || event_id * 7 % 1301 || '}}' as props from '{SF}/events.parquet') to '{tmp_path}/events.parquet' (format parquet)")
+    c.execute(f"create view events as select * from '{tmp_path}/events.parquet'")
+    got = registry.queries()["ratings_and_similarities"](spark, str(tmp_path)).select("src", "dst", "value", "kind").collect()
+    assert sorted(map(tuple, got)) == sorted(c.execute(f"SELECT src, dst, value, kind FROM ({registry.oracle_sql()['ratings_and_similarities']})").fetchall())
+    assert max(r["src"] for r in got if r["kind"] == 0) >= 1000 and max(r["dst"] for r in got) >= 2000

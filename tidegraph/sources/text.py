@@ -139,12 +139,15 @@ def dense_matrix(spark: SparkSession, path: str) -> DataFrame:
     return lines.where("n > 0").select((k % rows).alias("row"), F.floor(k / rows).alias("col"), F.trim("value").cast("double").alias("val"))
 
 
-def ratings_with_similarity(spark: SparkSession, ratings: str, similarities: str) -> DataFrame:
-    """src, dst, value, kind: ratings (0) from users to items that follow them, and item pairs (1); self pairs are dropped."""
+def ratings_with_similarity(spark: SparkSession, ratings: str, similarities: str, first_item: int | None = None) -> DataFrame:
+    """src, dst, value, kind: ratings (0) from users to items that follow them, and item pairs (1); self pairs are dropped.
+
+    first_item: the vertex of item 0; without it the number of users in the size row of ratings.
+    """
     size = first_line(spark, ratings)
     if size is None:
         raise ValueError("no size row")
-    users = int(size[0])
+    users = int(size[0]) if first_item is None else first_item
     r = matrix_market(spark, ratings).select(F.col("row").alias("src"), (F.col("col") + users).alias("dst"), F.col("val").alias("value"), F.lit(0).alias("kind"))
     s = matrix_market(spark, similarities).where("row <> col").select((F.col("row") + users).alias("src"), (F.col("col") + users).alias("dst"), F.col("val").alias("value"), F.lit(1).alias("kind"))
     return r.union(s)
