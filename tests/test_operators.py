@@ -23,6 +23,26 @@ def test_spanning_forest(spark):
     assert rows(graph.spanning_forest(e)) == [(1, 3, 1), (2, 3, 1), (4, 5, 3)]
 
 
+def test_k_core_at_once_and_by_rounds(spark, monkeypatch):
+    """A long chain, a clique, loops, reciprocal and repeated edges: one task's levels are those of the rounds."""
+    import random
+
+    rng = random.Random(2)
+    e = [(k, k + 1) for k in range(100, 120)] + [(a, b) for a in range(8) for b in range(a)] + [(9, 9), (9, 8), (8, 9), (30, 30)]
+    e += [(rng.randrange(40, 70), rng.randrange(40, 70)) for _ in range(90)] + [(7, 40), (7, 40)]
+    e = spark.createDataFrame(e, "src long, dst long")
+    once = rows(graph.k_core(e))
+    monkeypatch.setattr(graph, "PEELED_AT_ONCE", 40)
+    later = rows(graph.k_core(e))
+    monkeypatch.setattr(graph, "PEELED_AT_ONCE", 0)
+    assert once == later == rows(graph.k_core(e))
+    monkeypatch.undo()
+    writes, write = [], graph.written
+    monkeypatch.setattr(graph, "written", lambda df, name: writes.append(name) or write(df, name))
+    chain = spark.range(60).selectExpr("id as src", "id + 1 as dst")
+    assert {c for _, c in rows(graph.k_core(chain))} == {1} and len(writes) < 6
+
+
 def test_k_core_and_triangles(spark):
     e = edges(spark, (0, 1), (1, 2), (0, 2), (2, 3))
     assert rows(graph.k_core(e)) == [(0, 2), (1, 2), (2, 2), (3, 1)]

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +16,10 @@ from tidegraph.operators.ordering import row_numbers, running_sum
 from tidegraph.plans.tables import discard, written
 
 
+#: As many edges are peeled in one task (some 60 bytes each); a graph of more goes round by round until so few are left.
+PEELED_AT_ONCE = 8_000_000
+
+
 def vertices_of(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("src").alias("id")).union(edges.select("dst")).distinct()
 
@@ -206,19 +211,45 @@ def triangles(edges: DataFrame) -> DataFrame:
     return each.groupBy("id").agg(F.count("*").alias("triangles"))
 
 
+def peeled(src: np.ndarray, dst: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and their levels, from level k on, by peeling; an edge stands once, but one from a vertex to itself twice."""
+    ids = np.unique(np.concatenate([np.unique(src), np.unique(dst)]))
+    src, dst = (np.searchsorted(ids, x).astype(np.int32) for x in (src, dst))
+    other = src != dst
+    src, dst = np.concatenate([src, dst[other]]), np.concatenate([dst, src[other]])
+    near = dst[np.argsort(src, kind="stable")]
+    degree = np.bincount(src, minlength=len(ids))
+    start, n = np.cumsum(degree) - degree, degree.copy()
+    level, left = np.zeros(len(ids), np.int32), np.ones(len(ids), bool)
+    while len(over := np.flatnonzero(left)):
+        k = max(k, int(degree[over].min()))
+        low = over[degree[over] <= k]
+        while len(low):
+            level[low], left[low] = k, False
+            at = np.repeat(start[low] - (np.cumsum(n[low]) - n[low]), n[low]) + np.arange(int(n[low].sum()))
+            met, times = np.unique(near[at], return_counts=True)
+            degree[met] -= times
+            low = met[left[met] & (degree[met] <= k)]
+    return ids, level
+
+
 def k_core(edges: DataFrame) -> DataFrame:
     """id, core: peeling; at level k vertices with k or fewer live incident edges go (a reciprocal pair is two edges).
 
     A vertex whose edges all went with others has the level of that round. Levels at which no vertex goes are skipped.
+    Once PEELED_AT_ONCE edges or fewer are left, one task peels them.
     """
     live = written(undirected(edges, distinct=False), "edges")
     none = vertices_of(live).where("false").select("id", F.lit(0).alias("core"))
     done, parts, k = written(none, "core"), [], 1
     while True:
         deg = written(live.groupBy("src").agg(F.count("*").alias("d")), "degrees")
-        least = deg.agg(F.min("d")).first()[0]
+        least, ends = deg.agg(F.min("d"), F.sum("d")).first()
         if least is None:
             break
+        if ends <= 2 * PEELED_AT_ONCE:
+            parts.append(written(_peeled_at_once(live, k), "core"))
+            break
         k = max(k, least)
         low = deg.where(F.col("d") <= k).select(F.col("src").alias("id"))
         rest = written(live.join(low.withColumnRenamed("id", "src"), "src", "left_anti").join(low.withColumnRenamed("id", "dst"), "dst", "left_anti").select("src", "dst"), "edges")
@@ -230,6 +261,19 @@ def k_core(edges: DataFrame) -> DataFrame:
     return _union([done, *parts])
 
 
+def _peeled_at_once(live: DataFrame, k: int) -> DataFrame:
+    def run(batches):
+        import pyarrow as pa
+
+        found = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
+        if found:
+            ids, level = peeled(*(np.concatenate(x) for x in zip(*found, strict=True)), k)
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(level)], names=["id", "core"])
+
+    half = live.where("src <= dst").select(F.col("src").cast("long"), F.col("dst").cast("long"))
+    return half.repartition(1).mapInArrow(run, "id long, core int")
+
+
 def k_core_levels(cores: DataFrame, edges: DataFrame) -> DataFrame:
     """k, removed, removed_to_here, links_left: what each level takes; links_left are the edges between vertices beyond it."""
     per = cores.groupBy(F.col("core").alias("k")).agg(F.count("*").alias("removed"))
