@@ -1,6 +1,7 @@
 """The training-data operators against plain versions, on small tables with every odd case."""
 
 import hashlib
+import pathlib
 import random
 import re
 import zlib
@@ -510,6 +511,41 @@ def test_words_shrink(monkeypatch):
             assert tokens.encode(P.path("byte_bpe_50k.json"), buf, off, 7)[0].tolist() == w.tolist()
 
 
+def test_words_of_other_operators_go():
+    """A task of an operator that counts no tokens empties what packing kept in its worker; one of packing does not."""
+    import pyarrow as pa
+
+    path = P.path("byte_bpe_50k.json")
+    buf, off = common.as_bytes(pa.array(["some words"]))
+    batch = pa.RecordBatch.from_arrays([pa.array([1])], names=["a"])
+    ids = tokens.encode(path, buf, off, 7)[0].tolist()
+    assert [b.to_pydict() for b in common.trimmed(iter)(iter([batch, batch]))] == [{"a": [1]}] * 2
+    assert not tokens._encoders
+    assert tokens.encode(path, buf, off, 7)[0].tolist() == ids
+    one = tokens.encoder(path)
+    assert len(list(common.trimmed(iter, "words")(iter([batch])))) == 1 and tokens.encoder(path) is one
+
+
+def test_trim_gives_arrow_memory_back():
+    """Batches that are gone take no memory of a worker any more."""
+    import subprocess
+    import sys
+
+    code = """
+import re, pyarrow as pa
+from tidegraph.llm import common
+mb = lambda: sum(map(int, re.findall(r"Pss_Anon:\\s+(\\d+)", open("/proc/self/smaps_rollup").read()))) / 1024
+before = mb()
+held = [pa.array(["x" * 50_000] * 100) for _ in range(40)]
+full = mb()
+del held
+common.trim()
+print(full - before, mb() - before)
+"""
+    full, left = map(float, subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, cwd=pathlib.Path(__file__).parents[2]).stdout.split())
+    assert full > 150 and left < 50
+
+
 def test_quality(spark, docs, none):
     rng = random.Random(1)
     good = [(i, " ".join("".join(rng.choice("abcde") for _ in range(rng.randint(2, 7))) for _ in range(60)) + ".") for i in range(150)]

@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tidegraph.llm.common import as_bytes, documents, slices, trimmed
+from tidegraph.llm.common import as_bytes, documents, kept, slices, trimmed
 from tidegraph.llm.tokens import Words, _gather
 
 LETTER, NUMBER, SPACE, OTHER = 0, 1, 2, 3
@@ -168,7 +168,7 @@ class Bpe:
         return np.concatenate([[0], np.cumsum(self.size[ids])])
 
 
-_loaded: dict[str, Bpe] = {}
+_loaded: dict[str, Bpe] = kept("ranks")
 
 
 def round_trip(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
@@ -193,7 +193,7 @@ def round_trip(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
                 back, back_at = bpe.decode(ids, at)
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(i, j - i).cast(pa.int64()), pa.array(np.diff(at)), pa.array(sha(ids.astype("<u4").tobytes(), 4 * at)), pa.array(sha(back.tobytes(), back_at))], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select("doc_id", "text").mapInArrow(trimmed(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select("doc_id", "text").mapInArrow(trimmed(run, "ranks"), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op9_bpe_round_trip(spark, sf_dir: str) -> DataFrame:

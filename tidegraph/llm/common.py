@@ -45,19 +45,52 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+_kept: dict[str, dict] = {}
+
+
+def kept(name: str) -> dict:
+    """What this process keeps from task to task under a name; it is emptied by tasks that do not name it."""
+    return _kept.setdefault(name, {})
+
+
+def forget(*but: str) -> None:
+    """Empties what is kept under other names."""
+    gone = [held for name, held in _kept.items() if held and name not in but]
+    for held in gone:
+        held.clear()
+    if gone:
+        trim()
+
+
+def release() -> None:
+    """Gives freed memory of Arrow's own pool back to the system."""
+    pa.default_memory_pool().release_unused()
+
+
 def trim() -> None:
     """Gives freed memory back to the system, where the C library can: workers live on, and keep it otherwise."""
+    release()
     try:
         ctypes.CDLL(None).malloc_trim(0)
     except (OSError, AttributeError):
         pass
 
 
-def trimmed(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """run, with freed memory given back when a task ends."""
+def trimmed(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], *keeps: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, with freed memory given back after each batch (Arrow's) and when a task ends (all).
+
+    keeps: names of what the worker may go on keeping, from this operator's tasks before and for those to come.
+    """
+
+    def released(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b
+            del b
+            release()
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from run(batches)
+        forget(*keeps)
+        yield from run(released(batches))
         trim()
 
     return task

@@ -228,8 +228,8 @@ def pack(docs: DataFrame, length: int = LENGTH, vocabulary: str | None = None, e
                 term, n = np.frombuffer(x.as_buffer(), "<i8").reshape(2, -1)
                 yield pa.RecordBatch.from_arrays([pa.array(term), pa.array(n)], names=["term", "n"])
 
-    table = written(docs.select("doc_id", "text").mapInArrow(trimmed(encode), "row long, doc_id long, width byte, ids binary"), "packing")
-    stats = {r["term"]: r["n"] for r in table.where("width = 0").select("ids").mapInArrow(trimmed(unfolded), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
+    table = written(docs.select("doc_id", "text").mapInArrow(trimmed(encode, "words"), "row long, doc_id long, width byte, ids binary"), "packing")
+    stats = {r["term"]: r["n"] for r in table.where("width = 0").select("ids").mapInArrow(trimmed(unfolded, "words"), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
     if not stats:
         return spark.createDataFrame([], schema)
     n, mean = stats[-1], stats[-2] / stats[-1]
@@ -285,13 +285,13 @@ def pack(docs: DataFrame, length: int = LENGTH, vocabulary: str | None = None, e
     rows, kind = table.where("width > 0"), "row long, doc_id long, width byte, ids binary, key long, shard int"
     splits, shards = np.zeros(0, np.int64), min(MOST_BORDERS, -(-n // docs_per_shard))
     if shards > 1:
-        some = rows.sample(min(1.0, SAMPLED * shards / n), 1).mapInArrow(trimmed(key(splits)), kind)
+        some = rows.sample(min(1.0, SAMPLED * shards / n), 1).mapInArrow(trimmed(key(splits), "words"), kind)
         at = ",".join(f"{(i + 1) / shards:.9f}" for i in range(shards - 1))
         splits = np.unique(np.array(some.select(F.expr(f"approx_percentile(key, array({at}), {max(10_000, 10 * shards)})")).first()[0] or [], np.int64))
     lanes = lane_of(spark, shards)
     lane = F.element_at(F.from_json(F.lit(json.dumps(lanes)), "array<bigint>"), F.col("shard") + 1)
-    dealt = rows.mapInArrow(trimmed(key(splits)), kind).repartition(shards, lane).sortWithinPartitions("shard", "key", "row")
-    return dealt.select("doc_id", "width", "ids", "shard").mapInArrow(trimmed(fill), schema)
+    dealt = rows.mapInArrow(trimmed(key(splits), "words"), kind).repartition(shards, lane).sortWithinPartitions("shard", "key", "row")
+    return dealt.select("doc_id", "width", "ids", "shard").mapInArrow(trimmed(fill, "words"), schema)
 
 
 def op8_retrieval_packing(spark, sf_dir: str) -> DataFrame:

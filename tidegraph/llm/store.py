@@ -113,7 +113,7 @@ def write_store(docs: DataFrame, path: str, vocabulary: str | None = None, end_i
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(i, j - i).cast(pa.int64()), b.column("row").slice(i, j - i), pa.array(np.diff(at)), *rest], schema=schema)
 
     spark = docs.sparkSession
-    staged = written(docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row")).mapInArrow(trimmed(run), _STAGED), "ids-staged")
+    staged = written(docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row")).mapInArrow(trimmed(run, "words"), _STAGED), "ids-staged")
     each = staged.select(F.explode("fresh").alias("c")).select("c.*")
     each.groupBy("chunk_id").agg(F.first("n_ids").alias("n_ids"), F.first("payload").alias("payload")).write.option("compression", "zstd").parquet(f"{path}/chunks")
     recipes = staged.drop("fresh")
@@ -175,11 +175,11 @@ def read_store(spark: SparkSession, path: str, width: int = 2) -> DataFrame:
                 good.append(all(p["ok"] for p in parts) and merkle_root(names) == root)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("row"), pa.array([sum(p["held"] or 0 for p in x) for x in rows["parts"]], pa.int64()), pa.array(crcs, pa.int64()), pa.array(good, pa.bool_())], names=["doc_id", "row", "n_tokens", "ids_crc32", "verified"])
 
-    chunks = spark.read.parquet(f"{path}/chunks").select("chunk_id", "payload").mapInArrow(trimmed(check), "chunk_id binary, ok boolean, crc long, held int")
+    chunks = spark.read.parquet(f"{path}/chunks").select("chunk_id", "payload").mapInArrow(trimmed(check, "words"), "chunk_id binary, ok boolean, crc long, held int")
     recipes = spark.read.parquet(f"{path}/recipes")
     uses = recipes.select("row", F.posexplode("chunks").alias("pos", "chunk_id"))
     found = uses.join(chunks, "chunk_id", "left").groupBy("row").agg(F.sort_array(F.collect_list(F.struct("pos", "ok", "crc", "held"))).alias("parts"))
-    return recipes.select("doc_id", "row", "root", "chunks").join(found, "row").mapInArrow(trimmed(join), "doc_id long, row long, n_tokens long, ids_crc32 long, verified boolean")
+    return recipes.select("doc_id", "row", "root", "chunks").join(found, "row").mapInArrow(trimmed(join, "words"), "doc_id long, row long, n_tokens long, ids_crc32 long, verified boolean")
 
 
 def op5_content_store(spark, sf_dir: str) -> DataFrame:

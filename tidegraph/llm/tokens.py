@@ -11,6 +11,8 @@ from itertools import repeat
 
 import numpy as np
 
+from tidegraph.llm.common import kept
+
 #: Words kept by one worker; at more, those that were met only once go.
 MOST_WORDS = 500_000
 
@@ -154,7 +156,7 @@ def _gather(values: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarr
     return values[np.arange(total) + np.repeat(start - (ends - size), size)]
 
 
-_encoders: dict[str, Words] = {}
+_encoders: dict[str, Words] = kept("words")
 
 
 def encoder(path: str) -> Words:
