@@ -150,6 +150,44 @@ def test_suffixes(docs, none):
     assert suffixes.strip(none).count() == 0
 
 
+def test_texts_are_passed_once_for_the_spans_of_all_lengths(docs, monkeypatch):
+    kind, passed = type(docs), []
+    plain_map = kind.mapInArrow
+    monkeypatch.setattr(kind, "mapInArrow", lambda df, *a, **k: (passed.append(df.columns), plain_map(df, *a, **k))[1])
+    suffixes.dedup(docs)
+    assert sum("text" in c and not {"spans", "parts"} & set(c) for c in passed) == 1
+
+
+def test_passages_across_the_borders_of_pieces(spark):
+    rng = random.Random(8)
+    make = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    step, long = suffixes._BLOCK - suffixes.LENGTH, make(2 * suffixes._BLOCK + 7000)
+    copies = [long[at - back : at - back + n] for at in (step, 2 * step) for back, n in ((0, 400), (1, 400), (399, 401), (200, 650), (450, 450), (600, 1400), (199, 200), (30, 260))]
+    texts = [long, make(suffixes._BLOCK - 300), *(make(rng.randint(0, 500)) + c + make(rng.randint(0, 500)) for c in copies[::2]), "".join(make(90) + c for c in copies[1::2]), make(300) + long[-390:], long[:399]]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    data = [t.encode() for t in texts]
+    every, short = (brute_runs(data, n) for n in (400, 200))
+    want = [(i, sum(e - s for s, e in a), len(a), hashlib.sha256(without(x, a)).hexdigest(), sum(e - s for s, e in b if len(x[s:e].split()) >= 50)) for i, (x, a, b) in enumerate(zip(data, every, short, strict=True))]
+    same(suffixes.dedup(rows).select("doc_id", "n_removed", "n_spans", "kept_sha256", "n_passage_bytes"), want)
+    assert want[0][2] >= 2
+
+
+def test_pieces_own_each_window_once():
+    rng = np.random.default_rng(5)
+    for _ in range(20):
+        sizes = rng.choice([0, 1, 199, 200, 201, 399, 400, 401, 3000, suffixes._BLOCK - 400, suffixes._BLOCK - 1, suffixes._BLOCK, 131000], rng.integers(1, 8))
+        off = np.concatenate([[0], np.cumsum(sizes)])
+        buf, lengths = rng.integers(97, 97 + rng.integers(1, 4), off[-1]).astype(np.uint8), (400, 200, 120)
+        got = {n: [np.zeros(0, int)] for n in lengths}
+        for i, j, s, e, own in suffixes.pieces(off, max(lengths)):
+            for n, _, p0, p1, a, _, _ in suffixes.spans(buf[s:e], np.clip(off[i : j + 1] - s, 0, e - s), lengths, own):
+                assert ((a >= p1) & (a + suffixes.seed_bytes(n) <= p0 + n)).all()
+                got[n] += [np.arange(x, y + 1) for x, y in zip(p0 + s, p1 + s, strict=True)]
+        for n in lengths:
+            want = [np.arange(a, b - n + 1) for a, b in zip(off[:-1], off[1:], strict=True)]
+            assert np.array_equal(np.concatenate(got[n]), np.concatenate(want))
+
+
 def test_hot_seeds_give_the_same(docs, monkeypatch):
     want = sorted(map(tuple, suffixes.dedup(docs).collect()), key=key)
     monkeypatch.setattr(suffixes, "MOST_SPANS", 1)

@@ -4,9 +4,9 @@ A byte goes if a string of `length` bytes that covers it starts anywhere else. E
 its anchor, the place in it where the hash of the next bytes (the seed) is least: equal windows have their anchors
 at equal places, so only suffixes that start at anchors need sorting, one in some 170 bytes for windows of 400.
 
-1. Neighbouring windows with one anchor make a span. Seeds are counted alone first, and only spans whose seed is met
-   twice or more are kept. Spans of equal bytes (and equal places of the anchor) are counted by hash: in spans met
-   twice or more all windows repeat.
+1. Neighbouring windows with one anchor make a span. One pass over the texts writes the spans of all lengths that
+   are asked for. Seeds are counted alone first, and only spans whose seed is met twice or more are kept. Spans of
+   equal bytes (and equal places of the anchor) are counted by hash: in spans met twice or more all windows repeat.
 2. Of what is left, the spans' suffixes (from the anchor on) are sorted into runs by the tasks that read the
    texts, front-coded (the length of the prefix shared with the suffix before, then the rest) and exchanged by
    seed. A loser tree merges the runs: the lengths of prefixes shared with the last winner decide most matches,
@@ -36,64 +36,66 @@ LENGTH = 400
 #: A passage is a run of repeated strings of so many bytes with so many words at least. 50 words have some 300 bytes.
 PASSAGE_LENGTH, PASSAGE_WORDS = 200, 50
 MOST_SPANS = 50_000
-_BLOCK = 1 << 18
+#: Bytes that are hashed at once: arrays of so many words stay in a core's cache.
+_BLOCK = 1 << 16
 _PLACE = np.uint64(_BLOCK - 1)
+_AT = np.arange(_BLOCK, dtype=np.uint64)
 _roll, _other = Rolling(seed=17), Rolling(base=0xC2B2AE3D27D4EB4F, seed=23)
 _HEAD = struct.Struct("<HHHqqqB")
 
 
 def seed_bytes(length: int) -> int:
     """Bytes of the seeds of windows of `length` bytes (100 to 1,000)."""
-    return min(64, length // 4)
+    return min(50, length // 4)
 
 
-def pieces(off: np.ndarray, length: int = LENGTH) -> Iterator[tuple[int, int, int, int]]:
-    """(first text, last text, first byte, last byte): several texts, or part of a long one. Each window is in one piece."""
+def pieces(off: np.ndarray, length: int = LENGTH) -> Iterator[tuple[int, int, int, int, int]]:
+    """(first text, last text, first byte, last byte, own): several texts, or part of a long one.
+
+    Windows of at most `length` bytes that begin in the first `own` bytes are the piece's; each is one piece's.
+    """
     for i, j in slices(off, _BLOCK - 1):
         a, b = int(off[i]), int(off[j])
         if b - a < _BLOCK:
-            yield i, j, a, b
+            yield i, j, a, b, b - a
         else:
             step = _BLOCK - length
-            for s in range(a, b - length + 1, step):
-                yield i, j, s, min(b, s + step + length - 1)
+            for s in range(a, b, step):
+                e = min(b, s + step + length - 1)
+                yield i, j, s, e, e - s if e == b else step
+                if e == b:
+                    break
 
 
-def spans(buf: np.ndarray, off: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, ...]:
-    """text, first and last window, anchor (places in buf), seed hash and hash of the bytes, for each span.
+def spans(buf: np.ndarray, off: np.ndarray, lengths: tuple[int, ...] = (LENGTH,), own: int | None = None) -> Iterator[tuple]:
+    """length, and text, first and last window, anchor (places in buf), seed hash and hash of the bytes of its spans.
 
-    off: where the texts begin in buf, and the end; at most _BLOCK bytes.
+    off: where the texts begin in buf, and the end; at most _BLOCK bytes. own: windows that begin there are left out.
     """
-    n, seed = len(buf), seed_bytes(length)
-    grams_each = length - seed + 1
-    none = tuple(np.zeros(0, np.int64) for _ in range(4)) + tuple(np.zeros(0, np.uint64) for _ in range(2))
-    if n < length:
-        return none
-    prefix = _roll.prefix(buf)
-    at = np.arange(n - seed + 1)
-    grams = _roll.of(prefix, at, at + seed)
-    key = (grams & ~_PLACE) | at.astype(np.uint64)
-    # least key of each window, by prefix and suffix minima of blocks as long as a window has grams
-    m = -(-len(key) // grams_each) * grams_each
-    rows = np.full(m, ~np.uint64(0))
-    rows[: len(key)] = key
-    rows = rows.reshape(-1, grams_each)
-    ahead = np.minimum.accumulate(rows, axis=1).ravel()
-    back = np.minimum.accumulate(rows[:, ::-1], axis=1)[:, ::-1].ravel()
-    windows = n - length + 1
-    anchor = (np.minimum(back[:windows], ahead[grams_each - 1 : grams_each - 1 + windows]) & _PLACE).astype(np.int64)
-    start = np.arange(windows)
-    text = np.searchsorted(off, start, "right") - 1
-    inside = start + length <= off[text + 1]
-    start, text, anchor = start[inside], text[inside], anchor[inside]
-    if not len(start):
-        return none
-    cut = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (start[1:] != start[:-1] + 1) | (text[1:] != text[:-1])]))
-    last = np.append(cut[1:], len(start)) - 1
-    text, p0, p1, a = text[cut], start[cut], start[last], anchor[cut]
-    other = _other.prefix(buf)
-    whole = mixed(_other.of(other, p0, p1 + length) + (a - p0).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + (p1 - p0).astype(np.uint64))
-    return text, p0, p1, a, grams[a], whole
+    n, seed = len(buf), 0
+    prefix, other = _roll.prefix(buf), _other.prefix(buf)
+    for length in sorted(lengths):
+        windows = min(n - length + 1, n if own is None else own)
+        if windows < 1:
+            return
+        if seed != seed_bytes(length):
+            seed = seed_bytes(length)
+            m = n - seed + 1
+            least, size = (((prefix[seed:] - prefix[:m]) * _roll.down[:m]) & ~_PLACE) | _AT[:m], 1
+        # least key of each window: of `size` grams by doubling, which longer windows go on with, then of two that overlap
+        grams_each = length - seed + 1
+        while 2 * size <= grams_each:
+            least, size = np.minimum(least[size:], least[:-size]), 2 * size
+        low = np.minimum(least[:windows], least[grams_each - size : grams_each - size + windows])
+        p0 = np.union1d(np.flatnonzero(low[1:] != low[:-1]) + 1, off[:-1][np.diff(off) >= length])
+        p0 = p0[p0 < windows]
+        text = np.searchsorted(off, p0, "right") - 1
+        p1 = np.minimum(np.append(p0[1:], windows) - 1, off[text + 1] - length)
+        inside = p0 <= p1
+        text, p0, p1 = text[inside], p0[inside], p1[inside]
+        a = (low[p0] & _PLACE).astype(np.int64)
+        whole = mixed(_other.of(other, p0, p1 + length) + (a - p0).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + (p1 - p0).astype(np.uint64))
+        yield length, text, p0, p1, a, _roll.of(prefix, a, a + seed), whole
 
 
 def _keyed(docs: DataFrame, also: list | None = None) -> DataFrame:
@@ -101,34 +103,32 @@ def _keyed(docs: DataFrame, also: list | None = None) -> DataFrame:
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *(also or [])).withColumns({"k1": F.xxhash64("doc_id", "text"), "k2": F.xxhash64("text", "doc_id")})
 
 
-def span_table(keyed: DataFrame, length: int = LENGTH) -> DataFrame:
-    """k1, k2, place, seed, whole per span; place holds p0, p1 - p0 and a - p0 (see unpacked)."""
+def span_table(keyed: DataFrame, *lengths: int) -> DataFrame:
+    """length, k1, k2, place, seed, whole per span; place holds p0, p1 - p0 and a - p0 (see unpacked)."""
+    names = ["length", "k1", "k2", "place", "seed", "whole"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             buf, off = as_bytes(b.column("text"))
             k1, k2 = b.column("k1").to_numpy(), b.column("k2").to_numpy()
-            for i, j, s, e in pieces(off, length):
-                text, p0, p1, a, seed, whole = spans(buf[s:e], np.clip(off[i : j + 1] - s, 0, e - s), length)
-                shift = s - off[i + text]
-                cols = [k1[i + text], k2[i + text], ((p0 + shift) << 20) | ((p1 - p0) << 10) | (a - p0), seed.view(np.int64), whole.view(np.int64)]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["k1", "k2", "place", "seed", "whole"])
-
-    return keyed.select("k1", "k2", "text").mapInArrow(trimmed(run), "k1 long, k2 long, place long, seed long, whole long")
-
-
-def often_seeds(keyed: DataFrame, length: int = LENGTH) -> DataFrame:
-    """The seeds of two spans or more."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            buf, off = as_bytes(b.column("text"))
-            for i, j, s, e in pieces(off, length):
-                seed, n = np.unique(spans(buf[s:e], np.clip(off[i : j + 1] - s, 0, e - s), length)[4], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(seed.view(np.int64)), pa.array(n > 1)], names=["seed", "twice"])
+            rows, held = [], 0
+
+            def flush() -> pa.RecordBatch:
+                cols = [np.concatenate(c) for c in zip(*rows, strict=True)]
+                return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=names)
+
+            for i, j, s, e, own in pieces(off, max(lengths)):
+                for length, text, p0, p1, a, seed, whole in spans(buf[s:e], np.clip(off[i : j + 1] - s, 0, e - s), lengths, own):
+                    shift = s - off[i + text]
+                    rows.append([np.full(len(text), length, np.int32), k1[i + text], k2[i + text], ((p0 + shift) << 20) | ((p1 - p0) << 10) | (a - p0), seed.view(np.int64), whole.view(np.int64)])
+                    held += len(text)
+                if held > 50_000:
+                    yield flush()
+                    rows, held = [], 0
+            if rows:
+                yield flush()
 
-    each = keyed.select("text").mapInArrow(trimmed(run), "seed long, twice boolean")
-    return each.groupBy("seed").agg((F.count("*") + F.max(F.col("twice").cast("int"))).alias("n")).where("n > 1").select("seed")
+    return keyed.select("k1", "k2", "text").mapInArrow(trimmed(run), "length int, k1 long, k2 long, place long, seed long, whole long")
 
 
 def unpacked(rows: DataFrame) -> DataFrame:
@@ -276,12 +276,20 @@ def _blocks(rows: Iterator[tuple], seed: int) -> Iterator[list[tuple]]:
         yield block
 
 
-def repeats(keyed: DataFrame, length: int = LENGTH) -> DataFrame:
-    """k1, k2, s, e: bytes s to e of the texts lie in repeated windows; a written table. keyed: see _keyed."""
+def repeats(keyed: DataFrame, *lengths: int) -> list[DataFrame]:
+    """For each length k1, k2, s, e: bytes s to e of the texts lie in repeated windows; written tables. keyed: see _keyed."""
+    every = written(span_table(keyed, *lengths), "spans-all")
+    out = [_repeats(keyed, every.where(F.col("length") == length).drop("length"), length) for length in lengths]
+    discard(every)
+    return out
+
+
+def _repeats(keyed: DataFrame, every: DataFrame, length: int) -> DataFrame:
+    """k1, k2, s, e by the spans of one length."""
     spark = keyed.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    often = written(often_seeds(keyed, length), "seeds")
-    table = written(span_table(keyed, length).join(often, "seed", "left_semi"), "spans")
+    often = written(every.groupBy("seed").count().where("count > 1").select("seed"), "seeds")
+    table = written(every.join(often, "seed", "left_semi"), "spans")
     counted = table.groupBy("seed", "whole").agg(F.count("*").alias("c"), F.min(F.struct("k1", "k2", "place")).alias("span"))
     counted = written(counted, "spans-counted")
     # every span gets its count; where it is one, no bytes go
@@ -390,7 +398,7 @@ def strip(docs: DataFrame, length: int = PASSAGE_LENGTH, least_words: int = PASS
     """
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
     keyed = _keyed(docs, [docs[c].alias(f"_c{i}") for i, c in enumerate(others)])
-    rows = keyed.join(_parts(repeats(keyed, length), "parts"), ["k1", "k2"], "left").drop("k1", "k2")
+    rows = keyed.join(_parts(repeats(keyed, length)[0], "parts"), ["k1", "k2"], "left").drop("k1", "k2")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in (whole.slice(i, 500) for whole in batches for i in range(0, whole.num_rows, 500)):
@@ -439,7 +447,7 @@ def dedup(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), n_bytes, n_removed, n_spans, pa.array(sha, pa.string()), n_found, found_bytes], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passages", "n_passage_bytes"])
 
     keyed = _keyed(docs)
-    parts, short = _parts(repeats(keyed), "parts"), _parts(repeats(keyed, PASSAGE_LENGTH), "short")
+    parts, short = (_parts(found, name) for found, name in zip(repeats(keyed, LENGTH, PASSAGE_LENGTH), ("parts", "short"), strict=True))
     both = written(parts.join(short, ["k1", "k2"], "full"), "repeats-both")
     rows = keyed.join(both, ["k1", "k2"], "left").drop("k1", "k2")
     return rows.mapInArrow(trimmed(run), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passages long, n_passage_bytes long")
