@@ -43,6 +43,32 @@ def test_k_core_at_once_and_by_rounds(spark, monkeypatch):
     assert {c for _, c in rows(graph.k_core(chain))} == {1} and len(writes) < 6
 
 
+def test_k_core_of_large_graphs_writes_edges_once(spark, monkeypatch):
+    """Blocks of vertices, parts of blocks and sparse ids: the levels of one task, without a table of edges per round."""
+    import random
+
+    from tidegraph.operators import cores
+
+    rng = random.Random(3)
+    pairs = [(rng.randrange(90), rng.randrange(90)) for _ in range(500)] + [(k, k + 1) for k in range(90, 130)] + [(3, 3), (3, 3)]
+    for step in (1, 10**12):
+        e = spark.createDataFrame([((a - 40) * step, (b - 40) * step) for a, b in pairs], "src long, dst long")
+        once = rows(graph.k_core(e))
+        assert len(once) == len({x for p in pairs for x in p}) and once[-1] == (90 * step, 1)
+        writes, dropped, write, drop = [], [], graph.written, graph.discard
+        with monkeypatch.context() as m:
+            m.setattr(graph, "PEELED_AT_ONCE", 10)
+            for at in (graph, cores):
+                m.setattr(at, "written", lambda df, name, **o: writes.append(name) or write(df, name, **o))
+                m.setattr(at, "discard", lambda *t: dropped.extend(t) or drop(*t))
+            m.setattr(cores, "BLOCK_ENDS", 200)
+            m.setattr(cores, "PART_ENDS", 60)
+            assert rows(graph.k_core(e)) == once
+            assert writes == ["edges", "degrees", "blocks", "core"] and len(dropped) == 3
+            m.setattr(graph, "MOST_SETTLED", 0)
+            assert step > 1 or rows(graph.k_core(e)) == once
+
+
 def test_k_core_and_triangles(spark):
     e = edges(spark, (0, 1), (1, 2), (0, 2), (2, 3))
     assert rows(graph.k_core(e)) == [(0, 2), (1, 2), (2, 2), (3, 1)]

@@ -12,12 +12,15 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidegraph.operators.cores import counted, settled_by_blocks
 from tidegraph.operators.ordering import row_numbers, running_sum
 from tidegraph.plans.tables import discard, written
 
 
-#: As many edges are peeled in one task (some 60 bytes each); a graph of more goes round by round until so few are left.
+#: As many edges are peeled in one task (some 60 bytes each).
 PEELED_AT_ONCE = 8_000_000
+#: Of as many vertices the driver holds a value each (12 bytes, and some while they arrive).
+MOST_SETTLED = 30_000_000
 
 
 def vertices_of(edges: DataFrame) -> DataFrame:
@@ -237,10 +240,24 @@ def k_core(edges: DataFrame) -> DataFrame:
     """id, core: peeling; at level k vertices with k or fewer live incident edges go (a reciprocal pair is two edges).
 
     A vertex whose edges all went with others has the level of that round. Levels at which no vertex goes are skipped.
-    Once PEELED_AT_ONCE edges or fewer are left, one task peels them.
+    Up to PEELED_AT_ONCE edges are peeled in one task. More are settled block by block, which holds a value per vertex
+    in the driver; beyond MOST_SETTLED vertices it goes round by round over the edges.
     """
+    live = written(edges.select(F.col("src").cast("long"), F.col("dst").cast("long")).where("src is not null and dst is not null"), "edges")
+    n = live.count()
+    if n <= PEELED_AT_ONCE:
+        return written(_peeled_at_once(live.union(live.where("src = dst")), 1), "core")
+    # a task passes on a count for most vertices, however many edges it reads: few tasks
+    ends = live.coalesce(6 + n // 8_000_000).mapInArrow(counted, "id long, n long")
+    deg = written(ends.groupBy("id").agg(F.sum("n").alias("d")), "degrees")
+    out = settled_by_blocks(live, deg) if deg.count() <= MOST_SETTLED else _peeled_by_rounds(live)
+    discard(live, deg)
+    return out
+
+
+def _peeled_by_rounds(edges: DataFrame) -> DataFrame:
     live = written(undirected(edges, distinct=False), "edges")
-    none = vertices_of(live).where("false").select("id", F.lit(0).alias("core"))
+    none = live.where("false").select(F.col("src").alias("id"), F.lit(0).alias("core"))
     done, parts, k = written(none, "core"), [], 1
     while True:
         deg = written(live.groupBy("src").agg(F.count("*").alias("d")), "degrees")
@@ -248,7 +265,7 @@ def k_core(edges: DataFrame) -> DataFrame:
         if least is None:
             break
         if ends <= 2 * PEELED_AT_ONCE:
-            parts.append(written(_peeled_at_once(live, k), "core"))
+            parts.append(written(_peeled_at_once(live.where("src <= dst"), k), "core"))
             break
         k = max(k, least)
         low = deg.where(F.col("d") <= k).select(F.col("src").alias("id"))
@@ -257,11 +274,12 @@ def k_core(edges: DataFrame) -> DataFrame:
         parts.append(written(deg.join(rest.select("src"), "src", "left_anti").select(F.col("src").alias("id"), F.lit(k).alias("core")), "core"))
         if len(parts) == 20:
             done, parts = written(_union([done, *parts]), "core"), []
+        discard(live, deg)
         live = rest
     return _union([done, *parts])
 
 
-def _peeled_at_once(live: DataFrame, k: int) -> DataFrame:
+def _peeled_at_once(half: DataFrame, k: int) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
@@ -270,7 +288,6 @@ def _peeled_at_once(live: DataFrame, k: int) -> DataFrame:
             ids, level = peeled(*(np.concatenate(x) for x in zip(*found, strict=True)), k)
             yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(level)], names=["id", "core"])
 
-    half = live.where("src <= dst").select(F.col("src").cast("long"), F.col("dst").cast("long"))
     return half.repartition(1).mapInArrow(run, "id long, core int")
 
 
